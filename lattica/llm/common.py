@@ -11,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Text handled at once inside a task; a longer text is handled alone.
 SLICE_BYTES = 8 << 20
@@ -50,6 +52,11 @@ def remainder(column: Column, of: int) -> Column:
     return F.crc32(column.cast("string")) % of
 
 
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow form of a schema; for the driver, which has a session to parse it with."""
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows whose column holds at most so many bytes, or one row."""
     for batch in batches:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import rows_of, slices, store
+from lattica.llm.common import arrow_schema, rows_of, slices, store
 
 #: Bytes to blanks (all but 0-9, a-z and what is not ASCII), and A-Z to a-z.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -33,19 +33,12 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(TABLE).split()
 
 
-def _table(schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(schema))
-
-
 def build_index(docs: DataFrame, terms: Iterable[bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The stored positional index of docs for the given terms: the vocabulary of one block of test texts, so bounded."""
     names = sorted(terms)
     vocabulary = {t: i for i, t in enumerate(names)}
     names = [t.decode() for t in names]
-    schema = _table(INDEX)
+    schema = arrow_schema(INDEX)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -102,7 +95,7 @@ class Phrases:
 
 
 def _search(index: DataFrame, phrases: Phrases, slop: int) -> DataFrame:
-    schema, names, shared = _table(MATCHES), index.columns, index.sparkSession.sparkContext.broadcast(phrases)
+    schema, names, shared = arrow_schema(MATCHES), index.columns, index.sparkSession.sparkContext.broadcast(phrases)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value

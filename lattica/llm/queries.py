@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from lattica.llm import decontaminate, language, line_dedup
+from lattica.llm import decontaminate, language, line_dedup, packing, pieces, quality_model, quality_rules, surrogates
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_language_id": language.op2_language_id,
+    "op3_surrogates": surrogates.op3_surrogates,
+    "op6_packing": packing.op6_packing,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_quality_classifier": quality_model.op8_quality_classifier,
+    "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
-SQL = {"op10_line_dedup": line_dedup.OP10_SQL}
+SQL = {"op7_quality_rules": quality_rules.OP7_SQL, "op10_line_dedup": line_dedup.OP10_SQL}
