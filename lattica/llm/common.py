@@ -109,3 +109,72 @@ def shingles(hashes: np.ndarray, width: int = 5) -> np.ndarray:
     if not len(hashes):
         return hashes
     return np.unique(windows(hashes, min(width, len(hashes))))
+
+
+#: Ids up to which a set of documents is sent to the scanning tasks; more are joined by a shuffle.
+SENT_IDS = 1_000_000
+
+
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in ids, a stored table with distinct values in a column doc_id."""
+    return docs.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id", "left_semi")
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a key brought together and next to each other, for ``groups``."""
+    return df.repartition(*keys).sortWithinPartitions(*keys)
+
+
+def groups(batches: Iterable[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """The runs of rows that agree in keys, of rows that ``dealt`` has ordered."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        first = tuple(c[0] for c in columns)
+        cuts = [*([0] if first != last and held else []), *np.flatnonzero(new).tolist()]
+        begin = 0
+        for cut in cuts:
+            if cut > begin:
+                held.append(batch.slice(begin, cut - begin))
+            yield pa.Table.from_batches(held)
+            held, begin = [], cut
+        held.append(batch.slice(begin))
+        last = tuple(c[-1] for c in columns)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    """An Arrow list array of numpy arrays."""
+    ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else [], kind))
+
+
+def ranges(spark: SparkSession, n_bytes: int, each: int = 8 << 20) -> int:
+    """Tasks for so many bytes: a few MB each, and no fewer than the session's shuffle partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // each))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) of each node of edges (a, b), label the smallest node that it is connected with.
+
+    Alternating large-star and small-star rounds; each is a few joins and is written to the shared folder.
+    """
+    edges = store(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi != lo").distinct(), "edges")
+    state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
+    before, now = None, state(edges)
+    while now != before and now[0]:
+        both = edges.union(edges.select("lo", "hi")).toDF("u", "v")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi != lo").distinct()
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = large.join(least, "hi").select(F.explode(F.array(F.struct(F.col("hi").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.*")
+        edges = store(small.where("hi != lo").distinct(), "edges")
+        before, now = now, state(edges)
+    return edges.select(F.col("hi").alias("node"), F.col("lo").alias("label")).union(edges.select("lo", "lo").distinct())

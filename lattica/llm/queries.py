@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lattica.llm import decontaminate, language, line_dedup, packing, pieces, quality_model, quality_rules, surrogates
+from lattica.llm import decontaminate, jaccard, language, line_dedup, packing, passages, pieces, quality_model, quality_rules, surrogates
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_language_id": language.op2_language_id,
     "op3_surrogates": surrogates.op3_surrogates,
+    "op4_passages": passages.op4_passages,
+    "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_packing": packing.op6_packing,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_quality_classifier": quality_model.op8_quality_classifier,
