@@ -78,39 +78,71 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, remembered for a bounded number of words."""
+#: Multiplier of the polynomial hash of a word's bytes.
+FACTOR = 0x9E3779B97F4A7C15
+_powers: dict[int, np.ndarray] = {}
 
-    MOST = 300_000
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def powers(base: int, n: int) -> np.ndarray:
+    """base to the powers 0..n-1, modulo 2 to the 64; kept for the next call."""
+    if len(_powers.get(base, ())) < n:
+        row = np.full(max(n, 1 << 20), base, np.uint64)
+        row[0] = 1
+        _powers[base] = np.multiply.accumulate(row)
+    return _powers[base][:n]
 
-        if len(self) >= self.MOST:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def hashed_words(texts: list[bytes | None], table: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one text after another, and how many each text has.
+
+    Words are runs of bytes that are no ASCII blanks, once A-Z are lower-cased or bytes are replaced by a table. Nothing
+    is done word by word: a hash is the scrambled difference of two prefix sums of the bytes times powers of FACTOR.
+    """
+    data = b"\n".join([t or b"" for t in texts]) + b"\n"
+    data = np.frombuffer(data.translate(table) if table else data.lower(), np.uint8)
+    blank = BLANK[data]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if not blank[0]:
+        edges = np.concatenate([[0], edges])
+    starts, ends = edges[::2], edges[1::2]  # the last byte is blank
+    n = len(data)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(data * powers(FACTOR, n), out=sums[1:])
+    hashes = mix((sums[ends] - sums[starts]) * powers(pow(FACTOR, -1, 1 << 64), n)[starts])
+    bounds = np.cumsum([len(t or b"") + 1 for t in texts])
+    return hashes, np.diff(np.searchsorted(starts, bounds), prepend=0)
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit hash of each run of width consecutive words."""
-    n = len(hashes) - width + 1
-    out = np.zeros(max(n, 0), np.uint64)
+    n = max(len(hashes) - width + 1, 0)
+    out = np.full(n, width, np.uint64)
     for k in range(width):
-        out = mix(out + hashes[k : k + max(n, 0)] + np.uint64(k + 1))
+        out *= np.uint64(0xD6E8FEB86659FD93)
+        out += hashes[k : k + n]
+    return mix(out)
+
+
+def shingles(hashes: np.ndarray, counts: np.ndarray, width: int = 5) -> list[np.ndarray]:
+    """Each text's sorted set of shingle hashes; a shorter text is one shingle, an empty one none."""
+    every = windows(hashes, width)
+    out, begin = [], 0
+    for n in counts.tolist():
+        own = every[begin : begin + n - width + 1] if n >= width else windows(hashes[begin : begin + n], n)[: min(n, 1)]
+        begin += n
+        own = np.sort(own)
+        if len(own) > 1:
+            fresh = np.empty(len(own), bool)
+            fresh[0] = True
+            np.not_equal(own[1:], own[:-1], out=fresh[1:])
+            own = own[fresh]
+        out.append(own)
     return out
 
 
-def shingles(hashes: np.ndarray, width: int = 5) -> np.ndarray:
-    """The sorted set of a text's shingle hashes; a shorter text is one shingle, an empty one none."""
-    if not len(hashes):
-        return hashes
-    return np.unique(windows(hashes, min(width, len(hashes))))
-
-
 #: Ids up to which a set of documents is sent to the scanning tasks; more are joined by a shuffle.
 SENT_IDS = 1_000_000
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import WordHashes, components, dealt, groups, lists, only, ranges, rows_of, shingles, slices, store
+from lattica.llm.common import SENT_IDS, components, dealt, groups, hashed_words, lists, only, ranges, rows_of, shingles, slices, store
 
 WIDTH = 5
 #: Words of 64 bits in a bitmap.
@@ -33,11 +33,7 @@ GROUP = 2048
 #: Documents from which a token counts as frequent, and frequent tokens that tasks are told of, the most frequent first.
 FREQUENT, TOLD = 32, 1 << 20
 LEAF = 8
-
-
-def word_list(text: bytes | None) -> list[bytes]:
-    """Maximal runs without ASCII blanks, A-Z lower-cased."""
-    return (text or b"").lower().split()
+TEXT_BYTES = 2 << 20
 
 
 def node_of(tokens: np.ndarray) -> int:
@@ -147,9 +143,8 @@ def join_sets(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[t
 
 
 def _each_set(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    hashes = WordHashes()
-    for part in slices(batches):
-        yield part, [shingles(hashes.of(word_list(t)), WIDTH) for t in part.column("text").to_pylist()]
+    for part in slices(batches, most=TEXT_BYTES):
+        yield part, shingles(*hashed_words(part.column("text").to_pylist()), WIDTH)
 
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,8 +307,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
 
     # 1. nodes with the same smallest token
     heads = owners.groupBy("first").agg(F.count("*").alias("members")).where("members > 1")
-    met = store(owners.join(heads, "first").select("node", "doc_id", "first", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / GROUP)).cast("int").alias("part")), "met")
-    sets = whole_sets(docs, met).join(met.drop("doc_id"), "node")
+    heads = store(heads, "heads")
+    met = store(owners.join(heads, "first", "left_semi").select("doc_id"), "met")
+    large = store(heads.where(F.col("members") > GROUP), "large")
+    sets = whole_sets(docs, met).withColumn("first", F.get("tokens", F.lit(0)))
+    sets = sets.join(F.broadcast(large) if large.count() <= SENT_IDS else large, "first", "left")
+    parts = F.ceil(F.coalesce("members", F.lit(1)) / GROUP)
+    sets = sets.select("first", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), "node", "tokens")
     links = store(dealt(sets, "first", "part").mapInArrow(lambda b: _joined(b, percent), "a long, b long"), "links")
     labels = store(owners.select("node").join(components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
 

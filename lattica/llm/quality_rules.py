@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lattica.llm.common import WordHashes, rows_of, slices, windows
+from lattica.llm.common import hashed_words, rows_of, slices, windows
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -21,6 +21,7 @@ NAVIGATION, NOISE = 0.25, 0.5
 #: A document that loses more of its words than this is rejected.
 LOST = 0.5
 MIN_WORDS, MAX_REPEATED = 10, 0.2
+TEXT_BYTES = 2 << 20
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lost_words long, clean_text string"
 
@@ -60,10 +61,9 @@ def repeated_words(hashes: np.ndarray, width: int = 5) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
-def measure(text: str | None, hashes: WordHashes) -> tuple:
-    text = text or ""
-    words = text.encode().split()
-    n = len(words)
+def measure(text: str | None, hashes: np.ndarray) -> tuple:
+    """The row of a text, given the hashes of its words."""
+    text, n = text or "", len(hashes)
     seen, dup_lines, lost, clean = set(), 0, 0, []
     for line in text.split("\n"):
         own = line.encode().split()
@@ -75,7 +75,7 @@ def measure(text: str | None, hashes: WordHashes) -> tuple:
             lost += len(own)
         else:
             clean.append(line)
-    repeated = repeated_words(hashes.of(words))
+    repeated = repeated_words(hashes)
     failed = n < MIN_WORDS or repeated > MAX_REPEATED * n
     return n, len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SYMBOLS)), dup_lines, repeated, failed, not failed and lost <= LOST * n, lost, "\n".join(clean)
 
@@ -85,9 +85,10 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for part in slices(batches):
-            found = [measure(t, hashes) for t in part.column("text").cast(pa.string()).to_pylist()]
+        for part in slices(batches, most=TEXT_BYTES):
+            hashes, counts = hashed_words(part.column("text").to_pylist(), bytes(range(256)))
+            own = np.split(hashes, np.cumsum(counts)[:-1])
+            found = [measure(t, h) for t, h in zip(part.column("text").cast(pa.string()).to_pylist(), own, strict=True)]
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([x[i] for x in found], t) for i, t in enumerate(kinds))], names)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,17 +23,19 @@ ENDINGS = {"latin": {"m": ["n", "s", "rd", "lf"], "f": ["lia", "na", "ria", "tta
 NAME = r"\p{Lu}[\p{L}'’]+"
 TITLES = "|".join(MALE_TITLES + FEMALE_TITLES + OPEN_TITLES)
 GIVEN = "|".join(MALE_NAMES + FEMALE_NAMES)
-PERSON = rf"(?<![\p{{L}}\p{{N}}])(?:(?:{TITLES})\.?[  ](?:{NAME}[  ])?{NAME}|(?:{GIVEN})[  ]{NAME})"
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-KEY = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|xox[bp])[-_][A-Za-z0-9_-]{16,})(?![A-Za-z0-9])"
-IP = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
-SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-CARD = r"(?<![\w-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])"
-PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w-])|(?<!\w)\+\d{8,14}(?!\w)"
+#: The letters that a title or a listed name begins with: a cheap test that comes first.
+INITIAL = "[" + "".join(sorted({n[0] for n in MALE_TITLES + FEMALE_TITLES + OPEN_TITLES + MALE_NAMES + FEMALE_NAMES})) + "]"
+PERSON = rf"(?={INITIAL})(?<![\p{{L}}\p{{N}}])(?:(?:{TITLES})\.?[  ](?:{NAME}[  ])?{NAME}|(?:{GIVEN})[  ]{NAME})"
+EMAIL = r"(?=[A-Za-z0-9._%+-])(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+KEY = r"(?=[A-Za-z0-9])(?<![A-Za-z0-9])(?=[A-Za-z_-]*+[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|xox[bp])[-_][A-Za-z0-9_-]{16,})(?![A-Za-z0-9])"
+IP = r"(?=[0-9])(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
+SSN = r"(?=[0-9])(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
+CARD = r"(?=[0-9])(?<![\w-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])"
+PHONE = r"(?=[0-9+(])(?<![\w+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w-])|\+\d{8,14}(?!\w))"
 KINDS = {"email": EMAIL, "key": KEY, "ip": IP, "ssn": SSN, "card": CARD, "phone": PHONE, "person": PERSON}
 ANY = "|".join(KINDS.values())
-#: Cheaper than ANY, and met by every text that ANY is found in.
-HINT = rf"[@0-9]|(?:{TITLES}|{GIVEN})[.  ]|[a-fA-F]{{32}}|(?:sk|pk|ghp|xox)[bp_-]"
+#: Cheaper than ANY, and one of them met by every text that ANY is found in. Each begins with a class of a few ranges.
+HINTS = ["[@0-9]", rf"(?=[A-Z])(?:{TITLES}|{GIVEN})[.  ]", rf"(?=[А-Я])(?:{GIVEN})[  ]"]
 ROUNDS = 20
 
 
@@ -126,11 +129,13 @@ def _units(mention: Column) -> Column:
 
 
 def _dressed(kind: Column, text: Column, surrogate: Column) -> Column:
-    """A canonical surrogate in the format of the text it replaces: punctuation of numbers, case of names and addresses."""
+    """A canonical surrogate in the format of the text it replaces: punctuation of numbers, case of names and of each letter of an address."""
     at = lambda i: F.length(F.regexp_replace(F.substring(text, F.lit(1), i), "[^0-9]", ""))
     number = F.array_join(F.transform(_chars(text), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(surrogate, at(i + 1), F.lit(1))).otherwise(c)), "")
     cased = F.when(text == F.upper(text), F.upper(surrogate)).when(F.substring(text, 1, 1) == F.upper(F.substring(text, 1, 1)), F.concat(F.upper(F.substring(surrogate, 1, 1)), F.substring(surrogate, F.lit(2), F.length(surrogate)))).otherwise(surrogate)
-    return F.when(kind.isin("card", "phone", "ssn"), number).when(kind.isin("key", "ip"), surrogate).otherwise(cased)
+    letter = lambda i: F.substring(surrogate, i + 1, F.lit(1))
+    mail = F.array_join(F.transform(_chars(text), lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(letter(i))).otherwise(letter(i))), "")
+    return F.when(kind.isin("card", "phone", "ssn"), number).when(kind == "email", mail).when(kind.isin("key", "ip"), surrogate).otherwise(cased)
 
 
 def entity_surrogates(entities: DataFrame, key: str) -> DataFrame:
@@ -163,9 +168,9 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     are neither joined nor shuffled. Null texts stay null; repeated rows and null ids are treated like any row.
     """
     text = F.col(f"row.`{text_col}`").cast("string")
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("mentions", F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
-    some = F.size(F.coalesce("mentions", F.array().cast("array<string>"))) > 0
-    met = base.where(some).withColumn("copy", F.md5(text))
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("mentions", F.when(reduce(or_, [text.rlike(h) for h in HINTS]), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
+    some = F.coalesce(F.size("mentions"), F.lit(0)) > 0
+    met = store(base.where(some).withColumn("copy", F.md5(text)), "met")
     units = met.select("copy", F.explode(F.array_distinct("mentions")).alias("mention")).distinct().select("copy", "mention", F.posexplode(_units(F.col("mention"))).alias("at", "unit")).select("copy", "mention", "at", "unit.*")
     units = store(units, "units")
     surrogates = store(entity_surrogates(units.where("kind != 'title'"), key), "surrogates")

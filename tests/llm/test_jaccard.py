@@ -7,7 +7,7 @@ from lattica.llm import jaccard
 def brute(docs, percent=75):
     sets = []
     for _, text in docs:
-        w = jaccard.word_list((text or "").encode())
+        w = (text or "").encode().lower().split()
         sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
     parent = list(range(len(docs)))
 
