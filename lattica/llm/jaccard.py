@@ -16,7 +16,7 @@ order of all tokens. The order puts tokens of many documents last, so that group
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +41,27 @@ def node_of(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITMAP * 64, bool)
-    bits[(tokens >> np.uint64(20)) % np.uint64(BITMAP * 64)] = True
+def bitmap(tokens: np.ndarray, words: int = BITMAP) -> np.ndarray:
+    bits = np.zeros(words * 64, bool)
+    bits[(tokens >> np.uint64(20)) % np.uint64(words * 64)] = True
     return np.packbits(bits).view(np.uint64)
 
 
+def wide_bitmap(tokens: np.ndarray) -> np.ndarray:
+    """A bitmap of 8 to 16 bits for each token."""
+    return bitmap(tokens, max(BITMAP, 1 << (len(tokens) // 8).bit_length()))
+
+
+def may_reach(n: tuple[int, int], bits: tuple[np.ndarray, np.ndarray], percent: int) -> bool:
+    """Whether two sets of such sizes and wide bitmaps may reach the percentage; the wider one is folded."""
+    small, large = sorted(bits, key=len)
+    small_n, large_n = n if len(bits[0]) <= len(bits[1]) else n[::-1]
+    if len(large) > len(small):
+        large = np.bitwise_or.reduce(large.reshape(-1, len(small)))
+    overlap = -(-percent * sum(n) // (100 + percent))
+    return int(_ones(small & large)) >= overlap + max(int(_ones(small)) - small_n, int(_ones(large)) - large_n)
+
+
 def _ones(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
 
@@ -155,20 +170,20 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.int64())], ["doc_id", "node", "n", "first"])
 
 
-def whole_sets(docs: DataFrame, nodes: DataFrame, with_bitmap: bool = False) -> DataFrame:
-    """(node, tokens) or (node, n, bits) of the nodes of a stored table (node, doc_id)."""
+def whole_sets(docs: DataFrame, nodes: DataFrame, bits: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(node, tokens), or (node, n, bits) with a bitmap, of the nodes of a stored table (node, doc_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in _each_set(batches):
             sets = [s for s in sets if len(s)]
             ids = pa.array([node_of(s) for s in sets], pa.int64())
-            if with_bitmap:
-                yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], ["node", "n", "bits"])
+            if bits:
+                yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([bits(s).tobytes() for s in sets], pa.binary())], ["node", "n", "bits"])
             else:
                 for i in range(0, len(sets), 256):
                     yield pa.RecordBatch.from_arrays([ids.slice(i, 256), lists([s.view(np.int64) for s in sets[i : i + 256]], pa.int64())], ["node", "tokens"])
 
-    found = only(docs, nodes.select("doc_id")).mapInArrow(run, "node long, n long, bits binary" if with_bitmap else "node long, tokens array<long>")
+    found = only(docs, nodes.select("doc_id")).mapInArrow(run, "node long, n long, bits binary" if bits else "node long, tokens array<long>")
     return found
 
 
@@ -251,32 +266,54 @@ def _met(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.list_(pa.int64()))], ["nodes"])
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], percent: int, best: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of a group that its signature tree leaves; with best, for each node and component the one with most common bits."""
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """Of rows ordered by all keys, the last one first, where the first of those that agree in the first two is."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    a, b = keys[0][order], keys[1][order]
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return order[new]
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], percent: int, each: str) -> Iterator[pa.RecordBatch]:
+    """Pairs of a group that its signature tree leaves: all, or that with the largest share of common bits for each two components, or for each node and component."""
     for group in groups(batches, "list", "part"):
         nodes, labels, sizes = (group.column(c).to_numpy() for c in ("node", "label", "n"))
         bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(-1, BITMAP)
         out: list[list[np.ndarray]] = [[], [], []]
         for a, b, common in Tree(sizes, bits, labels, percent).pairs():
-            if best:
-                for x, y in ((a, b), (b, a)):
-                    order = np.lexsort((nodes[y], -common, labels[y], x))
-                    new = np.ones(len(order), bool)
-                    new[1:] = (x[order][1:] != x[order][:-1]) | (labels[y][order][1:] != labels[y][order][:-1])
-                    for o, v in zip(out, (nodes[x][order][new], nodes[y][order][new], common[order][new]), strict=True):
-                        o.append(v)
+            share = -(1000 * common // np.maximum(sizes[a], sizes[b]))
+            la, lb = labels[a], labels[b]
+            if each == "components":
+                k = [_firsts(np.minimum(la, lb), np.maximum(la, lb), share, nodes[a], nodes[b])]
+                ends = [(a, b)]
+            elif each == "nodes":
+                ends = [(a, b), (b, a)]
+                k = [_firsts(x, labels[y], share, nodes[y]) for x, y in ends]
             else:
-                for o, v in zip(out, (nodes[a], nodes[b], common), strict=True):
-                    o.append(v)
+                k, ends = [slice(None)], [(a, b)]
+            for pick, (x, y) in zip(k, ends, strict=True):
+                for o, v in zip(out, (nodes[x], nodes[y], share), strict=True):
+                    o.append(v[pick])
         if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o).astype(np.int64)) for o in out], ["a", "b", "common"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o).astype(np.int64)) for o in out], ["a", "b", "share"])
+
+
+def _reaching(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs whose wide bitmaps leave them."""
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y")), strict=True)
+        keep = [may_reach((n, m), (np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), percent) for n, m, x, y in rows]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _connected(docs: DataFrame, owners: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes that reach the percentage, compared exactly."""
-    pairs = store(pairs.select("a", "b").distinct(), "pairs")
-    nodes = store(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(owners, "node"), "nodes")
-    sets = store(whole_sets(docs, nodes).groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
+    ends = lambda: store(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(owners, "node"), "nodes")
+    wide = store(whole_sets(docs, ends(), wide_bitmap).dropDuplicates(["node"]), "wide")
+    drawn = pairs.join(wide.toDF("a", "n", "x"), "a").join(wide.toDF("b", "m", "y"), "b")
+    pairs = store(drawn.mapInArrow(lambda b: _reaching(b, percent), "a long, b long"), "reaching")
+    sets = store(whole_sets(docs, ends()).groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
     return store(both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
@@ -344,23 +381,32 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     shared = docs.mapInArrow(prefixes, "bucket int, tokens binary, nodes binary, sizes binary, places binary").repartition(many, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _met(b, percent), "nodes array<long>")
     member = store(shared.distinct().select(F.xxhash64("nodes").alias("list"), F.size("nodes").alias("members"), F.explode("nodes").alias("node")), "members")
     tested = None
-    for best in (True, False):
-        held = member.join(labels, "node")
-        mixed = held.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("list")
+    for each in ("components", "nodes", "all"):
+        several = labels.groupBy("label").agg((F.count("*") > 1).alias("several"))
+        held = member.join(labels.join(several, "label"), "node")
+        mixed = held.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("several").alias("several")).where("low < high")
+        if each != "components":  # components of one node have been compared
+            mixed = mixed.where("several")
+        mixed, held = mixed.select("list"), held.drop("several")
         held = store(held.join(mixed, "list"), "held")
         nodes = store(held.select("node").distinct().join(named, "node"), "nodes")
-        bits = store(whole_sets(docs, nodes, with_bitmap=True).dropDuplicates(["node"]), "bits")
+        bits = whole_sets(docs, nodes, bitmap).dropDuplicates(["node"])
         parts = F.ceil(F.col("members") / GROUP).cast("int")
         own = F.pmod(F.xxhash64("node"), parts).cast("int")
-        each = F.when(parts == 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.least(p, own) * parts + F.greatest(p, own)))
-        split = held.join(bits, "node").select("list", F.explode(each).alias("part"), "node", "label", "n", "bits")
-        pairs = dealt(split, "list", "part").mapInArrow(lambda b, best=best: _candidates(b, percent, best), "a long, b long, common long")
-        if best:
-            pairs = pairs.join(labels.toDF("b", "label"), "b").groupBy("a", "label").agg(F.max_by("b", F.struct("common", "b")).alias("b"))
-        pairs = store(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        meets = F.when(parts == 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.least(p, own) * parts + F.greatest(p, own)))
+        split = held.join(bits, "node").select("list", F.explode(meets).alias("part"), "node", "label", "n", "bits")
+        pairs = dealt(split, "list", "part").mapInArrow(lambda b, each=each: _candidates(b, percent, each), "a long, b long, share long")
+        if each != "all":
+            pairs = pairs.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b")
+            keys = [F.least("la", "lb"), F.greatest("la", "lb")] if each == "components" else ["a", "lb"]
+            pairs = pairs.groupBy(*keys).agg(F.min(F.struct("share", "a", "b")).alias("p")).select("p.*")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        tested = pairs
+        pairs = store(pairs, "pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        if pairs.isEmpty() and each != "components":
+            break
         labels = _relabel(labels, _connected(docs, named, pairs, percent))
 
     smallest = owners.join(labels, "node").groupBy("label").agg(F.min("doc_id").alias("component"))

@@ -84,6 +84,9 @@ def test_tree_keeps_every_pair():
     found = {tuple(sorted(p)) for a, b, _ in tree.pairs() for p in zip(a.tolist(), b.tolist(), strict=True)}
     want = {(i, j) for j in range(len(sets)) for i in range(j) if jaccard.similar(sets[i], sets[j], 75)}
     assert want and want <= found and len(found) < len(sets) ** 2 / 8
+    wide = [jaccard.wide_bitmap(s) for s in sets]
+    passed = {(i, j) for j in range(len(sets)) for i in range(j) if jaccard.may_reach((int(n[i]), int(n[j])), (wide[i], wide[j]), 75)}
+    assert want <= passed and len(passed) < 2 * len(want) + 20
 
 
 def test_against_brute_force(spark):
