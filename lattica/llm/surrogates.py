@@ -57,13 +57,14 @@ def _number(digest: Column, at: int, width: int = 4) -> Column:
     return F.conv(F.substring(digest, at, width), 16, 10).cast("long")
 
 
-def _same_shape(value: Column, digest: Column, hexadecimal: bool = False) -> Column:
-    """Letters and digits replaced by letters (of the same case) and digits, character by character; the rest stays."""
-    stream = F.concat(digest, F.sha2(digest, 256), F.sha2(F.concat(digest, F.lit("+")), 256), F.sha2(F.concat(digest, F.lit("-")), 256))
+def _same_shape(value: Column, stream: Column, letters: str = "abcdefghijklmnopqrstuvwxyz") -> Column:
+    """Letters and digits replaced by letters (of the same case) and digits, character by character; the rest stays.
+
+    stream is a column of hexadecimal digits: an expression would be computed again for each character.
+    """
 
     def one(c: Column, i: Column) -> Column:
         n = F.conv(F.substring(stream, F.pmod(2 * i, F.lit(250)).cast("int") + 1, 2), 16, 10).cast("int")
-        letters = "abcdef" if hexadecimal else "abcdefghijklmnopqrstuvwxyz"
         digit = F.substring(F.lit("0123456789"), F.pmod(n, F.lit(10)).cast("int") + 1, 1)
         small = F.substring(F.lit(letters), F.pmod(n, F.lit(len(letters))).cast("int") + 1, 1)
         return F.when(c.rlike("[0-9]"), digit).when(c.rlike("[a-z]"), small).when(c.rlike("[A-Z]"), F.upper(small)).otherwise(c)
@@ -82,17 +83,19 @@ def _luhn_digit(digits: Column) -> Column:
     return F.pmod(-F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add), F.lit(10)).cast("string")
 
 
-def _surrogate(key: str, kind: Column, canon: Column, round_: Column) -> Column:
-    """The canonical surrogate of a canonical entity, in some round."""
-    digest = _hex(key, kind, canon, round_.cast("string"))
-    local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
-    host, top = F.regexp_extract(domain, r"^(.*)(\.[^.]+)$", 1), F.regexp_extract(domain, r"^(.*)(\.[^.]+)$", 2)
-    email = F.concat(_same_shape(local, digest), F.lit("@"), _same_shape(host, _hex(key, F.lit("domain"), domain)), top)
+def _drawn(entities: DataFrame, key: str) -> DataFrame:
+    """entities (kind, canon, round) with the canonical ``surrogate`` of each in its round; every step is a column of its own, so that none is computed twice."""
+    kind, canon, round_ = F.col("kind"), F.col("canon"), F.col("round")
+    longer = lambda d: F.concat(d, F.sha2(d, 256), F.sha2(F.concat(d, F.lit("+")), 256), F.sha2(F.concat(d, F.lit("-")), 256))
+    digest, stream, shaped, digits, body, host, host_stream = (F.col(c) for c in ("digest", "stream", "shaped", "digits", "body", "host", "host_stream"))
+    out = entities.withColumns({"digest": _hex(key, kind, canon, round_.cast("string")), "host": F.when(kind == "email", F.regexp_extract(canon, r"@(.*)\.[^.]+$", 1))})
+    out = out.withColumns({"stream": longer(digest), "host_stream": F.when(kind == "email", _hex(key, F.lit("host"), host))})
+    out = out.withColumn("host_stream", longer(F.col("host_stream")))
+    out = out.withColumns({"shaped": F.when(kind == "key", _same_shape(canon, stream, "abcdef")).when(kind == "email", _same_shape(F.substring_index(canon, "@", 1), stream)).when(kind.isin("card", "phone", "ssn"), _same_shape(canon, stream)), "host": F.when(kind == "email", _same_shape(host, host_stream))})
+    out = out.withColumn("digits", F.concat(F.substring(canon, 1, 1), F.substring(shaped, F.lit(2), F.length(canon))))
+    out = out.withColumns({"body": F.substring(digits, F.lit(1), F.length(canon) - 1), "issued": F.substring(canon, F.lit(1), F.length(canon) - 1)})
+    valid = _luhn_digit(F.col("issued")) == F.substring(canon, -1, 1)
     octets = F.concat_ws(".", (_number(digest, 1) % 223 + 1).cast("string"), *[(_number(digest, at) % 256).cast("string") for at in (9, 17, 25)])
-    digits = F.concat(F.substring(canon, 1, 1), F.substring(_same_shape(canon, digest), F.lit(2), F.length(canon)))
-    body = F.substring(digits, F.lit(1), F.length(canon) - 1)
-    valid = _luhn_digit(F.substring(canon, F.lit(1), F.length(canon) - 1)) == F.substring(canon, -1, 1)
-    card = F.when(valid, F.concat(body, _luhn_digit(body))).otherwise(digits)
 
     def name(script: str, ending: str) -> Column:
         syllables = [_pick(SYLLABLES[script], _number(digest, at)) for at in (1, 9, 17)]
@@ -100,10 +103,11 @@ def _surrogate(key: str, kind: Column, canon: Column, round_: Column) -> Column:
         return F.concat(*syllables, longer, _pick(ENDINGS[script][ending], _number(digest, 33)))
 
     cyrillic = canon.rlike(r"\p{IsCyrillic}")
-    out = F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "card", card).when(kind == "key", _same_shape(canon, digest, hexadecimal=True))
+    value = F.when(kind == "email", F.concat(shaped, F.lit("@"), host, F.lit("."), F.substring_index(canon, ".", -1))).when(kind == "ip", octets).when(kind == "key", shaped).when(kind == "ssn", shaped)
+    value = value.when((kind == "card") & valid, F.concat(body, _luhn_digit(body)))
     for unit, ending in (("given_m", "m"), ("given_f", "f"), ("given_x", "x"), ("surname", "surname")):
-        out = out.when(kind == unit, F.when(cyrillic, name("cyrillic", ending)).otherwise(name("latin", ending)))
-    return out.otherwise(F.when(kind == "ssn", _same_shape(canon, digest)).otherwise(digits))
+        value = value.when(kind == unit, F.when(cyrillic, name("cyrillic", ending)).otherwise(name("latin", ending)))
+    return out.select("kind", "canon", "round", value.otherwise(digits).alias("surrogate"))
 
 
 def _kind(mention: Column) -> Column:
@@ -147,7 +151,7 @@ def entity_surrogates(entities: DataFrame, key: str) -> DataFrame:
     entities = store(entities.select("kind", "canon").distinct().withColumn("round", F.lit(0)), "entities")
     family = F.when(F.col("kind").startswith("given"), "given").otherwise(F.col("kind"))
     for _ in range(ROUNDS):
-        named = entities.withColumn("surrogate", _surrogate(key, F.col("kind"), F.col("canon"), F.col("round"))).withColumn("family", family)
+        named = store(_drawn(entities, key).withColumn("family", family), "drawn")
         clash = named.groupBy("family", "surrogate").agg(F.min(F.struct("kind", "canon")).alias("keeps"), F.count("*").alias("n")).where("n > 1")
         met = named.join(clash, ["family", "surrogate"]).where(F.struct("kind", "canon") != F.col("keeps")).select("kind", "canon")
         real = named.select("family", F.col("canon").alias("surrogate")).distinct()
