@@ -15,7 +15,9 @@ from lattica.llm.common import rows_of, slices
 
 SPACE = "▁"
 #: Segments remembered in each of two generations.
-REMEMBERED = 150_000
+REMEMBERED = 350_000
+#: Characters that a segment may begin with, if the vocabulary allows it.
+MARKS = ".,;:!?()[]{}\"'|#*$%&<>/+=-\n\t"
 TEXT_BYTES = 2 << 20
 
 
@@ -29,8 +31,9 @@ class Pieces:
     """Encodes texts with a merge-type SentencePiece model.
 
     A text becomes a marked blank and its characters, with blanks marked. Adjacent symbols are merged best score
-    first, the leftmost of equals, from an agenda of pairs. No piece holds a marked blank after another character, so
-    no merge crosses such a place: the segments between them are encoded alone and remembered. Each segment is
+    first, the leftmost of equals, from an agenda of pairs. A merge gives a piece, so none crosses a place between two
+    characters that no piece has next to each other. Texts are cut at such places, before marked blanks and before
+    those of MARKS that follow no letter or digit in any piece; segments are encoded alone and remembered. Each is
     compared with the sentencepiece library when it is first encoded, a batch at a time.
     """
 
@@ -44,13 +47,45 @@ class Pieces:
         named = {p: i for i, p in kinds if lib.is_byte(i)}
         self.bytes = [named.get(f"<0x{b:02X}>") for b in range(256)]
         self.unknown = lib.unk_id()
-        split = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
-        self.segments = re.compile(f"{SPACE}+[^{SPACE}]*" if split else "(?s).+").findall
-        self.young: dict[str, tuple[list[int], str]] = {}
-        self.old: dict[str, tuple[list[int], str]] = {}
+        self.decimals = [str(i) for i in range(lib.get_piece_size())]
+        self.segments = re.compile(self._segment()).findall
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+        self.lead = tuple(self.merge(f"{SPACE}a"))
+
+    def _segment(self) -> str:
+        """A pattern of segments."""
+        pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        if any(b == SPACE != a for a, b in pairs):
+            return "(?s).+"
+        marks = {m for m in MARKS if not any(b == m and (a.isalpha() or a.isdecimal()) for a, b in pairs)}
+        if not marks:
+            return f"{SPACE}+[^{SPACE}]*"
+        m = re.escape("".join(sorted(marks)))
+        before = re.escape("".join(sorted({a for a, b in pairs if b in marks and a not in marks and a != SPACE})))
+        more = f"(?:(?<=[{before}])[{m}]+[^{SPACE}{m}]*)*" if before else ""  # no cut after these
+        return f"{SPACE}+[{m}]*[^{SPACE}{m}]*{more}|[{m}]+[^{SPACE}{m}]*{more}"
 
     def merge(self, segment: str) -> list[int]:
         """The ids of one segment."""
+        return self._ids(self._merge_short(segment) if len(segment) <= 24 else self._merge_long(segment))
+
+    def _merge_short(self, segment: str) -> list[str]:
+        """With the agenda as a list of the scores of all pairs: for a few symbols faster than a heap."""
+        symbols, score, none = list(segment), self.scores.get, -float("inf")
+        agenda = [score(segment[i : i + 2], none) for i in range(len(segment) - 1)]
+        while agenda and (top := max(agenda)) > none:
+            i = agenda.index(top)
+            symbols[i] += symbols.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = score(symbols[i] + symbols[i + 1], none)
+            if i:
+                agenda[i - 1] = score(symbols[i - 1] + symbols[i], none)
+        return symbols
+
+    def _merge_long(self, segment: str) -> list[str]:
+        """With the agenda as a heap."""
         symbols, scores = list(segment), self.scores
         n = len(symbols)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -69,11 +104,13 @@ class Pieces:
                     heappush(agenda, (-scores[p], left, follower, p))
             if (leader := before[left]) >= 0 and (p := symbols[leader] + piece) in scores:
                 heappush(agenda, (-scores[p], leader, left, p))
+        return [s for s in symbols if s]
+
+    def _ids(self, symbols: list[str]) -> list[int]:
         out: list[int] = []
         for s in symbols:
-            if s:
-                i = self.ids.get(s)
-                out += [i] if i is not None else [self.unknown] if self.bytes[0] is None else [self.bytes[b] for b in s.encode()]
+            i = self.ids.get(s)
+            out += [i] if i is not None else [self.unknown] if self.bytes[0] is None else [self.bytes[b] for b in s.encode()]
         return out
 
     def learn(self, segments: set[str]) -> None:
@@ -87,20 +124,21 @@ class Pieces:
             if s in self.old:
                 self.young[s] = self.old[s]
             else:
-                ids = self.merge(s)
-                self.young[s] = ids, ",".join(map(str, ids))
+                self.young[s] = tuple(self.merge(s))
                 new.append(s)
-        checked = [s for s in new if len(s) > 1]  # the library adds the first blank, and gives nothing for an empty text
-        for s, ids in zip(checked, self.library.encode([s[1:].replace(SPACE, " ") for s in checked], num_threads=1), strict=True):
-            if ids != self.young[s][0]:
-                raise RuntimeError(f"{s!r} is encoded otherwise by the library: {ids} and {self.young[s][0]}")
-
-    def encode(self, texts: list[str | None]) -> list[list[tuple[list[int], str]]]:
-        """For each text, the ids of each of its segments and their decimal form."""
+        # the library puts a marked blank before a text, and gives nothing for an empty one
+        checked = [s for s in new if s != SPACE]
+        texts = [s[1:] if s[0] == SPACE else f"a{s}" for s in checked]
+        for s, ids in zip(checked, self.library.encode([t.replace(SPACE, " ") for t in texts], num_threads=1), strict=True):
+            if tuple(ids) != (self.young[s] if s[0] == SPACE else self.lead + self.young[s]):
+                raise RuntimeError(f"{s!r} is encoded otherwise by the library: {ids} and {self.young[s]}")
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        """The ids of each text."""
         cut = [self.segments(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         self.learn(set(chain.from_iterable(cut)))
-        known = self.young
-        return [[known[s] for s in c] for c in cut]
+        known = self.young.__getitem__
+        return [list(chain.from_iterable(map(known, c))) for c in cut]
 
 
 def _texts(part: pa.RecordBatch) -> list[str | None]:
@@ -113,7 +151,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model)
         for part in slices(batches, most=TEXT_BYTES):
-            ids = [list(chain.from_iterable(x[0] for x in t)) for t in pieces.encode(_texts(part))]
+            ids = pieces.encode(_texts(part))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return rows_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
@@ -137,10 +175,9 @@ def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         pieces = Pieces(model)
         for part in slices(batches, most=TEXT_BYTES):
             counts, ids_sha, text_sha = [], [], []
-            for segments in pieces.encode(_texts(part)):
-                ids = list(chain.from_iterable(x[0] for x in segments))
+            for ids in pieces.encode(_texts(part)):
                 counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join([x[1] for x in segments]).encode()).hexdigest())
+                ids_sha.append(hashlib.sha256(",".join(map(pieces.decimals.__getitem__, ids)).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(pieces.library.decode(ids).encode() if ids else b"").hexdigest())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
