@@ -77,7 +77,8 @@ class Network:
         logits = np.maximum(m + self.weights["bias"], 0) @ self.weights["out"] + self.weights["shift"]
         chunks = np.maximum(np.diff(begins) - 1, 1)
         mean = np.add.reduceat(logits, np.cumsum(chunks) - chunks) / chunks
-        return 1 / (1 + np.exp(-np.clip(mean.astype(float), -30, 30)))
+        # a matrix product rounds by the other rows of its slice; the result must not depend on them
+        return np.round(1 / (1 + np.exp(-np.clip(mean.astype(float), -30, 30))), 6)
 
     def gradients(self, texts: list[bytes], labels: np.ndarray) -> dict[str, np.ndarray]:
         w = self.weights
@@ -100,7 +101,7 @@ class Network:
                 use = hot if side == 0 else hot[follows[at[hot, f]]]
                 rows = rows if side == 0 else rows[follows[at[hot, f]]]
                 own = blocks[rows]
-                g["filters"][side, :, f] += dh[use, f] @ w["bytes"][own].reshape(len(rows), -1)
+                g["filters"][side, :, f] += dh[use, f] @ w["bytes"][own].reshape(len(rows), STRIDE * EMBEDDING)
                 spread = dh[use, f][:, None, None] * w["filters"][side, :, f].reshape(1, STRIDE, EMBEDDING)
                 np.add.at(g["bytes"], own, spread)
         return g
