@@ -169,6 +169,18 @@ def resolve_triples(triples: DataFrame) -> DataFrame:
     return case_fold(alias_resolution(triples))
 
 
+def lookup_template(documents: DataFrame, templates: DataFrame) -> DataFrame:
+    """Documents (with doc_class) with the columns of their class's template (class, ...), or of the general one.
+
+    templates has a row for each class: a few rows, sent to every task.
+    """
+    rest = [c for c in templates.columns if c != "class"]
+    general = templates.where("class = 'general'").select(F.struct(*rest).alias("general"))
+    own = templates.select(F.col("class").alias("doc_class"), F.struct(*rest).alias("own"))
+    out = documents.join(F.broadcast(own), "doc_class", "left").crossJoin(F.broadcast(general))
+    return out.select(*documents.columns, F.coalesce("own", "general").alias("template")).select(*documents.columns, "template.*")
+
+
 def pipeline_status(documents: DataFrame, triples: DataFrame) -> DataFrame:
     """Completed with counts for documents with triples, Failed for the others."""
     ends = triples.select("doc_id", F.explode(F.array("source", "target")).alias("name")).groupBy("doc_id").agg(F.count_distinct("name").alias("entity_count"))

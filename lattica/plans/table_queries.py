@@ -8,6 +8,7 @@ from lattica.functions import text as tx
 from lattica.operators import retrieve as rt
 from lattica.operators import tables as tb
 from lattica.operators import vectors as vc
+from lattica.operators.graph import needs_embedding
 from lattica.plans.base import GRAPH, graph, table
 
 
@@ -202,8 +203,42 @@ def flagship(s, d):
     return rt.answerability(q, rows).join(rt.build_context(rows), "question_id", "left")
 
 
+def starts(s, d):
+    q, (e, _) = _questions(s, d), graph(s, d)
+    found = rt.match_exact(q, e).withColumn("step", F.lit("A")).unionByName(rt.match_substring(q, e).withColumn("step", F.lit("B")))
+    return found.select("step", "question_id", "start")
+
+
+def second_hops(s, d):
+    """All rows of two hops from exact names, the best 50 of each question."""
+    e, r = graph(s, d)
+    rows = rt.hops(rt.match_exact(_questions(s, d), e), r, 50)
+    return rows.groupBy("question_id").agg(F.count("*").alias("n"), F.count("k").alias("with_second"), F.sum("weight1").alias("weight"))
+
+
+def unembedded(s, d):
+    e = _vectors(s, d).withColumn("embedding", F.when(F.col("vec_id") % 3 == 0, F.col("embedding")))
+    names = _vectors(s, d).select("user_id", "name").union(table(s, d, "nation").select((F.col("n_nationkey") % 5).cast("long"), "n_name"))
+    return needs_embedding(names, e)
+
+
+def appended(s, d):
+    asked = _vectors(s, d).select("user_id", F.concat(F.lit("Q"), "vec_id").alias("question"), F.when(F.col("vec_id") % 4 != 0, F.col("embedding")).alias("embedding"), F.concat(F.lit(" a"), "vec_id", F.lit(' <suggestions>["x"]</suggestions>')).alias("answer"), F.col("vec_id").alias("created_at"), (F.col("vec_id") % 3 == 0).alias("has_history"))
+    return vc.cache_append(_cache(s, d), asked).select("user_id", "question", "answer")
+
+
+def registered(s, d):
+    rows = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("filename"))
+    return tb.register_documents(rows).select("id", "filename", "status", F.col("created_at").isNotNull().alias("dated"))
+
+
 W = f"WITH {GRAPH}{ROWS} "
 QUERIES = {
+    "j3_j4_match_entities": (starts, f"WITH {GRAPH}{ROWS} SELECT step, question_id, start FROM starts"),
+    "j2_w1_second_hop": (second_hops, W + "SELECT question_id, count(*) AS n, count(k) AS with_second, CAST(sum(weight1) AS BIGINT) AS weight FROM rows_ WHERE step = 'A' GROUP BY question_id"),
+    "j8_needs_embedding": (unembedded, "SELECT vec_id % 5 AS user_id, 'v' || lpad(CAST(vec_id AS VARCHAR), 8, '0') AS name FROM embeddings WHERE vec_id % 3 <> 0 UNION SELECT n_nationkey % 5, n_name FROM nation"),
+    "v6_cache_append": (appended, "SELECT vec_id % 5 AS user_id, 'Question ' || CAST(vec_id % 90 AS VARCHAR) AS question, 'a' || CAST(vec_id AS VARCHAR) AS answer FROM embeddings UNION ALL SELECT vec_id % 5, 'Q' || CAST(vec_id AS VARCHAR), 'a' || CAST(vec_id AS VARCHAR) FROM embeddings WHERE vec_id % 4 <> 0 AND vec_id % 3 <> 0"),
+    "s7_register_documents": (registered, "SELECT doc_id AS id, source AS filename, 'Processing' AS status, true AS dated FROM documents"),
     "p1_tenant_scope": (scoped, "SELECT user_id, count(*) AS n FROM events WHERE user_id IN (SELECT c_custkey % 200 FROM customer WHERE c_acctbal > 0) GROUP BY user_id"),
     "p4_validate_upload": (uploads, UPLOADS),
     "p5_status_check": (lambda s, d: tb.status_violations(_day(s, d)).select("id"), f"SELECT event_id AS id FROM events WHERE {STATUS} = 'odd'"),

@@ -194,7 +194,21 @@ SELECT d.doc_id, CASE WHEN relation_count > 0 THEN 'Completed' ELSE 'Failed' END
 FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN c ON d.doc_id = c.doc_id
 """
 
+def templates(s, d):
+    kinds = s.createDataFrame([("general", "General", ["Entity"]), ("legal", "Legal", ["Party", "Court"]), ("news_journalism", "News", ["Person", "Event"])], "class string, label string, entity_types array<string>")
+    docs = table(s, d, "labels").select("doc_id", F.when(F.col("toxic") == 1, "news_journalism").when(F.col("quality") == 1, "legal").otherwise("odd").alias("doc_class"))
+    return ig.lookup_template(docs, kinds).select("doc_id", "label", F.array_join("entity_types", ",").alias("entity_types"))
+
+
+def edge_list(s, d):
+    c = table(s, d, "customer").join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = c.select("c_custkey", F.col("c_name").alias("Person A"), F.when(F.col("c_custkey") % 2 == 0, "LIVES_IN").otherwise("MARRIED_TO").alias("Relationship"), F.when(F.col("c_custkey") % 2 == 0, F.col("n_name")).otherwise(F.concat(F.lit("Spouse of "), "c_name")).alias("Person B"))
+    return ig.edge_list_to_triples(rows, ["c_custkey"])
+
+
 QUERIES = {
+    "x12_lookup_template": (templates, "SELECT doc_id, CASE WHEN toxic = 1 THEN 'News' WHEN quality = 1 THEN 'Legal' ELSE 'General' END AS label, CASE WHEN toxic = 1 THEN 'Person,Event' WHEN quality = 1 THEN 'Party,Court' ELSE 'Entity' END AS entity_types FROM labels"),
+    "s8_read_edge_list": (edge_list, "SELECT c_custkey, c_name AS source, 'Person' AS source_type, CASE WHEN c_custkey % 2 = 0 THEN 'LIVES_IN' ELSE 'MARRIED_TO' END AS relation, CASE WHEN c_custkey % 2 = 0 THEN n_name ELSE 'Spouse of ' || c_name END AS target, CASE WHEN c_custkey % 2 = 0 THEN 'Location' ELSE 'Person' END AS target_type FROM customer JOIN nation ON c_nationkey = n_nationkey"),
     "x1_normalise_entity_name": (normalise, r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')) AS name_md5 FROM documents"),
     "x2_cap_text": (cap, "SELECT doc_id, least(length(text), 20000) AS n, length(text) > 20000 AS truncated FROM documents"),
     "x3_chunk_text": (chunk, "SELECT doc_id, i AS chunk_idx, md5(substr(text, CAST(i * 1300 + 1 AS BIGINT), 1500)) AS content_md5 FROM (SELECT doc_id, text, unnest(generate_series(0, CASE WHEN length(text) <= 1500 THEN 0 ELSE CAST(ceil((length(text) - 1500) / 1300.0) AS BIGINT) END)) AS i FROM documents)"),
