@@ -17,4 +17,9 @@ QUERIES = {
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
-SQL = {"op7_quality_rules": quality_rules.OP7_SQL, "op10_line_dedup": line_dedup.OP10_SQL}
+SQL = {
+    "op1_decontamination": decontaminate.OP1_SQL,
+    "op5_jaccard_join": jaccard.OP5_SQL,
+    "op7_quality_rules": quality_rules.OP7_SQL,
+    "op10_line_dedup": line_dedup.OP10_SQL,
+}
