@@ -48,6 +48,12 @@ def test_surrogates(spark):
     assert sg.replace_entities(empty, "k").count() == 0
 
 
+def test_long_odd_texts(spark):
+    rows = [(1, "a-" * 200_000), (2, "x@y" + ".z" * 100_000), (3, "9" * 300_000), (4, "Mr " * 100_000), (5, "(1)-" * 50_000 + "@"), (6, "A" * 300_000 + "1")]
+    got = clean(spark, rows)
+    assert len(got) == len(rows) and {d: n for d, _, n in got}[1] == 0
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     monkeypatch.setattr(sg, "SYLLABLES", {k: v[:3] for k, v in sg.SYLLABLES.items()})
     monkeypatch.setattr(sg, "ENDINGS", {k: {e: x[:1] for e, x in v.items()} for k, v in sg.ENDINGS.items()})
