@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 from lattica.functions.text import validate_class
 
@@ -48,7 +48,7 @@ def embed_in_batches(df: DataFrame, embed: Callable[[list[str]], list[list[float
     """Adds the vectors that embed returns for lists of at most size texts, in their order; null for a list that fails, and everywhere without embed."""
     if embed is None:
         return df.withColumn(out, F.lit(None).cast("array<float>"))
-    schema = df.drop(out).schema.add(out, ArrayType(FloatType()))
+    schema = StructType([*df.drop(out).schema.fields, StructField(out, ArrayType(FloatType()))])
     columns = df.drop(out).columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,4 +82,4 @@ def propose_types(names: DataFrame, classifier: Callable[[list[str]], dict[str,
                 proposed += [got.get(n) for n in part]
             yield frame.assign(proposed=proposed)
 
-    return names.mapInPandas(run, names.schema.add("proposed", "string"))
+    return names.mapInPandas(run, StructType([*names.schema.fields, StructField("proposed", StringType())]))
