@@ -196,17 +196,21 @@ def ranges(spark: SparkSession, n_bytes: int, each: int = 8 << 20) -> int:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of each node of edges (a, b), label the smallest node that it is connected with.
 
-    Alternating large-star and small-star rounds; each is a few joins and is written to the shared folder.
+    Alternating large-star and small-star rounds until only stars are left; each is a few joins and is written to the
+    shared folder.
     """
     edges = store(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi != lo").distinct(), "edges")
-    state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
-    before, now = None, state(edges)
-    while now != before and now[0]:
+
+    def stars(e: DataFrame) -> bool:
+        """Whether every node but the smallest of each component has one edge, to that one."""
+        several = e.groupBy("hi").agg(F.count("*").alias("n")).where("n > 1").select("hi")
+        return several.union(e.join(e.select(F.col("lo").alias("hi")), "hi", "left_semi").select("hi")).isEmpty()
+
+    while not stars(edges):
         both = edges.union(edges.select("lo", "hi")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi != lo").distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.explode(F.array(F.struct(F.col("hi").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.*")
         edges = store(small.where("hi != lo").distinct(), "edges")
-        before, now = now, state(edges)
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("label")).union(edges.select("lo", "lo").distinct())

@@ -136,15 +136,16 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def join_sets(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect the members of a group as all its links do."""
-    parent, out = list(range(len(nodes))), []
+    """Each member of a group that is connected with a smaller one, and the smallest that it is connected with."""
+    order = np.argsort(nodes, kind="stable")
+    nodes, sets = nodes[order], [sets[i] for i in order]
+    parent = list(range(len(nodes)))
     sizes = np.array([len(s) for s in sets])
 
     def meet(i: int, j: int) -> None:
         a, b = _root(parent, i), _root(parent, j)
         if a != b and similar(sets[i], sets[j], percent):
             parent[max(a, b)] = min(a, b)
-            out.append((int(nodes[i]), int(nodes[j])))
 
     if len(nodes) > LEAF:  # members like the middle one are connected before the tree is built
         middle = int(np.argsort(sizes, kind="stable")[len(sizes) // 2])
@@ -154,7 +155,8 @@ def join_sets(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[t
     for a, b, _ in tree.pairs():
         for i, j in zip(a.tolist(), b.tolist(), strict=True):
             meet(i, j)
-    return out
+    roots = [_root(parent, i) for i in range(len(nodes))]
+    return [(int(nodes[i]), int(nodes[r])) for i, r in enumerate(roots) if i != r]
 
 
 def _each_set(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -213,6 +215,8 @@ def _buckets(parts: int) -> int:
 
 def _ranged(tokens: np.ndarray, low: int, owners: tuple | None) -> Iterator[pa.RecordBatch]:
     """Tokens by ranges, of values that differ in the lowest bits; with owners, also the node and size of the set that each comes from."""
+    if not len(tokens):
+        return
     order = np.argsort(tokens, kind="stable")
     tokens = tokens[order]
     bucket = (tokens >> np.uint64(low)).astype(np.int64)

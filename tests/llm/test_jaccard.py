@@ -53,6 +53,8 @@ def test_edges(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS node", "2 AS n", "'a' AS list")
     assert got(jaccard.near_duplicates(df)) == brute(docs)
     assert jaccard.near_duplicates(df.limit(0)).count() == 0
+    few = [(1, None), (2, ""), (3, "a b"), (4, "A b"), (5, "c")]
+    assert got(jaccard.near_duplicates(spark.createDataFrame(few, "doc_id long, text string"))) == brute(few)
 
 
 def test_split_groups(spark, monkeypatch):
