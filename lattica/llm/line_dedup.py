@@ -7,6 +7,8 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.common import store
+
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -41,6 +43,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         shared = keyed.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
     else:
         shared = keyed.select("h1", "h2", "id").distinct().groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("n")).where(F.col("n") >= min_docs).drop("n")
+    shared = store(shared, "shared-lines")  # a table of its own: a skewed side of the join can then be split
     dropped = keyed.join(shared, ["h1", "h2"]).where("id != first").groupBy("id", "copy").agg(F.collect_set("at").alias("gone"))
     n = F.size(lines())
     left = F.when(F.col("gone").isNull(), F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))).otherwise(
