@@ -20,12 +20,14 @@ FEMALE_NAMES = ["Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Susan", "
 SYLLABLES = {"latin": ["ba", "be", "bo", "da", "de", "do", "fa", "fe", "ga", "go", "ha", "ja", "ka", "ke", "la", "le", "lo", "ma", "me", "mo", "na", "ne", "no", "pa", "pe", "ra", "re", "ro", "sa", "se", "ta", "to"], "cyrillic": ["ба", "бе", "бо", "да", "де", "до", "фа", "фе", "га", "го", "ха", "жа", "ка", "ке", "ла", "ле", "ло", "ма", "ме", "мо", "на", "не", "но", "па", "пе", "ра", "ре", "ро", "са", "се", "та", "то"]}
 ENDINGS = {"latin": {"m": ["n", "s", "rd", "lf"], "f": ["lia", "na", "ria", "tta"], "x": ["n", "s", "l", "r"], "surname": ["mann", "son", "ler", "ard"]}, "cyrillic": {"m": ["н", "р", "й", "м"], "f": ["ля", "на", "рия", "тта"], "x": ["н", "р", "л", "м"], "surname": ["нов", "рин", "ский", "лев"]}}
 
-NAME = r"\p{Lu}[\p{L}'’]+"
+#: A name, with what follows a hyphen or an apostrophe but for a lone letter, as in Smith's; and initials between names.
+NAME = r"\p{Lu}(?:\p{L}|['’](?=\p{L}{2}))++(?:-\p{Lu}(?:\p{L}|['’](?=\p{L}{2}))++){0,4}+"
+INITIALS = r"(?:(?:\p{Lu}\.){1,3}[  ]){0,2}"
 TITLES = "|".join(MALE_TITLES + FEMALE_TITLES + OPEN_TITLES)
 GIVEN = "|".join(MALE_NAMES + FEMALE_NAMES)
 #: The letters that a title or a listed name begins with: a cheap test that comes first.
 INITIAL = "[" + "".join(sorted({n[0] for n in MALE_TITLES + FEMALE_TITLES + OPEN_TITLES + MALE_NAMES + FEMALE_NAMES})) + "]"
-PERSON = rf"(?={INITIAL})(?<![\p{{L}}\p{{N}}])(?:(?:{TITLES})\.?[  ](?:{NAME}[  ])?{NAME}|(?:{GIVEN})[  ]{NAME})"
+PERSON = rf"(?={INITIAL})(?<![\p{{L}}\p{{N}}])(?:(?:{TITLES})\.?[  ](?:{NAME}[  ])?{INITIALS}{NAME}|(?:{GIVEN})[  ]{INITIALS}{NAME})"
 EMAIL = r"(?=[A-Za-z0-9._%+-])(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,8}"
 KEY = r"(?=[A-Za-z0-9])(?<![A-Za-z0-9])(?=[A-Za-z_-]{0,128}+[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|xox[bp])[-_][A-Za-z0-9_-]{16,})(?![A-Za-z0-9])"
 IP = r"(?=[0-9])(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
@@ -126,7 +128,7 @@ def _units(mention: Column) -> Column:
     titled = title.isin(MALE_TITLES + FEMALE_TITLES + OPEN_TITLES)
 
     def part(word: Column, i: Column) -> Column:
-        role = F.when(titled & (i == 0), "title").when(i == F.size(words) - 1, "surname").otherwise(F.concat(F.lit("given_"), gender))
+        role = F.when((titled & (i == 0)) | word.rlike(r"^(\p{Lu}\.)+$"), "title").when(i == F.size(words) - 1, "surname").otherwise(F.concat(F.lit("given_"), gender))
         return unit(role, F.lower(word), word)
 
     return F.when(kind == "person", F.transform(words, part)).otherwise(F.array(unit(kind, canon, mention)))
@@ -168,7 +170,8 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     E-mail addresses, telephone numbers, payment cards (valid check digits stay valid), social security numbers, IP
     addresses, access keys and persons (a title or a listed given name, then a name) are found by patterns. An
     entity, in whatever format it is written, has one surrogate in the whole corpus, drawn with the key; a given
-    name keeps its gender and script, and a surname alone gets what it gets in a full name. Texts without an entity
+    name keeps its gender and script. A name alone, with a capital, is replaced too in a text that has it in a full
+    mention (not counted in n_entities), and gets what it gets there; initials between names stay. Texts without an entity
     are neither joined nor shuffled. Null texts stay null; repeated rows and null ids are treated like any row.
     """
     text = F.col(f"row.`{text_col}`").cast("string")
@@ -183,9 +186,19 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     parts = known.groupBy("copy", "mention").agg(F.array_sort(F.collect_list(F.struct("at", part.alias("text")))).alias("parts"))
     pairs = parts.select("copy", F.struct("mention", F.array_join(F.transform("parts", lambda p: p["text"]), " ").alias("by")).alias("pair"))
     maps = pairs.groupBy("copy").agg(F.map_from_entries(F.collect_list("pair")).alias("by"))
+    # what else a text says of the persons it names: their names alone, a surname before a given name
+    person = known.where("surrogate IS NOT NULL AND (kind = 'surname' OR kind LIKE 'given%')").groupBy("copy", "canon").agg(F.max(F.struct("kind", "surrogate")).alias("best"))
+    names = person.groupBy("copy").agg(F.map_from_entries(F.collect_list(F.struct("canon", "best.surrogate"))).alias("names"))
+
+    def bare(word: Column) -> Column:
+        surrogate = F.element_at("names", F.lower(word))
+        return F.when(word.rlike(r"^\p{Lu}") & surrogate.isNotNull(), _dressed(F.lit("surname"), word, surrogate)).otherwise(word)
+
+    words = lambda gap: F.array_join(F.transform(F.regexp_extract_all(gap, F.lit(rf"{NAME}|[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+"), F.lit(0)), bare), "")
     gaps = F.split(text, ANY, -1)
+    gaps = F.when(F.col("names").isNull(), gaps).otherwise(F.transform(gaps, words))
     clean = F.array_join(F.flatten(F.zip_with(gaps, F.col("mentions"), lambda gap, m: F.array(gap, F.coalesce(F.element_at("by", m), F.lit(""))))), "")
-    done = met.join(maps, "copy").select("row", clean.alias("clean"), F.size("mentions").cast("long").alias("n_entities"))
+    done = met.join(maps, "copy").join(names, "copy", "left").select("row", clean.alias("clean"), F.size("mentions").cast("long").alias("n_entities"))
     return done.unionByName(base.where(~some).select("row", text.alias("clean"), F.lit(0).cast("long").alias("n_entities")))
 
 

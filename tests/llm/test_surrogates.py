@@ -48,6 +48,15 @@ def test_surrogates(spark):
     assert sg.replace_entities(empty, "k").count() == 0
 
 
+def test_names_alone_and_joined(spark):
+    rows = [(1, TEXT[2]), (2, "Mr John Smith came. Smith said that John's dog, SMITH and Smith's car; blacksmith Smithers smith."), (3, "Mr Smith-Jones and Dr. John Q. Public left; Smith-Jones and Public agreed. Public's hat."), (4, "Smith is not named here.")]
+    got = {d: t for d, t, _ in clean(spark, rows)}
+    assert "Smith" not in got[1] and not re.search(r"Smith\b|John|SMITH", got[2]) and "blacksmith Smithers smith." in got[2]
+    surname = re.search(r"Mr (\w+) (\w+) came\. (\w+) said that (\w+)'s dog, (\w+) and (\w+)'s car", got[2]).groups()
+    assert surname[1] == surname[2] == surname[5] == surname[4].capitalize() and surname[0] == surname[3]
+    assert not re.search("Smith|Jones|John|Public", got[3]) and got[4] == rows[3][1]
+
+
 def test_long_odd_texts(spark):
     rows = [(1, "a-" * 200_000), (2, "x@y" + ".z" * 100_000), (3, "9" * 300_000), (4, "Mr " * 100_000), (5, "(1)-" * 50_000 + "@"), (6, "A" * 300_000 + "1")]
     got = clean(spark, rows)
