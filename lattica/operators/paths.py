@@ -89,7 +89,10 @@ def pagerank(nodes: DataFrame, links: DataFrame, rounds: int = 20, damping: floa
 
 
 def hierarchy_levels(nodes: DataFrame, links: DataFrame, most: int = 1000) -> DataFrame:
-    """(user_id, id, level): directed hops from the nodes without incoming links, or from the smallest name of a tenant without any; what is not reached comes one level below the last."""
+    """(user_id, id, level): directed hops from the nodes without incoming links, or from the smallest name of a tenant without any; what is not reached comes one level below the last.
+
+    An error if nodes are left to go on from after most - 1 levels.
+    """
     names = nodes.select("user_id", "id").distinct()
     edges = kept(links.where("source != target").select("user_id", "source", "target").distinct())
     roots = names.join(links.select("user_id", F.col("target").alias("id")), ["user_id", "id"], "left_anti")
@@ -102,5 +105,7 @@ def hierarchy_levels(nodes: DataFrame, links: DataFrame, most: int = 1000) -> Da
         if frontier.isEmpty():
             break
         reached = kept(reached.unionByName(frontier))
+    else:
+        raise RuntimeError(f"the hierarchy is deeper than {most - 1} levels: raise most")
     last = F.max("level").over(Window.partitionBy("user_id"))
     return names.join(reached, ["user_id", "id"], "left").select("user_id", "id", F.coalesce("level", last + 1).alias("level"))

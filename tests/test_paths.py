@@ -1,3 +1,4 @@
+import pytest
 from lattica.operators import paths as p
 
 R = "user_id string, source string, target string, type string, weight long, source_files array<string>"
@@ -44,3 +45,11 @@ def test_hierarchy(spark):
     edges = [("u", "a", "b"), ("u", "b", "c"), ("u", "a", "c"), ("u", "d", "e"), ("u", "e", "d"), ("w", "p", "q"), ("w", "q", "p"), ("w", "r", "r")]
     got = {(r.user_id, r.id): r.level for r in p.hierarchy_levels(nodes, spark.createDataFrame(edges, "user_id string, source string, target string")).collect()}
     assert got == {("u", "a"): 0, ("u", "x"): 0, ("u", "b"): 1, ("u", "c"): 1, ("u", "d"): 2, ("u", "e"): 2, ("w", "p"): 0, ("w", "q"): 1, ("w", "r"): 2}
+
+
+def test_hierarchy_deeper_than_its_bound(spark):
+    nodes = spark.createDataFrame([("u", v) for v in "abcd"], "user_id string, id string")
+    links = spark.createDataFrame([("u", "a", "b"), ("u", "b", "c"), ("u", "c", "d")], "user_id string, source string, target string")
+    with pytest.raises(RuntimeError):
+        p.hierarchy_levels(nodes, links, most=3)
+    assert {r.id: r.level for r in p.hierarchy_levels(nodes, links, most=5).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
