@@ -410,7 +410,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         pairs = store(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
         if pairs.isEmpty() and each != "components":
-            break
+            continue  # the best pairs may all be tested, and others not
         labels = _relabel(labels, _connected(docs, named, pairs, percent))
 
     smallest = owners.join(labels, "node").groupBy("label").agg(F.min("doc_id").alias("component"))

@@ -94,3 +94,30 @@ def test_tree_keeps_every_pair():
 def test_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert got(jaccard.near_duplicates(docs)) == brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_pairs_behind_tested_best_ones(spark, monkeypatch):
+    """A path a2, a1, b2, b1 of links, where bitmaps that are full rank a1-b2 last: b1 and b2 share their smallest token."""
+
+    def path(seed):
+        r = random.Random(seed)
+        steps = [[f"{seed}w{i}" for i in range(200)]]
+        for k, at in enumerate((20, 80, 140)):
+            steps.append(steps[-1][:at] + [f"{seed}x{k}{i}" for i in range(17 + r.randrange(7))] + steps[-1][at + 20 :])
+        return [" ".join(w) for w in steps]
+
+    def fits(texts):
+        a2, a1, b2, b1 = (jaccard.shingles(*jaccard.hashed_words([t.encode()]))[0] for t in texts)
+        firsts = [int(s[0]) for s in (a2, a1, b2, b1)]
+        linked = [jaccard.similar(x, y, 75) for x, y in ((a2, a1), (a1, b2), (b2, b1))]
+        apart = [jaccard.similar(x, y, 75) for x, y in ((a2, b2), (a1, b1), (a2, b1))]
+        ranked = len(a1) < len(b2) == len(a2) > len(b1) and jaccard.node_of(a2) < jaccard.node_of(a1) and jaccard.node_of(b2) < jaccard.node_of(b1)
+        return all(linked) and not any(apart) and ranked and firsts[2] == firsts[3] and len(set(firsts)) == 3
+
+    def full(s):
+        return np.full(jaccard.BITMAP, 2**64 - 1, np.uint64)
+
+    texts = next(t for t in map(path, range(20_000)) if fits(t))
+    monkeypatch.setattr(jaccard, "bitmap", full)
+    docs = list(enumerate(texts, 1))
+    assert got(jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
