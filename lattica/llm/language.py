@@ -21,8 +21,11 @@ SAMPLE = 600
 CENTROIDS = 4
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
-#: A text is rejected if its cosine is below this share of the lowest one in the sample of the language.
-SLACK = 0.25
+#: A text is rejected if its cosine is below that of this share of the language's texts that are as long, by
+#: the centroids of the other half of them; a length with fewer than ENOUGH texts takes the floor of a shorter one.
+QUANTILE, ENOUGH = 0.005, 30
+#: Lengths in characters, up to the next one, that have floors of their own.
+LENGTHS = np.array([0, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096])
 
 
 @cache
@@ -68,12 +71,35 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12, least: float = 0.04) -> np.
     return c
 
 
+def length_class(texts: list[str | None]) -> np.ndarray:
+    """The number of each text's entry of LENGTHS."""
+    return np.searchsorted(LENGTHS, [len(t or "") for t in texts], "right") - 1
+
+
+def floors(texts: list[str], idf: np.ndarray, k: int) -> np.ndarray:
+    """The floor of each length: longer texts are cut to the shortest of that length, so that all lengths are learned from all texts."""
+    x = vectors(texts, idf)
+    out = np.zeros(len(LENGTHS))
+    if len(texts) < 2 * ENOUGH:
+        return out
+    halves = [cluster(x[i::2], k) for i in (0, 1)]
+    for at, least in enumerate(LENGTHS.tolist()):
+        near = []
+        for i, c in enumerate(halves):
+            own = [t[:least] for t in texts[1 - i :: 2] if least and len(t) >= least]
+            if own:
+                near.append((vectors(own, idf) @ c.T).max(axis=1))
+        near = np.concatenate(near) if near else np.zeros(0)
+        out[at] = np.quantile(near, QUANTILE) if len(near) >= ENOUGH else out[at - 1] if at else 0.0
+    return np.maximum.accumulate(out)
+
+
 @dataclass
 class Model:
     idf: np.ndarray
     langs: list[str]  # of each centroid
     centroids: np.ndarray
-    floors: np.ndarray  # the cosine below which a text is rejected
+    floors: np.ndarray  # the cosine below which a text is rejected, of each centroid and length
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, cosine and whether the text is rejected."""
@@ -83,7 +109,7 @@ class Model:
         best = np.argmax(near, axis=1)
         score = np.clip(near[np.arange(len(texts)), best], 0, 1).astype(float)
         known = np.array([bool(t and LETTER.search(t)) for t in texts], bool)
-        return [self.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, score, 0.0), ~known | (score < self.floors[best])
+        return [self.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, score, 0.0), ~known | (score < self.floors[best, length_class(texts)])
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
@@ -109,20 +135,22 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
     idf = np.array([np.log((1 + n) / (1 + df.get(i, 0))) + 1 for i in range(DIMS)], np.float32)
     shares = {r.lang: min(1.0, sample / r.n) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not shares:
-        return Model(idf, [], np.zeros((0, DIMS), np.float32), np.zeros(0))
+        return Model(idf, [], np.zeros((0, DIMS), np.float32), np.zeros((0, len(LENGTHS))))
     share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("lang")]
 
     def centroids(table: pa.Table) -> pa.Table:
         table = table.sort_by([("draw", "ascending"), ("text", "ascending")])
-        x = vectors(table.column("text").to_pylist(), idf)
-        x = x[x.any(axis=1)]
+        texts = table.column("text").to_pylist()
+        x = vectors(texts, idf)
+        some = x.any(axis=1)
+        x, texts = x[some], [t for t, s in zip(texts, some, strict=True) if s]
         c = cluster(x, k) if len(x) else np.zeros((0, DIMS), np.float32)
-        floor = np.full(len(c), (x @ c.T).max(axis=1).min() if len(x) else 0.0)
-        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * len(c), pa.string()), "centroid": pa.array(list(c), pa.list_(pa.float32())), "floor": pa.array(floor, pa.float64())})
+        floor = [floors(texts, idf, k).tolist()] * len(c)
+        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * len(c), pa.string()), "centroid": pa.array(list(c), pa.list_(pa.float32())), "floor": pa.array(floor, pa.list_(pa.float64()))})
 
     drawn = rows.where(F.pmod("draw", F.lit(1 << 20)) < share * (1 << 20)).select("text", "lang", "draw")
-    got = sorted(drawn.groupBy("lang").applyInArrow(centroids, "lang string, centroid array<float>, floor double").collect(), key=lambda r: (r.lang, r.centroid))
-    return Model(idf, [r.lang for r in got], np.array([r.centroid for r in got], np.float32).reshape(-1, DIMS), SLACK * np.array([r.floor for r in got]))
+    got = sorted(drawn.groupBy("lang").applyInArrow(centroids, "lang string, centroid array<float>, floor array<double>").collect(), key=lambda r: (r.lang, r.centroid))
+    return Model(idf, [r.lang for r in got], np.array([r.centroid for r in got], np.float32).reshape(-1, DIMS), np.array([r.floor for r in got]).reshape(-1, len(LENGTHS)))
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

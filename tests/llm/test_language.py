@@ -25,3 +25,17 @@ def test_edges(spark):
     empty = language.fit(docs.limit(0))
     assert {r.lang_pred for r in language.identify(docs, empty).collect()} == {"und"}
     assert language.identify(docs.limit(0), model).count() == 0
+
+
+def test_rejects_what_was_not_learned(spark):
+    import random
+
+    r = random.Random(1)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.trained(docs)
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä."
+    greek = "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση."
+    noise = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 10))) for _ in range(60))
+    odd = [finnish, finnish * 5, greek, noise, noise * 5]
+    langs, scores, rejected = model.predict(odd)
+    assert rejected.all(), (sorted(set(model.langs)), langs, scores, model.floors.round(3).tolist())
