@@ -25,7 +25,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Returns a struct column ``row`` (the input row), ``kept`` (the text left, lines joined by newlines), ``n_lines``
     and ``n_dropped``, one row for each input row. Lines are exploded to (id, position, 128-bit hash of the key);
     counts are combined before the shuffle, and only rows of shared keys are joined back, so a line that a third of
-    all documents hold costs one small row for each of them.
+    all documents hold costs one small row for each of them. Two documents or more hold a key if its smallest and
+    largest ids differ, so for min_docs of 2 these stand for the distinct count; else ids are counted.
 
     Null or empty text is one empty line. A row with a null id keeps all its lines and counts for no key. Rows that
     repeat an id count as one document; a line repeated within its first document stays there each time.
@@ -46,9 +47,10 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = store(shared, "shared-lines")  # a table of its own: a skewed side of the join can then be split
     dropped = keyed.join(shared, ["h1", "h2"]).where("id != first").groupBy("id", "copy").agg(F.collect_set("at").alias("gone"))
     n = F.size(lines())
-    left = F.when(F.col("gone").isNull(), F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))).otherwise(
-        F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), n - 1), "gone"), lambda i: F.get(lines(), i)), "\n")
-    )
+    stay = F.array_except(F.sequence(F.lit(0), n - 1), "gone")
+    # the one element of the outer array is the text's lines: split once, however many stay
+    joined = F.transform(F.array(lines()), lambda own: F.array_join(F.transform(stay, lambda i: F.get(own, i)), "\n"))[0]
+    left = F.when(F.col("gone").isNull(), F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))).otherwise(joined)
     return base.join(dropped, ["id", "copy"], "left").select("row", left.alias("kept"), n.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
 
 

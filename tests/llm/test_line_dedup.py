@@ -30,3 +30,13 @@ def test_against_brute_force(spark):
     assert drop_repeated_lines(df.limit(0)).count() == 0
     plan = got._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_long_texts_take_linear_time(spark):
+    """Kept lines are picked from one split of the text: 200,000 lines would take an hour if each were a split of its own."""
+    shared = [f"shared line number {i}" for i in range(0, 200_000, 2)]
+    long = "\n".join(f"{'shared' if i % 2 == 0 else 'own'} line number {i}" for i in range(200_000))
+    docs = [(1, "\n".join(shared)), (2, long)]
+    got = {r.row.doc_id: r for r in drop_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert (got[2].n_lines, got[2].n_dropped) == (200_000, 100_000) and got[1].n_dropped == 0
+    assert got[2].kept == "\n".join(f"own line number {i}" for i in range(1, 200_000, 2))
