@@ -1,18 +1,18 @@
 """Benchmark decontamination (operator 1) with a distributed positional inverted index.
 
-``build_index`` writes the postings of the test terms in the training texts, one row for each segment of about 8 MB
-of text. A segment is a whole index of its own documents, so a phrase is found inside one segment: ``search`` sends
-the test phrases to the segments and moves no posting through a shuffle.
+``build_index`` writes the postings of every term of the training texts, one row for each segment of about 8 MB of text,
+once for any number of test sets. A segment is a whole index of its own documents, so a phrase is found inside one
+segment: ``search`` sends the test phrases to the segments, a block at a time, and moves no posting through a shuffle.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
-from itertools import repeat
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +20,12 @@ from lattica.llm.common import arrow_schema, rows_of, slices, store
 
 #: Bytes to blanks (all but 0-9, a-z and what is not ASCII), and A-Z to a-z.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-#: Positions left free between two documents of a segment; a proximity match tolerates less.
-GAP = 32
 #: Test texts sent to the tasks at once; more of them are searched in as many passes over the stored index.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
+#: Starts looked up at once in a segment.
+LOOKED = 1 << 18
 
-INDEX = "doc_id array<bigint>, copy array<bigint>, n_words array<int>, terms array<string>, ends array<int>, positions array<int>"
+INDEX = "doc_id array<bigint>, copy array<bigint>, n_words array<bigint>, terms array<binary>, counts binary, positions binary"
 MATCHES = "doc_id bigint, copy bigint, n_words bigint, spans array<struct<start:int,end:int>>, items array<string>, near array<string>"
 
 
@@ -33,33 +33,63 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(TABLE).split()
 
 
-def build_index(docs: DataFrame, terms: Iterable[bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored positional index of docs for the given terms: the vocabulary of one block of test texts, so bounded."""
-    names = sorted(terms)
-    vocabulary = {t: i for i, t in enumerate(names)}
-    names = [t.decode() for t in names]
+def split_words(texts: list[bytes | None]) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts, one text after another, and how many each has."""
+    data = np.frombuffer((b" ".join([t or b"" for t in texts]) + b" ").translate(TABLE), np.uint8)
+    letter = data != 32
+    ends = np.flatnonzero(letter[:-1] & ~letter[1:]) + 1
+    lengths = np.cumsum(letter, dtype=np.int64)[ends - 1]  # letters up to the end of each word
+    words = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.append(0, lengths)), pa.py_buffer(data[letter])])
+    bounds = np.cumsum([len(t or b"") + 1 for t in texts])
+    return words, np.diff(np.searchsorted(ends, bounds), prepend=0)
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The stored positional index of docs: for each segment its rows, its terms, and the postings of each term in order."""
     schema = arrow_schema(INDEX)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            found, places, counts, base = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [], 0
-            for text in part.column("text").to_pylist():
-                words = words_of(text)
-                ids = np.fromiter(map(vocabulary.get, words, repeat(-1)), np.int32, len(words))
-                at = np.flatnonzero(ids >= 0).astype(np.int32)
-                found.append(ids[at])
-                places.append(at + np.int32(base))
-                counts.append(len(words))
-                base += len(words) + GAP
-            ids, places = np.concatenate(found), np.concatenate(places)
-            order = np.argsort(ids, kind="stable")
-            held, ends = np.unique(ids, return_counts=True)
-            row = [part.column("doc_id").to_pylist(), part.column("copy").to_pylist(), counts, [names[i] for i in held], np.cumsum(ends), places[order]]
+            words, n_words = split_words(part.column("text").to_pylist())
+            coded = words.dictionary_encode()
+            ids = coded.indices.to_numpy()
+            postings = np.argsort(ids, kind="stable").astype(np.int32)
+            counts = np.bincount(ids, minlength=len(coded.dictionary)).astype(np.int32)
+            row = [part.column("doc_id").to_pylist(), part.column("copy").to_pylist(), n_words, coded.dictionary.to_pylist(), counts.tobytes(), postings.tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
     return store(rows_of(docs, id_col, text_col).withColumn("copy", F.xxhash64("text")).mapInArrow(build, INDEX), "postings")
 
 
+class Segment:
+    """One row of the index, with the postings of the given terms."""
+
+    def __init__(self, row: dict, terms: pa.Array):
+        self.n_words = row["n_words"].values.to_numpy()
+        self.ends = np.cumsum(self.n_words)
+        counts = np.frombuffer(row["counts"].as_py(), np.int32)
+        held = row["terms"].values.cast(pa.binary())
+        at = pc.fill_null(pc.index_in(terms, value_set=held), -1).to_numpy()
+        known = np.flatnonzero(at >= 0)
+        #: How often each term occurs; the last entry stands for no term.
+        self.counts = np.zeros(len(terms) + 1, np.int64)
+        self.counts[known] = counts[at[known]]
+        self.begins = np.cumsum(self.counts) - self.counts
+        positions, ends = np.frombuffer(row["positions"].as_py(), np.int32), np.cumsum(counts, dtype=np.int64)
+        picked = [positions[ends[i] - counts[i] : ends[i]] for i in at[known].tolist()]
+        self.positions = np.concatenate(picked).astype(np.int64) if picked else np.zeros(0, np.int64)
+        #: All postings as one ordered list: the term's number above the position.
+        self.keys = np.repeat(known, self.counts[known]) << 32 | self.positions
+
+    def documents(self, positions: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ends, positions, "right")
+
+    def meet(self, terms: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether each term occurs between low and high, both included."""
+        i = np.searchsorted(self.keys, terms << 32 | np.maximum(low, 0))
+        return (i < len(self.keys)) & (self.keys[np.minimum(i, len(self.keys) - 1)] <= (terms << 32 | np.maximum(high, 0))) & (high >= low)
+
+
 class Phrases:
     """The distinct windows of one block of test texts, as rows of term numbers."""
 
@@ -69,29 +99,44 @@ class Phrases:
             words = words_of(text)
             for i in range(max(1, len(words) - width + 1) if words else 0):
                 owners[tuple(words[i : i + width])].add(item)
-        self.terms = {t: i for i, t in enumerate(sorted({t for w in owners for t in w}))}
-        self.sizes = np.array([len(w) for w in owners], np.int32)
-        self.words = np.full((len(owners), width), -1, np.int32)
+        numbers = {t: i for i, t in enumerate(sorted({t for w in owners for t in w}))}
+        self.terms = pa.array(list(numbers), pa.binary())
+        self.sizes = np.array([len(w) for w in owners], np.int64)
+        self.words = np.full((len(owners), width), -1, np.int64)
         for i, w in enumerate(owners):
-            self.words[i, : len(w)] = [self.terms[t] for t in w]
+            self.words[i, : len(w)] = [numbers[t] for t in w]
         self.owners = [sorted(x) for x in owners.values()]
 
-    def found(self, postings: list[np.ndarray], slop: int) -> Iterator[tuple[int, np.ndarray]]:
-        """Each window that occurs, with the positions it starts at: from its rarest term on, the lists are shifted by the terms' offsets and intersected."""
-        lengths = np.array([len(p) for p in postings] + [np.iinfo(np.int32).max], np.int64)
-        rarity = lengths[self.words]  # -1 reads the last entry
+    def found(self, segment: Segment, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Windows that occur in a document: the window, its start, which may lie before the document if there is a slop, and the document.
+
+        From the postings of its rarest term on, shifted by the term's place in the window, each further list is
+        intersected. A window occurs at a start if each word has a place at most ``slop`` from its own, all in one
+        document.
+        """
+        known = np.flatnonzero(np.where(self.words >= 0, segment.counts[self.words], 1).min(axis=1) > 0) if len(self.words) else []
+        if not len(known):
+            return
+        rarity = np.where(self.words[known] >= 0, segment.counts[self.words[known]], np.iinfo(np.int64).max)
         order = np.argsort(rarity, axis=1, kind="stable")
-        for w in np.flatnonzero(rarity.min(axis=1) > 0).tolist() if len(self.words) else ():
-            row, first, *rest = self.words[w], *order[w, : self.sizes[w]].tolist()
-            starts = postings[row[first]] - first
-            for k in rest:
-                p, at = postings[row[k]], starts + k
-                i = np.searchsorted(p, at - slop)
-                starts = starts[(i < len(p)) & (p[np.minimum(i, len(p) - 1)] <= at + slop)]
-                if not len(starts):
-                    break
-            if len(starts):
-                yield w, starts
+        rarest = self.words[known, order[:, 0]]
+        counts, shifts = segment.counts[rarest], np.arange(-slop, slop + 1)
+        ends = np.cumsum(counts)
+        for first in range(0, int(ends[-1]), LOOKED // len(shifts)):
+            nth = np.arange(first, min(first + LOOKED // len(shifts), int(ends[-1])))
+            row = np.searchsorted(ends, nth, "right")
+            at = segment.positions[segment.begins[rarest[row]] + nth - (ends[row] - counts[row])]
+            doc = np.repeat(segment.documents(at), len(shifts))
+            start = (at - order[row, 0])[:, None] + shifts
+            row, start = np.repeat(row, len(shifts)), start.ravel()
+            for k in range(1, self.words.shape[1]):
+                place = order[row, k]
+                term = self.words[known[row], place]
+                low = np.maximum(start + place - slop, segment.ends[doc] - segment.n_words[doc])
+                high = np.minimum(start + place + slop, segment.ends[doc] - 1)
+                keep = (term < 0) | segment.meet(np.maximum(term, 0), low, high)
+                row, start, doc = row[keep], start[keep], doc[keep]
+            yield known[row], start, doc
 
 
 def _search(index: DataFrame, phrases: Phrases, slop: int) -> DataFrame:
@@ -101,33 +146,31 @@ def _search(index: DataFrame, phrases: Phrases, slop: int) -> DataFrame:
         own = shared.value
         for batch in batches:
             for r in range(batch.num_rows):
-                held = {f: batch.column(f)[r] for f in names}
-                counts = held["n_words"].values.to_numpy()
-                begins = np.concatenate([[0], np.cumsum(counts + GAP)])
-                ends, places = held["ends"].values.to_numpy(), held["positions"].values.to_numpy()
-                postings = [np.zeros(0, np.int32)] * len(own.terms)
-                for term, lo, hi in zip(held["terms"].values.to_pylist(), [0, *ends[:-1]], ends, strict=False):
-                    if (i := own.terms.get(term.encode())) is not None:
-                        postings[i] = places[lo:hi]
-                edge = np.zeros(int(begins[-1]) + 1, np.int32)
-                items, near = defaultdict(set), defaultdict(set)
-                for w, starts in own.found(postings, 0):
-                    edge[starts] += 1
-                    edge[starts + own.sizes[w]] -= 1
-                    for d in np.unique(np.searchsorted(begins, starts, "right") - 1).tolist():
-                        items[d].update(own.owners[w])
+                row = {f: batch.column(f)[r] for f in names}
+                segment = Segment(row, own.terms)
+                edge = np.zeros(int(segment.ends[-1]) + 1, np.int32)
+                items, near, spans = defaultdict(set), defaultdict(set), defaultdict(list)
+
+                def note(into: dict, windows: np.ndarray, docs: np.ndarray) -> None:
+                    for w, d in np.unique(np.stack([windows, docs]), axis=1).T.tolist():
+                        into[d].update(own.owners[w])
+
+                for windows, starts, docs in own.found(segment, 0):
+                    np.add.at(edge, starts, 1)
+                    np.add.at(edge, starts + own.sizes[windows], -1)
+                    note(items, windows, docs)
                 if slop:
-                    for w, starts in own.found(postings, slop):
-                        for d in np.unique(np.searchsorted(begins, np.maximum(starts, 0), "right") - 1).tolist():
-                            near[d].update(own.owners[w])
-                covered = np.cumsum(edge[:-1]) > 0
-                change = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
-                spans = defaultdict(list)
-                for lo, hi in zip(change[::2].tolist(), change[1::2].tolist(), strict=True):
-                    d = int(np.searchsorted(begins, lo, "right")) - 1
-                    spans[d].append({"start": lo - int(begins[d]), "end": hi - int(begins[d])})
-                n = len(counts)
-                columns = [held["doc_id"].values, held["copy"].values, counts, [spans[d] for d in range(n)], [sorted(items[d]) for d in range(n)], [sorted(near[d] - items[d]) for d in range(n)]]
+                    for windows, _, docs in own.found(segment, slop):
+                        note(near, windows, docs)
+                change = np.diff(np.concatenate([[False], np.cumsum(edge[:-1]) > 0, [False]]).astype(np.int8))
+                for lo, hi in zip(np.flatnonzero(change > 0).tolist(), np.flatnonzero(change < 0).tolist(), strict=True):
+                    while lo < hi:  # hit words that go on in the next document are cut there
+                        d = int(segment.documents(lo))
+                        begin, end = int(segment.ends[d] - segment.n_words[d]), min(hi, int(segment.ends[d]))
+                        spans[d].append({"start": lo - begin, "end": end - begin})
+                        lo = end
+                n = len(segment.n_words)
+                columns = [row["doc_id"].values, row["copy"].values, row["n_words"].values, [spans[d] for d in range(n)], [sorted(items[d]) for d in range(n)], [sorted(near[d] - items[d]) for d in range(n)]]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return index.mapInArrow(look, MATCHES)
@@ -137,23 +180,25 @@ def search(docs: DataFrame, items: DataFrame, width: int = 13, slop: int = 2, id
     """Phrase and proximity matches of the items' windows of width words in docs.
 
     Returns for each row of docs: doc_id, n_words, ``spans`` (word ranges inside exact matches), ``items``
-    (ids with an exact match, as strings) and ``near`` (ids without one, all of whose words in some window lie within
-    slop positions of their places). An item of fewer words than width is one window.
+    (ids with an exact match, as strings) and ``near`` (ids without one, that have a window and a place for it, which
+    may begin before the text, at most slop words from which the text has each of its words). An item of fewer words
+    than width is one window.
 
-    Items are searched in blocks of at most BLOCK_BYTES, each against all rows, so what a task is sent stays bounded
-    however many items there are. Null or empty texts have no words; items without id or words match nothing; each
-    repeated row gets its own result.
+    Items are searched in blocks of about BLOCK_BYTES, each against the whole stored index, so what a task is sent stays
+    bounded however many items there are. Null or empty texts have no words; items without id or words match nothing;
+    each repeated row gets its own result; a text longer than a segment's 8 MB is a segment of its own.
     """
-    if not 0 <= slop < GAP:
-        raise ValueError(f"slop has to be below {GAP}")
+    if slop < 0:
+        raise ValueError("slop is negative")
     items = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").cast("binary").alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     n_bytes = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item") + 64), F.lit(0))).first()[0]
     blocks = -(-n_bytes // BLOCK_BYTES) or 1
+    index = build_index(docs, id_col, text_col)
     found = None
     for b in range(blocks):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
         phrases = Phrases([(r.item, bytes(r.text)) for r in block.collect()], width)
-        part = _search(build_index(docs, phrases.terms, id_col, text_col), phrases, slop)
+        part = _search(index, phrases, slop)
         found = part if found is None else found.unionByName(store(part, "matches"))
     if blocks > 1:  # each row of docs has a row from each block; repeated rows have the same content
         merged = [F.flatten(F.collect_list("spans")).alias("spans"), *(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near"))]
@@ -176,9 +221,10 @@ def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
-    """Words inside benchmark windows and the items met, for each document."""
+    """Words inside benchmark windows, the items met, and those met by proximity alone, for each document."""
     found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
+    digest = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated", F.array_join(F.array_sort("near"), ",").alias("near_items"))
 
 
 OP1_SQL = r"""
@@ -198,8 +244,21 @@ hit AS (SELECT doc_id, i, dg.n, item FROM dg JOIN win ON dg.g = win.g AND dg.n =
 covered AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit
   FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hit)) GROUP BY doc_id),
-met AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+met AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id),
+dp AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM dw),
+wn AS (SELECT row_number() OVER () AS win, item, n, ws FROM (SELECT DISTINCT item, n, w[i:i + n - 1] AS ws FROM il)),
+wt AS (SELECT win, item, n, unnest(ws) AS t, generate_subscripts(ws, 1) AS k FROM wn),
+often AS (SELECT t, count(*) AS c FROM dp GROUP BY t),
+anchor AS (SELECT win, arg_min(t, coalesce(c, 0)) AS t, arg_min(k, coalesce(c, 0)) AS k FROM wt LEFT JOIN often USING (t) GROUP BY win),
+cand AS (SELECT DISTINCT doc_id, win, p - k + d AS s FROM anchor JOIN dp USING (t) CROSS JOIN (SELECT unnest(generate_series(-2, 2)) AS d)),
+close AS (
+  SELECT DISTINCT doc_id, item
+  FROM (SELECT cand.doc_id, item, cand.win, s, n, count(DISTINCT wt.k) AS m
+        FROM cand JOIN wt ON cand.win = wt.win JOIN dp ON dp.doc_id = cand.doc_id AND dp.t = wt.t AND dp.p BETWEEN s + wt.k - 2 AND s + wt.k + 2
+        GROUP BY cand.doc_id, item, cand.win, s, n) WHERE m = n),
+near AS (SELECT doc_id, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT * FROM close EXCEPT SELECT doc_id, item FROM hit) GROUP BY doc_id)
 SELECT dw.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM dw LEFT JOIN covered ON dw.doc_id = covered.doc_id LEFT JOIN met ON dw.doc_id = met.doc_id
+       sha256(coalesce(met.items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       coalesce(near.items, '') AS near_items
+FROM dw LEFT JOIN covered ON dw.doc_id = covered.doc_id LEFT JOIN met ON dw.doc_id = met.doc_id LEFT JOIN near ON dw.doc_id = near.doc_id
 """

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from lattica.llm import decontaminate as dc
@@ -45,6 +46,49 @@ def test_edges(spark):
     assert {x[2] for x in got(dc.contamination(d, i.limit(0)))} == {0}
 
 
+def near_brute(docs, items, width, slop):
+    """Items with a window and a start from which each word is at most slop words away, without those that match exactly."""
+    out = []
+    for doc, text in docs:
+        w, met = WORDS(text), set()
+        for item, other in items:
+            own = WORDS(other)
+            for i in range(max(1, len(own) - width + 1) if own else 0):
+                win = own[i : i + width]
+                places = [[p for p, x in enumerate(w) if x == t] for t in win]
+                if any(all(any(abs(p - s - k) <= slop for p in ps) for k, ps in enumerate(places)) for s in range(-slop - len(win), len(w) + slop)):
+                    met.add(str(item))
+                    break
+        exact = set(next(x[3] for x in brute([(doc, text)], items, width)))
+        out.append((doc, tuple(sorted(met - exact))))
+    return sorted(out)
+
+
+def test_proximity_against_brute_force(spark):
+    r = random.Random(3)
+    docs = [(1, "zz yy"), (2, "b a c"), (3, "a c a c"), (4, "c x x b a"), (5, "c"), (6, "b a")]
+    docs += [(10 + k, " ".join(r.choice("abcdefg") for _ in range(r.randrange(12)))) for k in range(60)]
+    items = [(0, "a b c"), (1, "b c"), (2, "g f e d"), (3, "e a b a"), (4, "f")]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string")
+    for width, slop in ((13, 1), (13, 2), (3, 2), (2, 40)):
+        got = sorted((x.doc_id, tuple(x.near)) for x in dc.search(d, i, width=width, slop=slop).collect())
+        assert got == near_brute(docs, items, width, slop)
+    assert dict(got)[1] == ()
+
+
+def test_very_long_texts(spark):
+    words = [f"w{k % 5003}" for k in range(1_500_000)]
+    phrase = [f"q{k}" for k in range(14)]
+    words[700_000:700_014] = phrase
+    words[1_499_987:] = phrase[:13]
+    docs = [(1, " ".join(words)), (2, " ".join(phrase[:13])), (3, "w1")]
+    got = {x.doc_id: x for x in dc.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(phrase)), (8, "w1")], "item_id long, text string")).collect()}
+    assert len(docs[0][1]) > 8 << 20
+    ones = words.count("w1")
+    assert (got[1].n_words, got[1].n_hit, got[1]["items"]) == (1_500_000, 27 + ones, ["7", "8"])
+    assert (got[2].n_hit, got[2]["items"], got[3]["items"]) == (13, ["7"], ["8"])
+
+
 def test_blocks(spark, monkeypatch):
     docs = [(k, f"a{k} b c d{k % 3} e") for k in range(20)] + [(3, "a3 b c d0 e")] * 2
     items = [(k, f"b c d{k}") for k in range(3)] + [(9, "e"), (8, "c")]
