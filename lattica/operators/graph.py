@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.text import trim
+from lattica.operators.search import containing
 
 EDGE = ["user_id", "source", "target", "type"]
 
@@ -193,10 +194,10 @@ def top_entities(entities: DataFrame, relations: DataFrame, k: int = 8) -> DataF
 def search_entities(requests: DataFrame, entities: DataFrame, relations: DataFrame, k: int = 20) -> DataFrame:
     """Up to k entities whose name contains the trimmed query of (req_id, user_id, q), in any case, by degree; a blank query finds nothing.
 
-    The tenant is the join key; the test of the name runs on its rows.
+    Candidates come from an index of letter triples (see ``containing``).
     """
-    asked = requests.select("req_id", "user_id", F.lower(trim(F.col("q"))).alias("q")).where("q != ''")
-    found = asked.join(entities, "user_id").where(F.lower("name").contains(F.col("q"))).select("req_id", "user_id", "name", "type")
+    asked = requests.select("req_id", "user_id", F.lower(trim(F.col("q"))).alias("q"))
+    found = containing(asked, entities.select("user_id", "name", "type", F.lower("name").alias("low")), "q", "low").select("req_id", "user_id", "name", "type")
     near = found.select("user_id", "name").distinct().join(both_ways(relations.select("user_id", "source", "target")).withColumnRenamed("node", "name"), ["user_id", "name"]).groupBy("user_id", "name").agg(F.count("*").alias("degree"))
     counted = found.join(near, ["user_id", "name"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     return best(counted, ["req_id"], [F.desc("degree"), F.asc("name")], k)
@@ -241,8 +242,8 @@ def distinct_names(triples: DataFrame) -> DataFrame:
 
 def highlight_match(nodes: DataFrame, terms: DataFrame) -> DataFrame:
     """(req_id, name) of nodes whose lower-cased name contains a term of (req_id, user_id, term)."""
-    asked = terms.select("req_id", "user_id", F.lower("term").alias("term")).where("term != ''")
-    return asked.join(nodes, "user_id").where(F.lower("name").contains(F.col("term"))).select("req_id", "name").distinct()
+    asked = terms.select("req_id", "user_id", F.lower("term").alias("term"))
+    return containing(asked, nodes.select("user_id", "name", F.lower("name").alias("low")), "term", "low").select("req_id", "name").distinct()
 
 
 def apply_types(entities: DataFrame, proposals: DataFrame, allowed: list[str]) -> DataFrame:

@@ -170,15 +170,15 @@ def resolve_triples(triples: DataFrame) -> DataFrame:
 
 
 def lookup_template(documents: DataFrame, templates: DataFrame) -> DataFrame:
-    """Documents (with doc_class) with the columns of their class's template (class, ...), or of the general one.
+    """Documents (with doc_class) with the columns of their class's template (class, ...), or of the general one; null without either.
 
-    templates has a row for each class: a few rows, sent to every task.
+    Documents whose class has no template, or is null, look for the general one: two joins, whatever the number of
+    templates. Of templates that repeat a class, each gives a row.
     """
     rest = [c for c in templates.columns if c != "class"]
-    general = templates.where("class = 'general'").select(F.struct(*rest).alias("general"))
-    own = templates.select(F.col("class").alias("doc_class"), F.struct(*rest).alias("own"))
-    out = documents.join(F.broadcast(own), "doc_class", "left").crossJoin(F.broadcast(general))
-    return out.select(*documents.columns, F.coalesce("own", "general").alias("template")).select(*documents.columns, "template.*")
+    known = templates.select(F.col("class").alias("key")).distinct().withColumn("known", F.lit(True))
+    keyed = documents.withColumn("key", F.col("doc_class")).join(known, "key", "left").withColumn("key", F.when(F.col("known"), F.col("key")).otherwise("general"))
+    return keyed.join(templates.select(F.col("class").alias("key"), F.struct(*rest).alias("template")), "key", "left").select(*documents.columns, "template.*")
 
 
 def pipeline_status(documents: DataFrame, triples: DataFrame) -> DataFrame:

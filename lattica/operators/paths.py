@@ -2,33 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.operators.graph import both_ways
-
-
-def _folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a local session without one gets a temporary folder."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if not getattr(_folder, "own", None):
-        _folder.own = tempfile.mkdtemp(prefix="spark-")
-    return _folder.own
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """df, written and read again."""
-    spark = df.sparkSession
-    path = f"{_folder(spark).rstrip('/')}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from lattica.sources.shared import discard, stored
 
 
 def shortest_path(pairs: DataFrame, relations: DataFrame, max_hops: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -38,28 +16,30 @@ def shortest_path(pairs: DataFrame, relations: DataFrame, max_hops: int = 10) ->
     from the end backwards. Equal ends that exist are found at length 0. A frontier of each pair grows a hop in each
     round; nodes once reached are left out, and pairs that are done stop.
     """
-    edges = kept(both_ways(relations.select("user_id", "source", "target")).select("user_id", "node", "other").distinct())
+    edges = stored(both_ways(relations.select("user_id", "source", "target")).select("user_id", "node", "other").distinct())
     nodes = edges.select("user_id", F.col("node").alias("name"), F.lower("node").alias("low")).distinct()
     asked = pairs.select("pair_id", "user_id", F.lower("from").alias("a"), F.lower("to").alias("b"))
-    goals = kept(asked.join(nodes, (asked["user_id"] == nodes["user_id"]) & (F.col("b") == F.col("low"))).select("pair_id", F.col("name").alias("node")))
-    reached = kept(asked.join(nodes, (asked["user_id"] == nodes["user_id"]) & (F.col("a") == F.col("low"))).select("pair_id", asked["user_id"], F.col("name").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("hops")))
+    goals = stored(asked.join(nodes, (asked["user_id"] == nodes["user_id"]) & (F.col("b") == F.col("low"))).select("pair_id", F.col("name").alias("node")))
+    reached = stored(asked.join(nodes, (asked["user_id"] == nodes["user_id"]) & (F.col("a") == F.col("low"))).select("pair_id", asked["user_id"], F.col("name").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("hops")))
     frontier = reached
     for hop in range(1, max_hops + 1):
         done = reached.join(goals, ["pair_id", "node"], "left_semi").select("pair_id").distinct()
-        frontier = frontier.join(done, "pair_id", "left_anti")
-        step = frontier.join(edges, ["user_id", "node"]).groupBy("pair_id", "user_id", "other").agg(F.min("node").alias("parent"))
+        step = frontier.join(done, "pair_id", "left_anti").join(edges, ["user_id", "node"]).groupBy("pair_id", "user_id", "other").agg(F.min("node").alias("parent"))
         step = step.withColumnRenamed("other", "node").join(reached.select("pair_id", "node"), ["pair_id", "node"], "left_anti")
-        frontier = kept(step.select("pair_id", "user_id", "node", "parent", F.lit(hop).alias("hops")))
+        last, frontier = frontier, stored(step.select("pair_id", "user_id", "node", "parent", F.lit(hop).alias("hops")))
+        if hop > 1:
+            discard(last)
         if frontier.isEmpty():
             break
-        reached = kept(reached.unionByName(frontier))
+        before, reached = reached, stored(reached.unionByName(frontier))
+        discard(before)
     ends = reached.join(goals, ["pair_id", "node"]).groupBy("pair_id").agg(F.min(F.struct("hops", "node")).alias("end"))
     summary = pairs.select("pair_id").join(ends, "pair_id", "left").select("pair_id", F.col("end").isNotNull().alias("found"), F.col("end.hops").alias("length"))
-    at = kept(ends.select("pair_id", F.col("end.node").alias("node"), F.col("end.hops").alias("step")))
+    at = stored(ends.select("pair_id", F.col("end.node").alias("node"), F.col("end.hops").alias("step")))
     steps = at
     for _ in range(max_hops):
         at = at.join(reached.select("pair_id", "node", "parent"), ["pair_id", "node"]).where("parent IS NOT NULL").select("pair_id", F.col("parent").alias("node"), (F.col("step") - 1).alias("step"))
-        at = kept(at)
+        at = stored(at)
         if at.isEmpty():
             break
         steps = steps.unionByName(at)
@@ -74,8 +54,8 @@ def pagerank(nodes: DataFrame, links: DataFrame, rounds: int = 20, damping: floa
     names = nodes.select("user_id", "id").distinct()
     out = links.groupBy("user_id", F.col("source").alias("id")).agg(F.count("*").alias("out"))
     size = names.groupBy("user_id").agg(F.count("*").alias("n"))
-    ranks = kept(names.join(out, ["user_id", "id"], "left").join(size, "user_id").withColumn("pr", 1 / F.col("n")))
-    edges = kept(links.groupBy("user_id", "source", "target").agg(F.count("*").alias("times")))
+    last = ranks = stored(names.join(out, ["user_id", "id"], "left").join(size, "user_id").withColumn("pr", 1 / F.col("n")))
+    edges = stored(links.groupBy("user_id", "source", "target").agg(F.count("*").alias("times")))
     for i in range(rounds):
         spread = ranks.select("user_id", F.col("id").alias("source"), (F.col("pr") / F.col("out")).alias("each"))
         got = edges.join(spread, ["user_id", "source"]).groupBy("user_id", F.col("target").alias("id")).agg(F.sum(F.col("each") * F.col("times")).alias("got"))
@@ -83,29 +63,30 @@ def pagerank(nodes: DataFrame, links: DataFrame, rounds: int = 20, damping: floa
         new = damping * F.coalesce("got", F.lit(0.0)) + (1 - damping) / F.col("n") + damping * F.col("lost") / F.col("n")
         ranks = ranks.drop("pr").join(got, ["user_id", "id"], "left").join(sinks, "user_id").select("user_id", "id", "out", "n", new.alias("pr"))
         if (i + 1) % every == 0:
-            ranks = kept(ranks)
+            ranks = stored(ranks)
+            discard(last)
+            last = ranks
     top = ranks.groupBy("user_id").agg(F.max("pr").alias("top"))
     return ranks.join(top, "user_id").select("user_id", "id", (10 * F.col("pr") / F.when(F.col("top") == 0, 1.0).otherwise(F.col("top"))).alias("pagerank"))
 
 
-def hierarchy_levels(nodes: DataFrame, links: DataFrame, most: int = 1000) -> DataFrame:
+def hierarchy_levels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(user_id, id, level): directed hops from the nodes without incoming links, or from the smallest name of a tenant without any; what is not reached comes one level below the last.
 
-    An error if nodes are left to go on from after most - 1 levels.
+    A round for each level, until no node is left to go on from.
     """
     names = nodes.select("user_id", "id").distinct()
-    edges = kept(links.where("source != target").select("user_id", "source", "target").distinct())
+    edges = stored(links.where("source != target").select("user_id", "source", "target").distinct())
     roots = names.join(links.select("user_id", F.col("target").alias("id")), ["user_id", "id"], "left_anti")
     lone = names.join(roots, "user_id", "left_anti").groupBy("user_id").agg(F.min("id").alias("id"))
-    reached = kept(roots.unionByName(lone).withColumn("level", F.lit(0)))
-    frontier = reached
-    for level in range(1, most):
+    frontier = reached = stored(roots.unionByName(lone).withColumn("level", F.lit(0)))
+    level = 0
+    while not frontier.isEmpty():
+        level += 1
         step = frontier.select("user_id", F.col("id").alias("source")).join(edges, ["user_id", "source"]).select("user_id", F.col("target").alias("id")).distinct()
-        frontier = kept(step.join(names, ["user_id", "id"], "left_semi").join(reached, ["user_id", "id"], "left_anti").withColumn("level", F.lit(level)))
-        if frontier.isEmpty():
-            break
-        reached = kept(reached.unionByName(frontier))
-    else:
-        raise RuntimeError(f"the hierarchy is deeper than {most - 1} levels: raise most")
+        last, frontier = frontier, stored(step.join(names, ["user_id", "id"], "left_semi").join(reached, ["user_id", "id"], "left_anti").withColumn("level", F.lit(level)))
+        before, reached = reached, stored(reached.unionByName(frontier))
+        discard(last, before)
+    discard(edges, frontier)
     last = F.max("level").over(Window.partitionBy("user_id"))
     return names.join(reached, ["user_id", "id"], "left").select("user_id", "id", F.coalesce("level", last + 1).alias("level"))

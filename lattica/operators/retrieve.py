@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions.text import render_fact, trim
 from lattica.operators.graph import best, both_ways, degree
+from lattica.operators.search import containing
 from lattica.operators.vectors import vector_topk
 
 REFUSAL = "I could not find anything about this in the knowledge base."
@@ -22,10 +23,11 @@ def match_exact(questions: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def match_substring(questions: DataFrame, entities: DataFrame) -> DataFrame:
-    """The same for names that contain a term, or that a term contains; the tenant is the key of the join."""
-    asked = questions.select("question_id", "user_id", "docs", F.explode("entities").alias("term")).withColumn("low", F.lower("term")).where("low != ''")
-    names = entities.select("user_id", F.col("name").alias("start"), F.lower("name").alias("name_low")).where("name_low != ''")
-    return asked.join(names, "user_id").where(F.col("name_low").contains(F.col("low")) | F.col("low").contains(F.col("name_low"))).select("question_id", "user_id", "docs", "start").distinct()
+    """The same for names that contain a term, or that a term contains; candidates come from indexes of letter triples of both."""
+    asked = questions.select("question_id", "user_id", "docs", F.explode("entities").alias("term")).select("question_id", "user_id", "docs", F.lower("term").alias("low"))
+    names = entities.select("user_id", F.col("name").alias("start"), F.lower("name").alias("name_low"))
+    found = containing(asked, names, "low", "name_low").select("question_id", "user_id", "docs", "start")
+    return found.unionByName(containing(names, asked, "name_low", "low").select("question_id", "user_id", "docs", "start")).distinct()
 
 
 def _allowed(files: str):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions.text import trim
 from lattica.operators.graph import best
+from lattica.operators.search import containing
 
 STATUSES = ["Processing", "Completed", "Failed"]
 EXTENSIONS = ["docx", "txt", "csv", "xlsx", "xls", "pdf"]
@@ -45,9 +46,11 @@ def status_counts(documents: DataFrame) -> DataFrame:
 
 
 def search_titles(conversations: DataFrame, requests: DataFrame) -> DataFrame:
-    """(req_id, id) of conversations of the user whose title, 'New conversation' if null, contains q in any case."""
-    title = F.lower(F.coalesce("title", F.lit("New conversation")))
-    return requests.select("req_id", "user_id", F.lower("q").alias("q")).join(conversations, "user_id").where(title.contains(F.col("q"))).select("req_id", "id")
+    """(req_id, id) of conversations of the user whose title, 'New conversation' if null, contains q in any case; an empty q is in every title."""
+    titles = conversations.select("user_id", "id", F.lower(F.coalesce("title", F.lit("New conversation"))).alias("low"))
+    asked = requests.select("req_id", "user_id", F.lower("q").alias("q"))
+    every = asked.where("q = ''").join(titles, "user_id")
+    return containing(asked, titles, "q", "low").select("req_id", "id").unionByName(every.select("req_id", "id"))
 
 
 def messages_of_owner(messages: DataFrame, conversations: DataFrame) -> DataFrame:

@@ -1,5 +1,5 @@
-import pytest
 from lattica.operators import paths as p
+from lattica.sources import shared
 
 R = "user_id string, source string, target string, type string, weight long, source_files array<string>"
 
@@ -47,9 +47,21 @@ def test_hierarchy(spark):
     assert got == {("u", "a"): 0, ("u", "x"): 0, ("u", "b"): 1, ("u", "c"): 1, ("u", "d"): 2, ("u", "e"): 2, ("w", "p"): 0, ("w", "q"): 1, ("w", "r"): 2}
 
 
-def test_hierarchy_deeper_than_its_bound(spark):
-    nodes = spark.createDataFrame([("u", v) for v in "abcd"], "user_id string, id string")
-    links = spark.createDataFrame([("u", "a", "b"), ("u", "b", "c"), ("u", "c", "d")], "user_id string, source string, target string")
-    with pytest.raises(RuntimeError):
-        p.hierarchy_levels(nodes, links, most=3)
-    assert {r.id: r.level for r in p.hierarchy_levels(nodes, links, most=5).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
+def test_deep_hierarchy(spark):
+    depth = 25
+    nodes = spark.createDataFrame([("u", f"n{i:02}") for i in range(depth)], "user_id string, id string")
+    links = spark.createDataFrame([("u", f"n{i:02}", f"n{i + 1:02}") for i in range(depth - 1)], "user_id string, source string, target string")
+    assert {r.id: r.level for r in p.hierarchy_levels(nodes, links).collect()} == {f"n{i:02}": i for i in range(depth)}
+
+
+def test_intermediate_tables_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: str(tmp_path))
+    kept = shared.stored(spark.range(3))
+    assert kept.count() == 3 and len(list(tmp_path.iterdir())) == 1
+    shared.discard(kept, None, spark.range(1))
+    assert not list(tmp_path.iterdir())
+    nodes = spark.createDataFrame([("u", v) for v in "abc"], "user_id string, id string")
+    links = spark.createDataFrame([("u", "a", "b"), ("u", "b", "c")], "user_id string, source string, target string")
+    levels, ranks = p.hierarchy_levels(nodes, links), p.pagerank(nodes, links)
+    assert levels.count() == 3 and ranks.count() == 3
+    assert len(list(tmp_path.iterdir())) == 3  # what the two results read

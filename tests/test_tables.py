@@ -169,3 +169,19 @@ def test_files(spark, tmp_path):
     assert json.loads({x.user_id: x.graph for x in shown.collect()}["u"])["links"] == [{"source": "A", "target": "A2"}]
     sf.export_graph(e, r, str(tmp_path / "x"))
     assert spark.read.json(str(tmp_path / "x/nodes")).count() == 2
+
+
+def test_containing_against_brute_force(spark):
+    import random
+
+    from lattica.operators.search import containing
+
+    r = random.Random(11)
+    word = lambda most: "".join(r.choice("aab é😀") for _ in range(r.randrange(most)))
+    needles = [(i, r.choice("uv"), word(6)) for i in range(60)] + [(90, "u", None), (91, "u", "aab"), (91, "u", "aab"), (92, "w", "a")]
+    texts = [(r.choice("uv"), j, word(14)) for j in range(150)] + [("u", 900, None), ("u", 901, "xxaabxx"), ("u", 901, "xxaabxx"), (None, 902, "a")]
+    asked = spark.createDataFrame(needles, "req_id int, user_id string, q string")
+    held = spark.createDataFrame(texts, "user_id string, n int, low string")
+    want = sorted((i, n) for i, u, q in needles for v, n, t in texts if q and t is not None and u == v and q in t)
+    assert want and sorted((x.req_id, x.n) for x in containing(asked, held, "q", "low").collect()) == want
+    assert containing(asked.limit(0), held, "q", "low").count() == 0 == containing(asked, held.limit(0), "q", "low").count()
