@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterable, Iterator
+import ctypes
+import re
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,36 +15,44 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from lattica.sources.shared import discard, shared_dir, stored
+
 #: Text handled at once inside a task; a longer text is handled alone.
 SLICE_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir.
-
-    Where the setting is unset a local session gets a temporary folder; a cluster session is an error, since its
-    executors would not see one another's files.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if not getattr(shared_dir, "own", None):
-        shared_dir.own = tempfile.mkdtemp(prefix="spark-")
-    return shared_dir.own
+#: Bytes of an Arrow batch: texts are large rows, and a task holds a few batches outside the heap.
+BATCH_BYTES = 4 << 20
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, and survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df, written to the shared folder and read again: cuts the lineage, and survives the loss of executors."""
+    return stored(df, name)
+
+
+def arrow_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to BATCH_BYTES; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(re.match(r"-?[0-9]+", spark.conf.get(key))[0])
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def tidy(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """rows, after whose last batch the worker, which goes on to other tasks, gives the memory back that it needs no more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return run
 
 
 def rows_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the text's UTF-8 bytes, under fixed names; other columns, whatever their names, are left out."""
+    arrow_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
 
@@ -80,16 +89,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 #: Multiplier of the polynomial hash of a word's bytes.
 FACTOR = 0x9E3779B97F4A7C15
-_powers: dict[int, np.ndarray] = {}
+#: Powers of FACTOR and of its inverse are kept up to this exponent; longer texts are hashed in blocks of so many bytes.
+BLOCK = 1 << 20
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base to the powers 0..n-1, modulo 2 to the 64; kept for the next call."""
-    if len(_powers.get(base, ())) < n:
-        row = np.full(max(n, 1 << 20), base, np.uint64)
-        row[0] = 1
-        _powers[base] = np.multiply.accumulate(row)
-    return _powers[base][:n]
+@cache
+def powers(base: int) -> np.ndarray:
+    """base to the powers 0 to BLOCK - 1, modulo 2 to the 64."""
+    row = np.full(BLOCK, base, np.uint64)
+    row[0] = 1
+    return np.multiply.accumulate(row)
 
 
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -100,20 +109,42 @@ def hashed_words(texts: list[bytes | None], table: bytes | None = None) -> tuple
 
     Words are runs of bytes that are no ASCII blanks, once A-Z are lower-cased or bytes are replaced by a table. Nothing
     is done word by word: a hash is the scrambled difference of two prefix sums of the bytes times powers of FACTOR.
+    The bytes are taken in blocks that end with a word, so what is held beside the texts and hashes does not grow with
+    a text; only a word longer than a block is summed alone.
     """
     data = b"\n".join([t or b"" for t in texts]) + b"\n"
     data = np.frombuffer(data.translate(table) if table else data.lower(), np.uint8)
+    hashes, begins, at = [], [], 0
+    while at < len(data):
+        end = min(at + BLOCK, len(data))
+        if end < len(data):
+            blanks = np.flatnonzero(BLANK[data[at:end]])
+            end = at + int(blanks[-1]) + 1 if len(blanks) else at + 1 + int(np.argmax(BLANK[data[at:]]))
+        found, starts = _hashed_block(data[at:end])
+        hashes.append(found)
+        begins.append(starts + at)
+        at = end
+    bounds = np.cumsum([len(t or b"") + 1 for t in texts])
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(begins), bounds), prepend=0)
+
+
+def _hashed_block(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of bytes of which the last one is blank."""
     blank = BLANK[data]
     edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
     if not blank[0]:
         edges = np.concatenate([[0], edges])
-    starts, ends = edges[::2], edges[1::2]  # the last byte is blank
+    starts, ends = edges[::2], edges[1::2]
     n = len(data)
+    if n > BLOCK:  # one word, then a blank
+        total = 0
+        for at in range(0, n - 1, BLOCK):
+            part = data[at : min(at + BLOCK, n - 1)]
+            total += int((part * powers(FACTOR)[: len(part)]).sum(dtype=np.uint64)) * pow(FACTOR, at, 1 << 64)
+        return mix(np.array([total % (1 << 64)], np.uint64)), starts
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(data * powers(FACTOR, n), out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * powers(pow(FACTOR, -1, 1 << 64), n)[starts])
-    bounds = np.cumsum([len(t or b"") + 1 for t in texts])
-    return hashes, np.diff(np.searchsorted(starts, bounds), prepend=0)
+    np.cumsum(data * powers(FACTOR)[:n], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * powers(pow(FACTOR, -1, 1 << 64))[starts]), starts
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:

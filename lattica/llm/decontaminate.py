@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import arrow_schema, rows_of, slices, store
+from lattica.llm.common import arrow_schema, rows_of, slices, store, tidy
 
 #: Bytes to blanks (all but 0-9, a-z and what is not ASCII), and A-Z to a-z.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -58,7 +58,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             row = [part.column("doc_id").to_pylist(), part.column("copy").to_pylist(), n_words, coded.dictionary.to_pylist(), counts.tobytes(), postings.tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
-    return store(rows_of(docs, id_col, text_col).withColumn("copy", F.xxhash64("text")).mapInArrow(build, INDEX), "postings")
+    return store(rows_of(docs, id_col, text_col).withColumn("copy", F.xxhash64("text")).mapInArrow(tidy(build), INDEX), "postings")
 
 
 class Segment:
@@ -173,7 +173,7 @@ def _search(index: DataFrame, phrases: Phrases, slop: int) -> DataFrame:
                 columns = [row["doc_id"].values, row["copy"].values, row["n_words"].values, [spans[d] for d in range(n)], [sorted(items[d]) for d in range(n)], [sorted(near[d] - items[d]) for d in range(n)]]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return index.mapInArrow(look, MATCHES)
+    return index.mapInArrow(tidy(look), MATCHES)
 
 
 def search(docs: DataFrame, items: DataFrame, width: int = 13, slop: int = 2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import SENT_IDS, components, dealt, groups, hashed_words, lists, only, ranges, rows_of, shingles, slices, store
+from lattica.llm.common import SENT_IDS, components, dealt, groups, hashed_words, lists, only, ranges, rows_of, shingles, slices, store, tidy
 
 WIDTH = 5
 #: Words of 64 bits in a bitmap.
@@ -185,7 +185,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, bits: Callable[[np.ndarray], n
                 for i in range(0, len(sets), 256):
                     yield pa.RecordBatch.from_arrays([ids.slice(i, 256), lists([s.view(np.int64) for s in sets[i : i + 256]], pa.int64())], ["node", "tokens"])
 
-    found = only(docs, nodes.select("doc_id")).mapInArrow(run, "node long, n long, bits binary" if bits else "node long, tokens array<long>")
+    found = only(docs, nodes.select("doc_id")).mapInArrow(tidy(run), "node long, n long, bits binary" if bits else "node long, tokens array<long>")
     return found
 
 
@@ -316,7 +316,7 @@ def _connected(docs: DataFrame, owners: DataFrame, pairs: DataFrame, percent: in
     ends = lambda: store(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(owners, "node"), "nodes")
     wide = store(whole_sets(docs, ends(), wide_bitmap).dropDuplicates(["node"]), "wide")
     drawn = pairs.join(wide.toDF("a", "n", "x"), "a").join(wide.toDF("b", "m", "y"), "b")
-    pairs = store(drawn.mapInArrow(lambda b: _reaching(b, percent), "a long, b long"), "reaching")
+    pairs = store(drawn.mapInArrow(tidy(lambda b: _reaching(b, percent)), "a long, b long"), "reaching")
     sets = store(whole_sets(docs, ends()).groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -340,7 +340,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     docs = rows_of(docs, id_col, text_col)
-    described = store(docs.mapInArrow(describe, "doc_id long, node long, n long, first long"), "described")
+    described = store(docs.mapInArrow(tidy(describe), "doc_id long, node long, n long, first long"), "described")
     known = described.where("node IS NOT NULL AND doc_id IS NOT NULL")
     owners = store(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("first").alias("first")), "owners")
     named = owners.select("node", "doc_id")
@@ -355,13 +355,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     sets = sets.join(F.broadcast(large) if large.count() <= SENT_IDS else large, "first", "left")
     parts = F.ceil(F.coalesce("members", F.lit(1)) / GROUP)
     sets = sets.select("first", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), "node", "tokens")
-    links = store(dealt(sets, "first", "part").mapInArrow(lambda b: _joined(b, percent), "a long, b long"), "links")
+    links = store(dealt(sets, "first", "part").mapInArrow(tidy(lambda b: _joined(b, percent)), "a long, b long"), "links")
     labels = store(owners.select("node").join(components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
 
     # 2. nodes with a common prefix token
     n_tokens = owners.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     few, many = ranges(spark, n_tokens * 5 // 2), ranges(spark, n_tokens * 5)
-    counted = docs.mapInArrow(lambda b: _frequent(b, _buckets(few)), "bucket int, tokens binary").repartition(few, "bucket").sortWithinPartitions("bucket").mapInArrow(_counted, "token long, n long")
+    counted = docs.mapInArrow(tidy(lambda b: _frequent(b, _buckets(few))), "bucket int, tokens binary").repartition(few, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_counted), "token long, n long")
     told = counted.orderBy(F.desc("n"), "token").limit(TOLD).select("token").toPandas()["token"].to_numpy()
     frequent = spark.sparkContext.broadcast(np.sort(told.astype(np.uint64)))
 
@@ -382,7 +382,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
             kept = order[rank <= (n - -(-percent * n // 100))[owner]]
             yield from _ranged(tokens[kept], 64 - _buckets(many), (owner[kept], np.array([node_of(s) for s in sets], np.int64), n))
 
-    shared = docs.mapInArrow(prefixes, "bucket int, tokens binary, nodes binary, sizes binary, places binary").repartition(many, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _met(b, percent), "nodes array<long>")
+    shared = docs.mapInArrow(tidy(prefixes), "bucket int, tokens binary, nodes binary, sizes binary, places binary").repartition(many, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(lambda b: _met(b, percent)), "nodes array<long>")
     member = store(shared.distinct().select(F.xxhash64("nodes").alias("list"), F.size("nodes").alias("members"), F.explode("nodes").alias("node")), "members")
     tested = None
     for each in ("components", "nodes", "all"):
@@ -399,7 +399,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         own = F.pmod(F.xxhash64("node"), parts).cast("int")
         meets = F.when(parts == 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.least(p, own) * parts + F.greatest(p, own)))
         split = held.join(bits, "node").select("list", F.explode(meets).alias("part"), "node", "label", "n", "bits")
-        pairs = dealt(split, "list", "part").mapInArrow(lambda b, each=each: _candidates(b, percent, each), "a long, b long, share long")
+        pairs = dealt(split, "list", "part").mapInArrow(tidy(lambda b, each=each: _candidates(b, percent, each)), "a long, b long, share long")
         if each != "all":
             pairs = pairs.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b")
             keys = [F.least("la", "lb"), F.greatest("la", "lb")] if each == "components" else ["a", "lb"]

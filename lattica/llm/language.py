@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import remainder
+from lattica.llm.common import arrow_batches, remainder, tidy
 
 #: Buckets of hashed letter trigrams.
 DIMS = 8192
@@ -119,6 +119,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
     drawn by the hash of the key, so that a language's rows, however many, fit into one group. Rows with a null
     text, language or key, or no letters, teach nothing; without any row left, everything is rejected.
     """
+    arrow_batches(docs.sparkSession)
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(key_col).alias("draw"), F.col(key_col).isNotNull().alias("keyed")).where("text IS NOT NULL AND lang IS NOT NULL AND keyed")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +131,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
                 n += len(x)
         yield pa.RecordBatch.from_pydict({"bucket": np.arange(-1, DIMS, dtype=np.int32), "n": np.concatenate([[n], total])})
 
-    df = {r.bucket: r.n for r in rows.select("text").mapInArrow(frequencies, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
+    df = {r.bucket: r.n for r in rows.select("text").mapInArrow(tidy(frequencies), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
     n = df.get(-1, 0)
     idf = np.array([np.log((1 + n) / (1 + df.get(i, 0))) + 1 for i in range(DIMS)], np.float32)
     shares = {r.lang: min(1.0, sample / r.n) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -158,6 +159,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     A null text or one without a letter is ``und``, score 0, rejected. Only the text is read for the prediction.
     """
+    arrow_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")

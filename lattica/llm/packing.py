@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lattica.llm.common import arrow_schema, rows_of, slices
+from lattica.llm.common import arrow_schema, rows_of, slices, tidy
 
 CAPACITY = 2048
 #: Text whose documents are packed together, in one task.
@@ -114,7 +114,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 50256, pad_id:
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-    return rows_of(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    return rows_of(docs, id_col, text_col).mapInArrow(tidy(run), SCHEMA)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:

@@ -6,19 +6,19 @@ import hashlib
 import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lattica.llm.common import rows_of, slices
+from lattica.llm.common import rows_of, slices, tidy
 
 SPACE = "▁"
 #: Segments remembered in each of two generations.
-REMEMBERED = 350_000
+REMEMBERED = 120_000
 #: Characters that a segment may begin with, if the vocabulary allows it.
 MARKS = ".,;:!?()[]{}\"'|#*$%&<>/+=-\n\t"
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 1 << 20
 
 
 def production_model() -> str:
@@ -48,7 +48,7 @@ class Pieces:
         self.bytes = [named.get(f"<0x{b:02X}>") for b in range(256)]
         self.unknown = lib.unk_id()
         self.decimals = [str(i) for i in range(lib.get_piece_size())]
-        self.segments = re.compile(self._segment()).findall
+        self.pattern = re.compile(self._segment())
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
         self.lead = tuple(self.merge(f"{SPACE}a"))
@@ -134,8 +134,15 @@ class Pieces:
                 raise RuntimeError(f"{s!r} is encoded otherwise by the library: {ids} and {self.young[s]}")
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        """The ids of each text."""
-        cut = [self.segments(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        """The ids of each text. A text alone is taken in runs of segments, so that only its ids are held as a whole."""
+        if len(texts) == 1 and texts[0]:
+            found = map(re.Match.group, self.pattern.finditer(SPACE + texts[0].replace(" ", SPACE)))
+            ids: list[int] = []
+            while some := list(islice(found, REMEMBERED // 2)):
+                self.learn(set(some))
+                ids += chain.from_iterable(map(self.young.__getitem__, some))
+            return [ids]
+        cut = [self.pattern.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         self.learn(set(chain.from_iterable(cut)))
         known = self.young.__getitem__
         return [list(chain.from_iterable(map(known, c))) for c in cut]
@@ -146,7 +153,10 @@ def _texts(part: pa.RecordBatch) -> list[str | None]:
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids array<int> of each row's whole text, without begin or end ids; null and empty texts have none."""
+    """doc_id and ids array<int> of each row's whole text, without begin or end ids; null and empty texts have none.
+
+    Each row is encoded by itself: repeated rows and null ids give rows like any other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model)
@@ -154,7 +164,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             ids = pieces.encode(_texts(part))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return rows_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return rows_of(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def decode(tokens: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -165,11 +175,14 @@ def decode(tokens: DataFrame, model: str, id_col: str = "doc_id", ids_col: str =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([library.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return tokens.select(tokens[id_col].cast("long").alias("doc_id"), tokens[ids_col].alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return tokens.select(tokens[id_col].cast("long").alias("doc_id"), tokens[ids_col].alias("ids")).mapInArrow(tidy(run), "doc_id long, text string")
 
 
 def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``encode`` and ``decode`` in one pass: doc_id, n_tokens, and digests of the decimal ids and of the decoded text."""
+    """``encode`` and ``decode`` in one pass: doc_id, n_tokens, and digests of the decimal ids and of the decoded text.
+
+    A null text counts as empty; repeated rows and null ids give rows like any other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model)
@@ -181,7 +194,7 @@ def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 text_sha.append(hashlib.sha256(pieces.library.decode(ids).encode() if ids else b"").hexdigest())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return rows_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows_of(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_sentencepiece(spark, sf_dir: str) -> DataFrame:

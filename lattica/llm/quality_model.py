@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import remainder, rows_of, slices
+from lattica.llm.common import remainder, rows_of, slices, tidy
 
 #: Bytes of a stride; a filter sees two of them, a half chunk has HALF of them, and chunks overlap by a half.
 STRIDE, HALF = 4, 64
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     import pickle
 
     out = Network()
-    for r in rows.repartition(1).mapInArrow(train, "model binary").collect():
+    for r in rows.repartition(1).mapInArrow(tidy(train), "model binary").collect():
         out.weights = pickle.loads(bytes(r.model))
     return out
 
@@ -158,7 +158,7 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
         for part in slices(batches, most=TEXT_BYTES):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(shared.value.score([t or b"" for t in part.column("text").to_pylist()]), pa.float64())], ["doc_id", "score"])
 
-    return rows_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    return rows_of(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:

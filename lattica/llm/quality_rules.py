@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lattica.llm.common import hashed_words, rows_of, slices, windows
+from lattica.llm.common import hashed_words, rows_of, slices, tidy, windows
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -81,7 +81,10 @@ def measure(text: str | None, hashes: np.ndarray) -> tuple:
 
 
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts, verdict and the lines left (``clean_text``) for each row of docs; null texts have no words and are rejected."""
+    """Counts, verdict and the lines left (``clean_text``) for each row of docs; null texts have no words and are rejected.
+
+    Each row is judged by itself: repeated rows and null ids give rows like any other.
+    """
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +95,7 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([x[i] for x in found], t) for i, t in enumerate(kinds))], names)
 
-    return rows_of(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    return rows_of(docs, id_col, text_col).mapInArrow(tidy(run), SCHEMA)
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:

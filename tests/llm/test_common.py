@@ -51,3 +51,18 @@ def test_slices():
     got = [x.column("text").to_pylist() for x in common.slices([batch], most=3)]
     assert got == [[b"aa", None], [b"bbbbbb"], [b"c", b"", b"d"]]
     assert np.array_equal(common.mix(np.arange(4, dtype=np.uint64)), common.mix(np.arange(4, dtype=np.uint64)))
+
+
+def test_hashes_do_not_depend_on_blocks():
+    r = random.Random(5)
+    words = ["".join(r.choice("abcÉ") for _ in range(r.randrange(1, 9))) for _ in range(300_000)]
+    words[1000] = "y" * (3 * common.BLOCK + 17)
+    words[2000] = "y" * common.BLOCK
+    words[-1] = "z" * (common.BLOCK + 1)
+    text = "  ".join(words).encode()
+    assert len(text) > 5 * common.BLOCK
+    hashes, counts = common.hashed_words([b"a b", text, None, b"c"])
+    alone = [common.hashed_words([w.encode()])[0][0] for w in ("a", "b", *words[:50], words[1000], words[2000], words[2001])]
+    assert counts.tolist() == [2, 300_000, 0, 1]
+    assert hashes[:52].tolist() == [int(x) for x in alone[:52]] and hashes[[1002, 2002, 2003]].tolist() == [int(x) for x in alone[52:]]
+    assert hashes[300_001] == common.hashed_words([words[-1].encode()])[0][0] and len(set(hashes.tolist())) == len({*words, "a", "b", "c"})

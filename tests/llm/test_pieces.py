@@ -13,7 +13,7 @@ def library():
 
 def test_any_text_like_the_library():
     r, coder, lib = random.Random(0), pieces.Pieces(MODEL), library()
-    assert coder.segments("▁ab.▁cd") == ["▁ab", ".", "▁cd"]
+    assert coder.pattern.findall("▁ab.▁cd") == ["▁ab", ".", "▁cd"]
     texts = ["", " ", "  ", "a", " a ", "\n", "▁", "▁▁ a▁b", "é́ ß İ 中文 😀 \x00 \x01", "<s> </s> <unk> <0x0A>", "x" * 5000, "word. " * 300, "a.b,c!!d ...  ,, e", "\t\n a\n\n.b"]
     texts += ["".join(r.choice("abcdeth ▁.,!?\n\"'()#$|<>-01é中😀 ") for _ in range(r.randrange(80))) for _ in range(3000)]
     assert coder.encode(texts) == lib.encode(texts)
@@ -51,3 +51,10 @@ def test_edges(spark):
     lib = library()
     assert sorted((str(r.doc_id), r.ids) for r in got) == sorted((str(d), lib.encode(t or "")) for d, t in rows)
     assert pieces.digests(df.limit(0), MODEL).count() == 0 and pieces.digests(df, MODEL).count() == len(rows)
+
+
+def test_very_long_text(monkeypatch):
+    coder = pieces.Pieces(MODEL)
+    text = " ".join(f"word{i % 700} é{i} the end." for i in range(20_000))
+    monkeypatch.setattr(pieces, "REMEMBERED", 5000)
+    assert coder.encode([text]) == [coder.library.encode(text)] == coder.encode([text, None])[:1]
