@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import SENT_IDS, components, dealt, groups, hashed_words, lists, only, ranges, rows_of, shingles, slices, store, tidy
+from lattica.llm.common import SENT_IDS, components, dealt, discard, groups, hashed_words, lists, only, ranges, rows_of, shingles, slices, store, tidy
 
 WIDTH = 5
 #: Words of 64 bits in a bitmap.
@@ -32,6 +32,8 @@ BITMAP = 32
 GROUP = 2048
 #: Documents from which a token counts as frequent, and frequent tokens that tasks are told of, the most frequent first.
 FREQUENT, TOLD = 32, 1 << 20
+#: Tokens counted in a task before counts are sent on.
+COUNTED = 1 << 21
 LEAF = 8
 TEXT_BYTES = 2 << 20
 
@@ -202,10 +204,22 @@ def _joined(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 
 
 def _frequent(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Tokens (without their last 24 bits) and counts of the lower half of all tokens, by range."""
+    """Tokens (without their last 24 bits) of the lower half of all tokens, by range, with how often each occurs among COUNTED tokens."""
+    held: list[np.ndarray] = []
+
+    def counts() -> Iterator[pa.RecordBatch]:
+        tokens, n = np.unique(np.concatenate(held), return_counts=True)
+        yield from _ranged(tokens, 39 - buckets, n)
+
+    size = 0
     for _, sets in _each_set(batches):
-        some = [s[: np.searchsorted(s, np.uint64(1 << 63))] for s in sets]
-        yield from _ranged(np.concatenate(some) >> np.uint64(24) if some else np.zeros(0, np.uint64), 39 - buckets, None)
+        held += [s[: np.searchsorted(s, np.uint64(1 << 63))] >> np.uint64(24) for s in sets]
+        size += sum(map(len, held[-len(sets) :])) if sets else 0
+        if size >= COUNTED:
+            yield from counts()
+            held, size = [], 0
+    if size:
+        yield from counts()
 
 
 def _buckets(parts: int) -> int:
@@ -213,8 +227,8 @@ def _buckets(parts: int) -> int:
     return max(10, (4 * parts).bit_length())
 
 
-def _ranged(tokens: np.ndarray, low: int, owners: tuple | None) -> Iterator[pa.RecordBatch]:
-    """Tokens by ranges, of values that differ in the lowest bits; with owners, also the node and size of the set that each comes from."""
+def _ranged(tokens: np.ndarray, low: int, owners: tuple | np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Tokens by ranges, of values that differ in the lowest bits: with their counts, or with the node and size of the set that each comes from."""
     if not len(tokens):
         return
     order = np.argsort(tokens, kind="stable")
@@ -224,14 +238,15 @@ def _ranged(tokens: np.ndarray, low: int, owners: tuple | None) -> Iterator[pa.R
     ends = [*begins[1:], len(tokens)]
     columns: list[list] = [held.tolist(), [], [], [], []]
     for lo, hi in zip(begins, ends, strict=True):
-        if owners is None:
+        if isinstance(owners, np.ndarray):
             columns[1].append(np.ascontiguousarray(tokens[lo:hi, None].view(np.uint8)[:, :5]).tobytes())
+            columns[2].append(owners[order[lo:hi]].astype(np.int32).tobytes())
         else:
             own = owners[0][order[lo:hi]]
             met, place = np.unique(own, return_inverse=True)
             for c, x in zip(columns[1:], (tokens[lo:hi], owners[1][met], owners[2][met].astype(np.int32), place.astype(np.int32)), strict=True):
                 c.append(x.tobytes())
-    names = ["bucket", "tokens"] if owners is None else ["bucket", "tokens", "nodes", "sizes", "places"]
+    names = ["bucket", "tokens", "counts"] if isinstance(owners, np.ndarray) else ["bucket", "tokens", "nodes", "sizes", "places"]
     yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1 : len(names)])], names)
 
 
@@ -240,7 +255,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = np.concatenate([np.frombuffer(x, np.uint8) for x in group.column("tokens").to_pylist()]).reshape(-1, 5)
         wide = np.zeros((len(raw), 8), np.uint8)
         wide[:, :5] = raw
-        values, counts = np.unique(wide.view(np.uint64)[:, 0], return_counts=True)
+        values, place = np.unique(wide.view(np.uint64)[:, 0], return_inverse=True)
+        counts = np.zeros(len(values), np.int64)
+        np.add.at(counts, place, np.concatenate([np.frombuffer(x, np.int32) for x in group.column("counts").to_pylist()]))
         many = counts >= FREQUENT
         yield pa.RecordBatch.from_arrays([pa.array(values[many].astype(np.int64)), pa.array(counts[many].astype(np.int64))], ["token", "n"])
 
@@ -313,21 +330,49 @@ def _reaching(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
 
 def _connected(docs: DataFrame, owners: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes that reach the percentage, compared exactly."""
-    ends = lambda: store(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(owners, "node"), "nodes")
-    wide = store(whole_sets(docs, ends(), wide_bitmap).dropDuplicates(["node"]), "wide")
+    ends = lambda p: store(p.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(owners, "node"), "nodes")
+    nodes = ends(pairs)
+    wide = store(whole_sets(docs, nodes, wide_bitmap).dropDuplicates(["node"]), "wide")
     drawn = pairs.join(wide.toDF("a", "n", "x"), "a").join(wide.toDF("b", "m", "y"), "b")
-    pairs = store(drawn.mapInArrow(tidy(lambda b: _reaching(b, percent)), "a long, b long"), "reaching")
-    sets = store(whole_sets(docs, ends()).groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    left = store(drawn.mapInArrow(tidy(lambda b: _reaching(b, percent)), "a long, b long"), "reaching")
+    discard(nodes, wide)
+    nodes = ends(left)
+    sets = store(whole_sets(docs, nodes).groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
+    both = left.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return store(both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
+    links = store(both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
+    discard(nodes, left, sets)
+    return links
 
 
 def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (node, label) after the components that links (a, b) of nodes connect have become one."""
     ends = links.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
     joined = components(ends)
-    return store(labels.join(joined.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+    out = store(labels.join(joined.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+    discard(labels, links)
+    return out
+
+
+def parts_of(held: DataFrame) -> DataFrame:
+    """held (list, members, node, label), each row for each ``part`` of its list that its node is compared in.
+
+    A list of up to GROUP members is one part. The members of a larger one are dealt into bins by component, a component
+    of more than GROUP of them into bins of its own, and a part is two bins, or one of several components: bins of
+    one component do not meet, so a component's members are repeated for the bins of the others only.
+    """
+    small = held.where(F.col("members") <= GROUP).select("list", F.lit(0).cast("long").alias("part"), "node", "label")
+    large = held.where(F.col("members") > GROUP)
+    if large.isEmpty():
+        return small
+    big = store(large.groupBy("list", "label").agg(F.count("*").alias("own")).where(F.col("own") > GROUP), "big")
+    within = F.when(F.col("own").isNull(), F.pmod(F.xxhash64("label"), F.ceil(F.col("members") / GROUP))).otherwise(F.xxhash64("label", F.pmod(F.xxhash64("node"), F.ceil(F.col("own") / GROUP))))
+    dealt_ = store(large.join(big, ["list", "label"], "left").select("list", "node", "label", within.alias("bin"), F.when(F.col("own").isNotNull(), F.col("label")).alias("single")), "bins")
+    bins = store(dealt_.groupBy("list").agg(F.collect_set(F.struct("bin", "single")).alias("bins")), "lists")
+    meets = F.filter("bins", lambda b: b["single"].isNull() | F.col("single").isNull() | (b["single"] != F.col("single")))
+    part = F.xxhash64(F.least("bin", "other"), F.greatest("bin", "other"))
+    met = dealt_.join(bins, "list").select("list", "node", "label", "bin", F.explode(F.transform(meets, lambda b: b["bin"])).alias("other"))
+    return small.unionByName(met.select("list", part.alias("part"), "node", "label"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -357,11 +402,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     sets = sets.select("first", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), "node", "tokens")
     links = store(dealt(sets, "first", "part").mapInArrow(tidy(lambda b: _joined(b, percent)), "a long, b long"), "links")
     labels = store(owners.select("node").join(components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+    discard(heads, met, large, links)
 
     # 2. nodes with a common prefix token
     n_tokens = owners.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     few, many = ranges(spark, n_tokens * 5 // 2), ranges(spark, n_tokens * 5)
-    counted = docs.mapInArrow(tidy(lambda b: _frequent(b, _buckets(few))), "bucket int, tokens binary").repartition(few, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_counted), "token long, n long")
+    counted = docs.mapInArrow(tidy(lambda b: _frequent(b, _buckets(few))), "bucket int, tokens binary, counts binary").repartition(few, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_counted), "token long, n long")
     told = counted.orderBy(F.desc("n"), "token").limit(TOLD).select("token").toPandas()["token"].to_numpy()
     frequent = spark.sparkContext.broadcast(np.sort(told.astype(np.uint64)))
 
@@ -391,14 +437,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         mixed = held.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("several").alias("several")).where("low < high")
         if each != "components":  # components of one node have been compared
             mixed = mixed.where("several")
-        mixed, held = mixed.select("list"), held.drop("several")
+        mixed, held = store(mixed.select("list"), "mixed"), held.drop("several")  # a table of its own: a skewed side of the join can then be split
         held = store(held.join(mixed, "list"), "held")
         nodes = store(held.select("node").distinct().join(named, "node"), "nodes")
         bits = whole_sets(docs, nodes, bitmap).dropDuplicates(["node"])
-        parts = F.ceil(F.col("members") / GROUP).cast("int")
-        own = F.pmod(F.xxhash64("node"), parts).cast("int")
-        meets = F.when(parts == 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.least(p, own) * parts + F.greatest(p, own)))
-        split = held.join(bits, "node").select("list", F.explode(meets).alias("part"), "node", "label", "n", "bits")
+        split = parts_of(held).join(bits, "node").select("list", "part", "node", "label", "n", "bits")
         pairs = dealt(split, "list", "part").mapInArrow(tidy(lambda b, each=each: _candidates(b, percent, each)), "a long, b long, share long")
         if each != "all":
             pairs = pairs.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b")
@@ -412,9 +455,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         if pairs.isEmpty() and each != "components":
             continue  # the best pairs may all be tested, and others not
         labels = _relabel(labels, _connected(docs, named, pairs, percent))
+        discard(mixed, held, nodes)
 
     smallest = owners.join(labels, "node").groupBy("label").agg(F.min("doc_id").alias("component"))
     found = store(labels.join(smallest, "label").select("node", "component"), "found")
+    discard(owners, labels, member)
+    frequent.unpersist()
     return described.join(found, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 

@@ -72,6 +72,25 @@ def test_split_groups(spark, monkeypatch):
     assert got(jaccard.near_duplicates(df)) == brute(docs)
 
 
+def test_parts_hold_every_pair_of_components(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP", 5)
+    r = random.Random(8)
+    rows = [("small", 4, n, r.randrange(3)) for n in range(4)]
+    rows += [("large", 60, n, 0 if n < 40 else 1 if n < 52 else n) for n in range(60)]
+    rows += [("one", 30, n, n) for n in range(30)]
+    held = spark.createDataFrame(rows, "list string, members int, node long, label long")
+    parts = {}
+    for x in jaccard.parts_of(held).collect():
+        parts.setdefault((x.list, x.part), []).append((x.node, x.label))
+    met = {(key[0], a[0], b[0]) for key, some in parts.items() for a in some for b in some}
+    for name, _, n, label in rows:
+        for other, _, m, more in rows:
+            assert name != other or label == more or (name, n, m) in met
+    large = [some for key, some in parts.items() if key[0] == "large"]
+    assert sum(map(len, large)) < 60 * 14 and all(len({label for _, label in some}) > 1 for some in large if len(some) > 5)
+    assert jaccard.parts_of(held.where("list = 'small'")).count() == 4
+
+
 def test_tree_keeps_every_pair():
     r = np.random.default_rng(1)
     sets = []
