@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 from lattica.llm.common import store
 
 # Words that introduce a person, and some given names, by gender.
-MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Don"]
-FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña"]
+MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Κύριος"]
+FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña", "Κυρία"]
 OPEN_TITLES = ["Dr", "Prof"]
-MALE_NAMES = ["James", "John", "Robert", "Michael", "William", "David", "Richard", "Thomas", "Daniel", "Matthew", "Hans", "Peter", "Klaus", "Jürgen", "Pierre", "Jean", "Louis", "Carlos", "José", "Juan", "Miguel", "Иван", "Сергей", "Дмитрий"]
-FEMALE_NAMES = ["Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Susan", "Jessica", "Sarah", "Emma", "Anna", "Ursula", "Heike", "Sabine", "Marie", "Claire", "Sophie", "María", "Carmen", "Lucía", "Isabel", "Анна", "Мария", "Елена", "Ольга"]
+# Labels before a colon that announce a person.
+LABELS = ["Name", "Author", "Contact", "Signed", "Kontakt", "Ansprechpartner", "Autor", "Auteur", "Nom", "Nombre", "Contacto", "Имя", "Автор", "Όνομα"]
+MALE_NAMES = ["James", "John", "Robert", "Michael", "William", "David", "Richard", "Thomas", "Daniel", "Matthew", "Hans", "Peter", "Klaus", "Jürgen", "Pierre", "Jean", "Louis", "Carlos", "José", "Juan", "Miguel", "Иван", "Сергей", "Дмитрий", "Γιώργος", "Νίκος"]
+FEMALE_NAMES = ["Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Susan", "Jessica", "Sarah", "Emma", "Anna", "Ursula", "Heike", "Sabine", "Marie", "Claire", "Sophie", "María", "Carmen", "Lucía", "Isabel", "Анна", "Мария", "Елена", "Ольга", "Ελένη", "Κατερίνα"]
 # The syllables that surrogate names are made of, and endings by gender, for each script.
-SYLLABLES = {"latin": ["ba", "be", "bo", "da", "de", "do", "fa", "fe", "ga", "go", "ha", "ja", "ka", "ke", "la", "le", "lo", "ma", "me", "mo", "na", "ne", "no", "pa", "pe", "ra", "re", "ro", "sa", "se", "ta", "to"], "cyrillic": ["ба", "бе", "бо", "да", "де", "до", "фа", "фе", "га", "го", "ха", "жа", "ка", "ке", "ла", "ле", "ло", "ма", "ме", "мо", "на", "не", "но", "па", "пе", "ра", "ре", "ро", "са", "се", "та", "то"]}
-ENDINGS = {"latin": {"m": ["n", "s", "rd", "lf"], "f": ["lia", "na", "ria", "tta"], "x": ["n", "s", "l", "r"], "surname": ["mann", "son", "ler", "ard"]}, "cyrillic": {"m": ["н", "р", "й", "м"], "f": ["ля", "на", "рия", "тта"], "x": ["н", "р", "л", "м"], "surname": ["нов", "рин", "ский", "лев"]}}
+SYLLABLES = {"latin": ["ba", "be", "bo", "da", "de", "do", "fa", "fe", "ga", "go", "ha", "ja", "ka", "ke", "la", "le", "lo", "ma", "me", "mo", "na", "ne", "no", "pa", "pe", "ra", "re", "ro", "sa", "se", "ta", "to"], "cyrillic": ["ба", "бе", "бо", "да", "де", "до", "фа", "фе", "га", "го", "ха", "жа", "ка", "ке", "ла", "ле", "ло", "ма", "ме", "мо", "на", "не", "но", "па", "пе", "ра", "ре", "ро", "са", "се", "та", "то"], "greek": ["βα", "βε", "βο", "δα", "δε", "δο", "φα", "φε", "γα", "γο", "χα", "ζα", "κα", "κε", "λα", "λε", "λο", "μα", "με", "μο", "να", "νε", "νο", "πα", "πε", "ρα", "ρε", "ρο", "σα", "σε", "τα", "το"]}
+ENDINGS = {"latin": {"m": ["n", "s", "rd", "lf"], "f": ["lia", "na", "ria", "tta"], "x": ["n", "s", "l", "r"], "surname": ["mann", "son", "ler", "ard"]}, "cyrillic": {"m": ["н", "р", "й", "м"], "f": ["ля", "на", "рия", "тта"], "x": ["н", "р", "л", "м"], "surname": ["нов", "рин", "ский", "лев"]}, "greek": {"m": ["ος", "ης", "ας", "ων"], "f": ["ία", "να", "λη", "ρα"], "x": ["ν", "ς", "ρ", "λ"], "surname": ["πουλος", "ίδης", "άκης", "ου"]}}
 
 #: A name, with what follows a hyphen or an apostrophe but for a lone letter, as in Smith's; and initials between names.
 NAME = r"\p{Lu}(?:\p{L}|['’](?=\p{L}{2}))++(?:-\p{Lu}(?:\p{L}|['’](?=\p{L}{2}))++){0,4}+"
@@ -27,18 +29,22 @@ TITLES = "|".join(MALE_TITLES + FEMALE_TITLES + OPEN_TITLES)
 GIVEN = "|".join(MALE_NAMES + FEMALE_NAMES)
 #: The letters that a title or a listed name begins with: a cheap test that comes first.
 INITIAL = "[" + "".join(sorted({n[0] for n in MALE_TITLES + FEMALE_TITLES + OPEN_TITLES + MALE_NAMES + FEMALE_NAMES})) + "]"
-PERSON = rf"(?={INITIAL})(?<![\p{{L}}\p{{N}}])(?:(?:{TITLES})\.?[  ](?:{NAME}[  ])?{INITIALS}{NAME}|(?:{GIVEN})[  ]{INITIALS}{NAME})"
-EMAIL = r"(?=[A-Za-z0-9._%+-])(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,8}"
-KEY = r"(?=[A-Za-z0-9])(?<![A-Za-z0-9])(?=[A-Za-z_-]{0,128}+[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|xox[bp])[-_][A-Za-z0-9_-]{16,})(?![A-Za-z0-9])"
+PERSON = rf"(?={INITIAL})(?<![\p{{L}}\p{{N}}])(?:(?:{TITLES})\.?[  ](?:{NAME}[  ])?{INITIALS}{NAME}|(?:{GIVEN})[  ]{INITIALS}{NAME})|(?=\p{{Lu}})(?<=(?:{'|'.join(LABELS)}): ){NAME}[  ]{INITIALS}{NAME}"
+EMAIL = r"(?=[A-Za-z0-9._%+-])(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+KEY = r"(?=[A-Za-z0-9])(?<![A-Za-z0-9])(?=[A-Za-z_-]*+[0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|xox[bp])[-_][A-Za-z0-9_-]{16,})(?![A-Za-z0-9])"
 IP = r"(?=[0-9])(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
+IPV6 = r"(?=[0-9A-Fa-f])(?<![\w:.])[0-9A-Fa-f]{4}(?:(?::[0-9A-Fa-f]{1,4}){7}+|(?::[0-9A-Fa-f]{1,4}){0,5}+::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}+)?)(?![\w:])"
+IBAN = r"(?=[A-Z])(?<![A-Za-z0-9])(?=[A-Z]{2}\d{2}(?:[A-Z ]*+\d){6})[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 SSN = r"(?=[0-9])(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 CARD = r"(?=[0-9])(?<![\w-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])"
 PHONE = r"(?=[0-9+(])(?<![\w+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w-])|\+\d{8,14}(?!\w))"
-KINDS = {"email": EMAIL, "key": KEY, "ip": IP, "ssn": SSN, "card": CARD, "phone": PHONE, "person": PERSON}
+KINDS = {"email": EMAIL, "key": KEY, "iban": IBAN, "ip": IP, "ipv6": IPV6, "ssn": SSN, "card": CARD, "phone": PHONE, "person": PERSON}
 ANY = "|".join(KINDS.values())
 #: Cheaper than ANY, and one of them met by every text that ANY is found in. Each begins with a class of a few ranges.
-HINTS = ["[@0-9]", rf"(?=[A-Z])(?:{TITLES}|{GIVEN})[.  ]", rf"(?=[А-Я])(?:{GIVEN})[  ]"]
-ROUNDS = 20
+HINTS = ["[@0-9]", rf"(?=[A-Z])(?:{TITLES}|{GIVEN})[.  ]", rf"(?=[А-ЯΑ-Ω])(?:{TITLES}|{GIVEN})[.  ]", rf"(?=[A-ZА-ЯΑ-Ω])(?:{'|'.join(LABELS)}): "]
+ROUNDS = 40
+#: The session setting that holds the key.
+KEY_SETTING = "spark.lattica.surrogates.key"
 
 
 def _hex(key: str, *parts: Column) -> Column:
@@ -85,6 +91,15 @@ def _luhn_digit(digits: Column) -> Column:
     return F.pmod(-F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add), F.lit(10)).cast("string")
 
 
+def _modulo_97(text: Column) -> Column:
+    """Digits and capitals, which stand for 10 to 35, as a number modulo 97."""
+
+    def add(total: Column, c: Column) -> Column:
+        return F.when(c.rlike("[0-9]"), F.pmod(total * 10 + c.cast("int"), F.lit(97))).otherwise(F.pmod(total * 100 + F.ascii(c) - 55, F.lit(97)))
+
+    return F.aggregate(_chars(text), F.lit(0), add)
+
+
 def _drawn(entities: DataFrame, key: str) -> DataFrame:
     """entities (kind, canon, round) with the canonical ``surrogate`` of each in its round; every step is a column of its own, so that none is computed twice."""
     kind, canon, round_ = F.col("kind"), F.col("canon"), F.col("round")
@@ -93,27 +108,30 @@ def _drawn(entities: DataFrame, key: str) -> DataFrame:
     out = entities.withColumns({"digest": _hex(key, kind, canon, round_.cast("string")), "host": F.when(kind == "email", F.regexp_extract(canon, r"@(.*)\.[^.]+$", 1))})
     out = out.withColumns({"stream": longer(digest), "host_stream": F.when(kind == "email", _hex(key, F.lit("host"), host))})
     out = out.withColumn("host_stream", longer(F.col("host_stream")))
-    out = out.withColumns({"shaped": F.when(kind == "key", _same_shape(canon, stream, "abcdef")).when(kind == "email", _same_shape(F.substring_index(canon, "@", 1), stream)).when(kind.isin("card", "phone", "ssn"), _same_shape(canon, stream)), "host": F.when(kind == "email", _same_shape(host, host_stream))})
+    out = out.withColumns({"shaped": F.when(kind.isin("key", "ipv6"), _same_shape(canon, stream, "abcdef")).when(kind == "iban", _same_shape(F.substring(canon, F.lit(5), F.length(canon)), stream)).when(kind == "email", _same_shape(F.substring_index(canon, "@", 1), stream)).when(kind.isin("card", "phone", "ssn"), _same_shape(canon, stream)), "host": F.when(kind == "email", _same_shape(host, host_stream))})
     out = out.withColumn("digits", F.concat(F.substring(canon, 1, 1), F.substring(shaped, F.lit(2), F.length(canon))))
     out = out.withColumns({"body": F.substring(digits, F.lit(1), F.length(canon) - 1), "issued": F.substring(canon, F.lit(1), F.length(canon) - 1)})
     valid = _luhn_digit(F.col("issued")) == F.substring(canon, -1, 1)
+    country = F.substring(canon, 1, 2)
+    iban_valid = _modulo_97(F.concat(F.substring(canon, F.lit(5), F.length(canon)), F.substring(canon, 1, 4))) == 1
+    iban_check = F.when(iban_valid, F.lpad((98 - _modulo_97(F.concat(shaped, country, F.lit("00")))).cast("string"), 2, "0")).otherwise(F.substring(canon, 3, 2))
     octets = F.concat_ws(".", (_number(digest, 1) % 223 + 1).cast("string"), *[(_number(digest, at) % 256).cast("string") for at in (9, 17, 25)])
 
     def name(script: str, ending: str) -> Column:
-        syllables = [_pick(SYLLABLES[script], _number(digest, at)) for at in (1, 9, 17)]
-        longer = F.when(round_ > 2, _pick(SYLLABLES[script], _number(digest, 25))).otherwise("")
-        return F.concat(*syllables, longer, _pick(ENDINGS[script][ending], _number(digest, 33)))
+        """Syllables, one more every other round, and an ending."""
+        syllables = F.transform(F.sequence(F.lit(0), 2 + F.floor(round_ / 2).cast("int")), lambda i: _pick(SYLLABLES[script], _number(stream, 8 * i + 1)))
+        return F.concat(F.array_join(syllables, ""), _pick(ENDINGS[script][ending], _number(stream, 249)))
 
-    cyrillic = canon.rlike(r"\p{IsCyrillic}")
-    value = F.when(kind == "email", F.concat(shaped, F.lit("@"), host, F.lit("."), F.substring_index(canon, ".", -1))).when(kind == "ip", octets).when(kind == "key", shaped).when(kind == "ssn", shaped)
+    cyrillic, greek = canon.rlike(r"\p{IsCyrillic}"), canon.rlike(r"\p{IsGreek}")
+    value = F.when(kind == "email", F.concat(shaped, F.lit("@"), host, F.lit("."), F.substring_index(canon, ".", -1))).when(kind == "ip", octets).when(kind.isin("key", "ipv6", "ssn"), shaped).when(kind == "iban", F.concat(F.substring(canon, 1, 2), iban_check, shaped))
     value = value.when((kind == "card") & valid, F.concat(body, _luhn_digit(body)))
     for unit, ending in (("given_m", "m"), ("given_f", "f"), ("given_x", "x"), ("surname", "surname")):
-        value = value.when(kind == unit, F.when(cyrillic, name("cyrillic", ending)).otherwise(name("latin", ending)))
+        value = value.when(kind == unit, F.when(cyrillic, name("cyrillic", ending)).when(greek, name("greek", ending)).otherwise(name("latin", ending)))
     return out.select("kind", "canon", "round", value.otherwise(digits).alias("surrogate"))
 
 
 def _kind(mention: Column) -> Column:
-    return reduce(lambda w, k: w.when(mention.rlike(f"^(?:{KINDS[k]})$"), k), list(KINDS)[1:], F.when(mention.rlike(f"^(?:{EMAIL})$"), "email"))
+    return reduce(lambda w, k: w.when(mention.rlike(f"^(?:{KINDS[k]})$"), k), list(KINDS)[1:-1], F.when(mention.rlike(f"^(?:{EMAIL})$"), "email")).otherwise("person")
 
 
 def _units(mention: Column) -> Column:
@@ -121,7 +139,7 @@ def _units(mention: Column) -> Column:
     unit = lambda kind, canon, text: F.struct(kind.alias("kind"), canon.alias("canon"), text.alias("text"))
     kind = _kind(mention)
     digits = F.regexp_replace(mention, "[^0-9]", "")
-    canon = F.when(kind == "email", F.lower(mention)).when(kind.isin("card", "phone", "ssn"), digits).otherwise(mention)
+    canon = F.when(kind.isin("email", "ipv6"), F.lower(mention)).when(kind == "iban", F.regexp_replace(mention, " ", "")).when(kind.isin("card", "phone", "ssn"), digits).otherwise(mention)
     words = F.split(mention, "[  ]")
     title = F.regexp_replace(words[0], r"\.$", "")
     gender = F.when(title.isin(MALE_TITLES + MALE_NAMES), "m").when(title.isin(FEMALE_TITLES + FEMALE_NAMES), "f").when(F.get(words, F.lit(1)).isin(MALE_NAMES), "m").when(F.get(words, F.lit(1)).isin(FEMALE_NAMES), "f").otherwise("x")
@@ -136,39 +154,45 @@ def _units(mention: Column) -> Column:
 
 def _dressed(kind: Column, text: Column, surrogate: Column) -> Column:
     """A canonical surrogate in the format of the text it replaces: punctuation of numbers, case of names and of each letter of an address."""
-    at = lambda i: F.length(F.regexp_replace(F.substring(text, F.lit(1), i), "[^0-9]", ""))
-    number = F.array_join(F.transform(_chars(text), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(surrogate, at(i + 1), F.lit(1))).otherwise(c)), "")
+    at = lambda i, kept: F.length(F.regexp_replace(F.substring(text, F.lit(1), i), f"[^{kept}]", ""))
+    spaced = lambda kept: F.array_join(F.transform(_chars(text), lambda c, i: F.when(c.rlike(f"[{kept}]"), F.substring(surrogate, at(i + 1, kept), F.lit(1))).otherwise(c)), "")
     cased = F.when(text == F.upper(text), F.upper(surrogate)).when(F.substring(text, 1, 1) == F.upper(F.substring(text, 1, 1)), F.concat(F.upper(F.substring(surrogate, 1, 1)), F.substring(surrogate, F.lit(2), F.length(surrogate)))).otherwise(surrogate)
     letter = lambda i: F.substring(surrogate, i + 1, F.lit(1))
     mail = F.array_join(F.transform(_chars(text), lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(letter(i))).otherwise(letter(i))), "")
-    return F.when(kind.isin("card", "phone", "ssn"), number).when(kind == "email", mail).when(kind.isin("key", "ip"), surrogate).otherwise(cased)
+    return F.when(kind.isin("card", "phone", "ssn"), spaced("0-9")).when(kind == "iban", spaced("A-Z0-9")).when(kind.isin("email", "ipv6"), mail).when(kind.isin("key", "ip"), surrogate).otherwise(cased)
 
 
 def entity_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """kind, canon and surrogate of each distinct entity.
 
-    Two entities of a kind never share a surrogate, and no surrogate is itself an entity of that kind in the corpus:
-    the entity that meets a taken value draws again, and the smallest canonical form of those that meet keeps it.
+    Two entities of a kind never share a surrogate, and no surrogate is itself an entity of that kind in the corpus: in
+    each round an entity that meets a value taken in an earlier round, a real one, or one that a smaller canonical form
+    drew in the same round, draws again; the others are settled. An error if some are left after ROUNDS rounds: the
+    format of numbers as short as theirs has too few values for so many entities.
     """
-    entities = store(entities.select("kind", "canon").distinct().withColumn("round", F.lit(0)), "entities")
-    family = F.when(F.col("kind").startswith("given"), "given").otherwise(F.col("kind"))
+    todo = store(entities.select("kind", "canon").distinct().withColumn("round", F.lit(0)), "entities")
+    family = F.when(F.col("kind").startswith("given"), "given").otherwise(F.col("kind")).alias("family")
+    taken = todo.select(family, F.col("canon").alias("surrogate")).distinct()
+    settled = None
     for _ in range(ROUNDS):
-        named = store(_drawn(entities, key).withColumn("family", family), "drawn")
-        clash = named.groupBy("family", "surrogate").agg(F.min(F.struct("kind", "canon")).alias("keeps"), F.count("*").alias("n")).where("n > 1")
-        met = named.join(clash, ["family", "surrogate"]).where(F.struct("kind", "canon") != F.col("keeps")).select("kind", "canon")
-        real = named.select("family", F.col("canon").alias("surrogate")).distinct()
-        redraw = store(met.unionByName(named.join(real, ["family", "surrogate"], "left_semi").select("kind", "canon")).distinct().withColumn("again", F.lit(1)), "redraw")
-        if redraw.isEmpty():
-            return named.select("kind", "canon", "surrogate")
-        entities = store(entities.join(redraw, ["kind", "canon"], "left").select("kind", "canon", (F.col("round") + F.coalesce("again", F.lit(0))).alias("round")), "entities")
+        drawn = store(_drawn(todo, key).select("*", family), "drawn")
+        first = drawn.groupBy("family", "surrogate").agg(F.min(F.struct("kind", "canon")).alias("keeps"))
+        own = drawn.join(first, ["family", "surrogate"]).where(F.struct("kind", "canon") == F.col("keeps")).join(taken, ["family", "surrogate"], "left_anti")
+        own = store(own.select("kind", "canon", "surrogate", "family"), "settled")
+        settled = own if settled is None else settled.unionByName(own)
+        todo = store(drawn.join(own, ["kind", "canon"], "left_anti").select("kind", "canon", (F.col("round") + 1).alias("round")), "redraw")
+        if todo.isEmpty():
+            return settled.drop("family")
+        taken = taken.unionByName(own.select("family", "surrogate"))
     raise RuntimeError(f"surrogates still collide after {ROUNDS} rounds: the names or numbers of a kind are too few for so many entities")
 
 
 def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: a struct column ``row`` (the input row), ``clean`` (the text with surrogates) and ``n_entities``.
 
-    E-mail addresses, telephone numbers, payment cards (valid check digits stay valid), social security numbers, IP
-    addresses, access keys and persons (a title or a listed given name, then a name) are found by patterns. An
+    E-mail addresses, telephone numbers, payment cards and IBANs (valid check digits stay valid), social security
+    numbers, IP addresses of both kinds, access keys and persons (a title or a listed given name, then a name; two names
+    after a label as in "Author: ") are found by patterns. An
     entity, in whatever format it is written, has one surrogate in the whole corpus, drawn with the key; a given
     name keeps its gender and script. A name alone, with a capital, is replaced too in a text that has it in a full
     mention (not counted in n_entities), and gets what it gets there; initials between names stay. Texts without an entity
@@ -203,6 +227,6 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
 
 
 def op3_surrogates(spark, sf_dir: str) -> DataFrame:
-    """Every document's text with surrogates in place of personal data."""
-    found = replace_entities(spark.read.parquet(f"{sf_dir}/documents.parquet"), key="production")
+    """Every document's text with surrogates in place of personal data, by the key in KEY_SETTING; one for tests if unset."""
+    found = replace_entities(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.conf.get(KEY_SETTING, "a key for tests"))
     return found.select(F.col("row.doc_id").alias("doc_id"), F.col("clean").alias("text"), "n_entities")

@@ -1,3 +1,4 @@
+import random
 import re
 
 from lattica.llm import surrogates as sg
@@ -57,6 +58,45 @@ def test_names_alone_and_joined(spark):
     assert not re.search("Smith|Jones|John|Public", got[3]) and got[4] == rows[3][1]
 
 
+def test_accounts_addresses_labels_and_scripts(spark):
+    rows = [
+        (1, "Pay DE89 3704 0044 0532 0130 00 or DE89370400440532013000, not GB00 WEST 1234 5698 7654 32. At 12:30:45 std::dec ab::1."),
+        (2, "From 2001:db8::1 and 2001:DB8:0:0:8:800:200C:417A, 2001:db8::1."),
+        (3, "Author: Brenda Quimby wrote. Quimby left. The Author: an essay."),
+        (4, "Κύριος Παπαδόπουλος και Ελένη Παππά. " + "0f" * 200 + " x@" + "a." * 30 + "com"),
+    ]
+    got = {d: t for d, t, _ in clean(spark, rows)}
+    one, two, other = re.search(r"Pay (DE\d\d(?: \d{4}){4} \d\d) or (DE\d{20}), not (GB00 [A-Z]{4}(?: \d{4}){3} \d\d)\.", got[1]).groups()
+    assert one.replace(" ", "") == two != "DE89370400440532013000" and "WEST" not in other and got[1].endswith("At 12:30:45 std::dec ab::1.")
+    assert int(two[4:] + "1314" + two[2:4]) % 97 == 1
+    a, b, c = re.search(r"From (\S+) and (\S+), (\S+)\.$", got[2]).groups()
+    assert a == c and re.fullmatch(r"\d{4}:[a-f]{2}\d::\d", a) and re.fullmatch(r"\d{4}:[A-F]{2}\d:\d:\d:\d:\d{3}:\d{3}[A-F]:\d{3}[A-F]", b) and "2001:" not in a
+    assert not re.search("Brenda|Quimby", got[3]) and "The Author: an essay." in got[3]
+    assert re.fullmatch(r"Κύριος [Α-ω\u0370-\u03ff]+ και [Α-ω\u0370-\u03ff]+ [Α-ω\u0370-\u03ff]+\. [0-9a-f]{400} \S+@\S+\.com", got[4])
+    assert not re.search("Παπαδόπουλος|Ελένη|Παππά|0f0f0f|a\\.a\\.a", got[4])
+
+
+def test_no_detected_name_left_in_clear(spark):
+    """Against brute force: in no text is a name of its own full mentions left, whatever stands around it, and equal names have equal surrogates."""
+    r = random.Random(5)
+    given, names = ["Mary", "John", "Sabine", "Carlos"], ["Quimby", "Ortega", "Lindqvist", "O'Hara", "Smith-Jones", "Weber"]
+    rows, own = [], {}
+    for d in range(60):
+        people = [(r.choice(given), r.choice(names)) for _ in range(r.randrange(1, 4))]
+        parts = [f"{g} {n}" if r.random() < 0.5 else f"Dr. {n}" for g, n in people]
+        parts += [r.choice([n, n.upper(), f"{n}'s", f"({n})", f"\n{n},"]) for _, n in people for _ in range(3)] + ["words", "and", "Some"]
+        rows.append((d, ", ".join([*parts[: len(people)], *r.sample(parts, len(parts))])))
+        own[d] = {n for _, n in people}
+    surnames = {}
+    for d, text, _ in clean(spark, rows):
+        for n in own[d]:
+            assert not re.search(rf"(?i)\b{n}\b", text), (n, text)
+        titled = re.findall(r"Dr\. ([^ ,]+)", dict(rows)[d])
+        for n, s in zip(titled, re.findall(r"Dr\. ([^ ,]+)", text), strict=True):
+            assert surnames.setdefault(n, s) == s
+    assert len(set(surnames.values())) == len(surnames) > 3
+
+
 def test_long_odd_texts(spark):
     rows = [(1, "a-" * 200_000), (2, "x@y" + ".z" * 100_000), (3, "9" * 300_000), (4, "Mr " * 100_000), (5, "(1)-" * 50_000 + "@"), (6, "A" * 300_000 + "1")]
     got = clean(spark, rows)
