@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
@@ -44,6 +48,45 @@ def extract(chunks: DataFrame, extractor: Callable[[str], str]) -> DataFrame:
     return chunks.withColumn("raw", run("content"))
 
 
+def _entities(raw: str | None) -> list[dict]:
+    """Names, of two characters or more and not all digits, and types of the entities of an answer; none if it cannot be read."""
+    try:
+        found = json.loads(re.search(r"(?s)\{.*\}", re.sub(r"(?i)```(?:json)?", "", raw))[0])["entities"]
+        named = [{"name": " ".join(e["name"].split()), "type": (e.get("type") or "").strip() or "Entity"} for e in found]
+    except (AttributeError, KeyError, TypeError, ValueError):
+        return []
+    return [e for e in named if len(e["name"]) > 1 and not e["name"].isdecimal()]
+
+
+def extract_in_order(chunks: DataFrame, extractor: Callable[[str, dict, list[dict]], str], template: list[str], most: int = 200) -> DataFrame:
+    """Adds ``raw``, the extractor's answer to ``content``, the template columns of the row, and the entities that earlier chunks of its document have brought.
+
+    Of these, the last ``most`` in order of first appearance, each name once in any case, are given. Documents are dealt to
+    tasks, which go through their chunks in order; null where the extractor fails, so that only this chunk is skipped.
+    """
+    schema = StructType([*chunks.schema.fields, StructField("raw", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, seen, known = None, set(), deque(maxlen=most)
+        for batch in batches:
+            answers: list[str | None] = []
+            for row in batch.select(["doc_id", "content", *template]).to_pylist():
+                if row["doc_id"] != doc:
+                    doc, seen, known = row["doc_id"], set(), deque(maxlen=most)
+                try:
+                    raw = extractor(row["content"], {t: row[t] for t in template}, list(known))
+                except Exception:
+                    raw = None
+                for e in _entities(raw):
+                    if e["name"].lower() not in seen:
+                        seen.add(e["name"].lower())
+                        known.append(e)
+                answers.append(raw)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(answers, pa.string())], schema.fieldNames())
+
+    return chunks.repartition("doc_id").sortWithinPartitions("doc_id", "chunk_idx").mapInArrow(run, schema)
+
+
 def embed_in_batches(df: DataFrame, embed: Callable[[list[str]], list[list[float]]] | None, text_col: str = "name", size: int = 100, out: str = "embedding") -> DataFrame:
     """Adds the vectors that embed returns for lists of at most size texts, in their order; null for a list that fails, and everywhere without embed."""
     if embed is None:

@@ -209,10 +209,15 @@ def doc_filter(relations: DataFrame, docs: Column) -> DataFrame:
     return relations.where(F.coalesce(F.size(docs) <= 0, F.lit(True)) | docs.isNull() | kept)
 
 
+def skip_blank_nodes(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes with a name that is not null or blank, and the links of which neither end is."""
+    named = lambda c: F.coalesce(trim(F.col(c)), F.lit("")) != ""
+    return nodes.where(named("name")), links.where(named("source") & named("target"))
+
+
 def full_graph(relations: DataFrame, k: int = 500) -> DataFrame:
     """Up to k relations of each tenant in order of their names, without blank ends, and whether there may be more."""
-    named = relations.where((trim(F.col("source")) != "") & (trim(F.col("target")) != ""))
-    first = best(named, ["user_id"], [F.asc("source"), F.asc("target"), F.asc("type")], k)
+    first = best(skip_blank_nodes(relations.select(F.col("source").alias("name")), relations)[1], ["user_id"], [F.asc("source"), F.asc("target"), F.asc("type")], k)
     return first.withColumn("truncated", F.count("*").over(Window.partitionBy("user_id")) >= k)
 
 

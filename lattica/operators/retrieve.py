@@ -1,4 +1,4 @@
-"""Hybrid retrieval for a table of questions (question_id, user_id, entities, docs, embedding)."""
+"""Hybrid retrieval for a table of questions (question_id, user_id, entities, docs, and embeddings: a vector, or null, for each of the entities)."""
 
 from __future__ import annotations
 
@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.text import render_fact, trim
-from lattica.operators.graph import best, both_ways, degree
+from lattica.operators.graph import best, both_ways
 from lattica.operators.search import containing
 from lattica.operators.vectors import vector_topk
+from lattica.sources.shared import stored
 
 REFUSAL = "I could not find anything about this in the knowledge base."
-#: Rows kept for each question from exact names, substrings and vectors.
+#: Rows kept for each question from exact names and substrings, and for each of its terms from vectors.
 LIMITS = {"exact": 50, "substring": 30, "vector": 50}
 ORDER = ["start", "m", "type1", "forward1", "k", "type2", "forward2"]
 
@@ -35,34 +36,50 @@ def _allowed(files: str):
     return F.coalesce(F.size("docs"), F.lit(0)).between(-1, 0) | F.exists(files, lambda f: F.exists("docs", lambda d: f.contains(d)))
 
 
-def hops(starts: DataFrame, relations: DataFrame, k: int) -> DataFrame:
-    """First-hop relations of each start, each with its second hops or without one, the k best of a question by weight.
+def hops(starts: DataFrame, sym: DataFrame, k: int, of: tuple[str, ...] = ("question_id",)) -> DataFrame:
+    """First-hop relations of each start, each with its second hops or without one, the k best of a question, or of other keys, by weight.
 
-    Every first hop gives a row, so only those among its question's k first ones by (weight, start, m, type,
+    sym holds the relations from both ends (``both_ways``). Every first hop gives a row, so only those among its question's k first ones by (weight, start, m, type,
     direction), the leading columns of the order, can be kept: they alone are joined again.
     """
-    sym = both_ways(relations.select("user_id", "source", "target", "type", "weight", "source_files"))
+    of = list(of)
     one = starts.join(sym.select("user_id", F.col("node").alias("start"), F.col("other").alias("m"), F.col("type").alias("type1"), F.col("is_forward").alias("forward1"), F.col("weight").alias("weight1"), F.col("source_files").alias("files1")), ["user_id", "start"]).where(_allowed("files1") & (trim(F.col("start")) != "") & (trim(F.col("m")) != ""))
     first = [F.desc("weight1"), F.asc("start"), F.asc("m"), F.asc("type1"), F.asc("forward1")]
-    one = best(one, ["question_id"], first, k, "first").drop("first")
+    one = best(one, of, first, k, "first").drop("first")
     two = sym.select("user_id", F.col("node").alias("m"), F.col("other").alias("k"), F.col("type").alias("type2"), F.col("is_forward").alias("forward2"), F.col("source_files").alias("files2"))
     matched = one.join(two, ["user_id", "m"]).where((F.col("k") != F.col("start")) & (F.col("k") != F.col("m")) & _allowed("files2"))
-    keys = ["question_id", "user_id", "start", "m", "type1", "forward1"]
+    keys = [*of, "user_id", "start", "m", "type1", "forward1"]
     rows = one.join(matched.select(*keys, "k", "type2", "forward2", "files2"), keys, "left")
     order = [F.desc("weight1"), *[F.asc_nulls_last(c) for c in ORDER]]
-    return best(rows, ["question_id"], order, k)
+    return best(rows, of, order, k)
+
+
+def nearest_starts(questions: DataFrame, entities: DataFrame, k: int = 3) -> DataFrame:
+    """(question_id, user_id, docs, term, start): the k nearest entities of each embedded term of a question, if they are its tenant's."""
+    terms = questions.select("question_id", "user_id", F.posexplode("embeddings").alias("term", "embedding")).withColumn("query_id", F.struct("question_id", "term"))
+    near = vector_topk(terms.where("embedding IS NOT NULL"), entities, k).select("query_id.question_id", "query_id.term", F.col("name").alias("start"))
+    return near.join(questions.select("question_id", "user_id", "docs"), "question_id")
 
 
 def retrieve(questions: DataFrame, entities: DataFrame, relations: DataFrame, k_vector: int = 3) -> DataFrame:
-    """Rows (question_id, step, rank, start, first hop, second hop, degrees): A from exact names, B from substrings for questions without a row of A, C from the nearest vectors."""
-    exact = hops(match_exact(questions, entities), relations, LIMITS["exact"]).withColumn("step", F.lit("A"))
+    """Rows (question_id, step, term, rank, start, first hop, second hop, degrees).
+
+    A from exact names, B from substrings for questions without a row of A, C from the nearest vectors of each embedded
+    term, each term with its own rank and limit; term is null in A and B. The view of the relations from both ends and the
+    degrees are stored once for all steps.
+    """
+    sym = stored(both_ways(relations.select("user_id", "source", "target", "type", "weight", "source_files")), "both-ways")
+    none = F.lit(None).cast("int").alias("term")
+    exact = stored(hops(match_exact(questions, entities), sym, LIMITS["exact"]).select("*", F.lit("A").alias("step"), none), "exact")
     rest = questions.join(exact.select("question_id").distinct(), "question_id", "left_anti")
-    rows = exact.unionByName(hops(match_substring(rest, entities), relations, LIMITS["substring"]).withColumn("step", F.lit("B")))
-    if "embedding" in questions.columns and "embedding" in entities.columns:
-        near = vector_topk(questions.where("embedding IS NOT NULL").withColumnRenamed("question_id", "query_id"), entities, k_vector)
-        starts = near.select(F.col("query_id").alias("question_id"), "user_id", F.col("name").alias("start")).join(questions.select("question_id", "docs"), "question_id")
-        rows = rows.unionByName(hops(starts, relations, LIMITS["vector"]).withColumn("step", F.lit("C")))
-    known = degree(entities.select("user_id", "name"), relations)
+    rows = exact.unionByName(hops(match_substring(rest, entities), sym, LIMITS["substring"]).select("*", F.lit("B").alias("step"), none))
+    if "embeddings" in questions.columns and "embedding" in entities.columns:
+        starts = nearest_starts(questions, entities, k_vector)
+        rows = rows.unionByName(hops(starts, sym, LIMITS["vector"], ("question_id", "term")).withColumn("step", F.lit("C")))
+    known = sym.groupBy("user_id", F.col("node").alias("name")).agg(F.count("*").alias("degree"))
+    rows = stored(rows, "rows")
+    wanted = rows.select("user_id", F.explode(F.array("start", "m")).alias("name")).distinct()
+    known = stored(known.join(wanted, ["user_id", "name"], "left_semi"), "degrees")
     for end, label in (("start", "s_deg"), ("m", "m_deg")):
         rows = rows.join(known.select("user_id", F.col("name").alias(end), F.col("degree").alias(label)), ["user_id", end], "left")
     return rows.drop("docs")
@@ -71,8 +88,8 @@ def retrieve(questions: DataFrame, entities: DataFrame, relations: DataFrame, k_
 def retrieved_nodes(rows: DataFrame) -> DataFrame:
     """(question_id, id, degree): the degree of a node is that of its first row; a second hop counts 1."""
     ends = F.array(F.struct(F.col("start").alias("id"), F.col("s_deg").alias("degree"), F.lit(0).alias("role")), F.struct(F.col("m").alias("id"), F.col("m_deg").alias("degree"), F.lit(1).alias("role")), F.struct(F.col("k").alias("id"), F.lit(1).cast("long").alias("degree"), F.lit(2).alias("role")))
-    seen = rows.select("question_id", "step", "rank", F.explode(ends).alias("e")).where("e.id IS NOT NULL AND trim(e.id) != ''")
-    return seen.groupBy("question_id", F.col("e.id").alias("id")).agg(F.min_by("e.degree", F.struct("step", "rank", "e.role")).alias("degree"))
+    seen = rows.select("question_id", "step", "term", "rank", F.explode(ends).alias("e")).where("e.id IS NOT NULL AND trim(e.id) != ''")
+    return seen.groupBy("question_id", F.col("e.id").alias("id")).agg(F.min_by("e.degree", F.struct("step", "term", "rank", "e.role")).alias("degree"))
 
 
 def retrieved_links(rows: DataFrame) -> DataFrame:
@@ -89,7 +106,7 @@ def matched(rows: DataFrame) -> DataFrame:
 def build_context(rows: DataFrame) -> DataFrame:
     """(question_id, context): the distinct facts of first hops, then those of second hops, in order of appearance."""
     fact = lambda a, b, f, t, files: F.when(F.col(t).isNotNull(), render_fact(F.when(F.col(f), F.col(a)).otherwise(F.col(b)), F.col(t), F.when(F.col(f), F.col(b)).otherwise(F.col(a)), F.col(files)))
-    told = rows.select("question_id", F.struct("step", "rank").alias("at"), F.explode(F.array(F.struct(F.lit(1).alias("hop"), fact("start", "m", "forward1", "type1", "files1").alias("fact")), F.struct(F.lit(2).alias("hop"), fact("m", "k", "forward2", "type2", "files2").alias("fact")))).alias("f")).where("f.fact IS NOT NULL")
+    told = rows.select("question_id", F.struct("step", "term", "rank").alias("at"), F.explode(F.array(F.struct(F.lit(1).alias("hop"), fact("start", "m", "forward1", "type1", "files1").alias("fact")), F.struct(F.lit(2).alias("hop"), fact("m", "k", "forward2", "type2", "files2").alias("fact")))).alias("f")).where("f.fact IS NOT NULL")
     first = told.groupBy("question_id", "f.hop", "f.fact").agg(F.min("at").alias("at"))
     part = lambda hop: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("hop") == hop, F.struct("at", "fact")))), lambda x: x["fact"]), "\n")
     parts = first.groupBy("question_id").agg(part(1).alias("direct"), part(2).alias("related"))

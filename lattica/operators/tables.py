@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from lattica.functions.text import trim
 from lattica.operators.graph import best
@@ -107,17 +112,28 @@ def _micros(interval: str) -> int:
 def admit(events: DataFrame, limit: int, seconds: int = 3600) -> DataFrame:
     """Events (user_id, event_id, ts) with admitted: fewer than limit admitted events of the user in the seconds before.
 
-    Admission depends on earlier admissions, so a user's events are folded in order: the last ``limit`` admitted times
-    are the whole state.
+    Admission depends on earlier admissions, so each task goes through its users' events in order, batch after batch,
+    and holds no more than the last ``limit`` admitted times of one user. Events without a user or a time are not
+    admitted; ties of time go by event_id.
     """
-    step = lambda s, e: F.when(
-        (F.size(s["last"]) < limit) | (F.element_at(s["last"], 1) <= e["at"] - seconds),
-        F.struct(F.slice(F.concat(s["last"], F.array(e["at"])), F.greatest(F.lit(1), F.size(s["last"]) + 2 - limit), F.lit(limit)).alias("last"), F.concat(s["ids"], F.array(e["event_id"])).alias("ids")),
-    ).otherwise(s)
-    start = F.struct(F.array().cast("array<double>").alias("last"), F.array().cast("array<bigint>").alias("ids"))
-    seen = F.array_sort(F.collect_list(F.struct((F.unix_micros("ts") / 1e6).alias("at"), F.col("event_id").cast("long").alias("event_id"))))
-    folded = events.groupBy("user_id").agg(F.aggregate(seen, start, step)["ids"].alias("ids")).select("user_id", F.explode("ids").alias("event_id"))
-    return events.join(folded.withColumn("admitted", F.lit(True)), ["user_id", "event_id"], "left").withColumn("admitted", F.coalesce("admitted", F.lit(False)))
+    ordered = events.withColumn("_at", F.unix_micros("ts")).repartition("user_id").sortWithinPartitions("user_id", "_at", "event_id")
+    schema = StructType([*events.schema.fields, StructField("admitted", BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, last = None, deque(maxlen=limit)
+        for batch in batches:
+            admitted = []
+            for u, at in zip(batch.column("user_id").to_pylist(), batch.column("_at").to_pylist(), strict=True):
+                if u != user:
+                    user, last = u, deque(maxlen=limit)
+                fits = u is not None and at is not None and (len(last) < limit or last[0] <= at - seconds * 1_000_000)
+                if fits:
+                    last.append(at)
+                admitted.append(fits)
+            kept = batch.select([f.name for f in schema.fields[:-1]])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(admitted)], [f.name for f in schema.fields])
+
+    return ordered.mapInArrow(run, schema)
 
 
 def list_documents(documents: DataFrame) -> DataFrame:

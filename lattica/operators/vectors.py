@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lattica.functions.text import clean_answer
 from lattica.operators.graph import best
 
-#: Queries sent to the scanning tasks; more are searched in a join that deals blocks of queries and rows.
-SENT_QUERIES = 10_000
+#: Queries of one block, which is sent to the tasks that scan the rows; a larger stated set is searched block after block.
+BLOCK = 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -28,33 +35,91 @@ def unit(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
 
 
-def _scored(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """Every query (query_id, q) against every row (q_unit, v): a stated query set, in a broadcast of checked size or in blocks."""
-    if queries.count() <= SENT_QUERIES:
-        return rows.crossJoin(F.broadcast(queries))
-    blocks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    return rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(asked, "block").drop("block")
+def _units(vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length of vectors, which rows have it and their unit vectors; null and zero ones are left out."""
+    lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy()
+    out = {}
+    for n in np.unique(lengths[lengths > 0]).tolist():
+        at = np.flatnonzero(lengths == n)
+        x = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
+        norm = np.sqrt((x * x).sum(axis=1))
+        good = norm > 0
+        out[n] = (at[good], x[good] / norm[good, None])
+    return out
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, keys: list[str], by: str | None = None, least: float = -2.0, descending: tuple[str, ...] = ()) -> DataFrame:
+    """The k rows of highest cosine of each query (query_id, user_id, embedding): query_id, asked_by, the keys of rows, score.
+
+    Rows are scanned in Arrow batches, each multiplied with a block of queries as a matrix; of a batch only the best k for
+    each query go on to the shuffle. With ``by``, a key that holds the tenant, a query sees its own tenant's rows only.
+    Scores are rounded to 12 digits, so that equal vectors tie wherever they stand; ties go to the smaller keys, in
+    their order, or the larger of those named descending. Null, zero and differently long vectors are not compared; scores below least are left out.
+    """
+    spark = rows.sparkSession
+    asked = queries.where("embedding IS NOT NULL").select("query_id", F.col("user_id").alias("asked_by"), F.col("embedding").cast("array<double>").alias("embedding"))
+    held = rows.where("embedding IS NOT NULL").select(*keys, F.col("embedding").cast("array<double>").alias("embedding"))
+    schema = StructType([*asked.drop("embedding").schema.fields, *held.drop("embedding").schema.fields, StructField("score", DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def scan(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, tenants, own = shared.value
+            own = _units(own)
+            for batch in batches:
+                order = pa.table({c: batch.column(c) for c in keys}).append_column("at", pa.array(np.arange(batch.num_rows))).sort_by([(c, "descending" if c in descending else "ascending") for c in keys]).column("at").to_numpy()
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                theirs = np.array(batch.column(by).to_pylist(), object) if by else None
+                picked: list[list[np.ndarray]] = [[], [], []]
+                for n, (at, x) in _units(batch.column("embedding")).items():
+                    if n not in own:
+                        continue
+                    q_at, q = own[n]
+                    for i in range(0, len(q_at), 256):
+                        scores = np.round(q[i : i + 256] @ x.T, 12)
+                        if by:
+                            scores[tenants[q_at[i : i + 256]][:, None] != theirs[at][None]] = -np.inf
+                        bound = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+                        a, b = np.nonzero((scores >= np.maximum(bound, least)[:, None]) & (scores > -np.inf))
+                        s = scores[a, b]
+                        best_first = np.lexsort((rank[at[b]], -s, a))
+                        a, b, s = a[best_first], b[best_first], s[best_first]
+                        nth = np.arange(len(a)) - np.searchsorted(a, a)
+                        for o, v in zip(picked, (q_at[i : i + 256][a], at[b], s), strict=True):
+                            o.append(v[nth < k])
+                if picked[0]:
+                    q_rows, r_rows, s = (np.concatenate(p) for p in picked)
+                    part = batch.take(pa.array(r_rows))
+                    columns = [ids.take(pa.array(q_rows)), pa.array(tenants[q_rows].tolist(), arrow.field("asked_by").type), *(part.column(c) for c in keys), pa.array(s)]
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+        return run
+
+    blocks = -(-asked.count() // BLOCK) or 1
+    found = None
+    for b in range(blocks):
+        block = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow().combine_chunks()
+        flat = [block.column(c).combine_chunks() for c in ("query_id", "asked_by", "embedding")]
+        shared = spark.sparkContext.broadcast((flat[0], np.array(flat[1].to_pylist(), object), flat[2]))
+        part = held.mapInArrow(scan(shared), schema)
+        found = part if found is None else found.unionByName(part)
+    return best(found, ["query_id"], [F.desc("score"), *[F.desc(c) if c in descending else F.asc(c) for c in keys]], k)
 
 
 def vector_topk(queries: DataFrame, entities: DataFrame, k: int = 3, prefilter: bool = False) -> DataFrame:
     """The k nearest entities (user_id, name, embedding) of each query (query_id, user_id, embedding).
 
     As the index does it, the k nearest of all tenants are found first and the query's tenant is kept; prefilter looks
-    at the tenant's entities only. Ties go to the smaller name.
+    at the tenant's entities only. Ties go to the smaller tenant and name.
     """
-    asked = queries.select("query_id", F.col("user_id").alias("asked_by"), unit(F.col("embedding")).alias("q"))
-    rows = entities.where("embedding IS NOT NULL").select("user_id", "name", unit(F.col("embedding")).alias("v"))
-    pairs = rows.join(asked, rows["user_id"] == asked["asked_by"]) if prefilter else _scored(asked, rows)
-    near = pairs.select("query_id", "asked_by", "user_id", "name", dot(F.col("q"), F.col("v")).alias("score")).where("score IS NOT NULL")
-    return best(near, ["query_id"], [F.desc("score"), F.asc("user_id"), F.asc("name")], k).where("user_id = asked_by").drop("asked_by")
+    found = nearest(queries, entities, k, ["user_id", "name"], by="user_id" if prefilter else None)
+    return found.where("user_id = asked_by").drop("asked_by")
 
 
 def chunk_topk(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     """The k nearest chunks (user_id, doc_id, chunk_idx, embedding) of the query's tenant."""
-    asked = queries.select("query_id", "user_id", unit(F.col("embedding")).alias("q"))
-    near = chunks.join(asked, "user_id").select("query_id", "user_id", "doc_id", "chunk_idx", dot(F.col("q"), unit(F.col("embedding"))).alias("score")).where("score IS NOT NULL")
-    return best(near, ["query_id"], [F.desc("score"), F.asc("doc_id"), F.asc("chunk_idx")], k)
+    return nearest(queries, chunks, k, ["user_id", "doc_id", "chunk_idx"], by="user_id").drop("asked_by")
 
 
 def vector_topk_approx(queries: DataFrame, entities: DataFrame, k: int = 3, width: float = 0.6, tables: int = 24, radius: float = 1.3) -> DataFrame:
@@ -71,11 +136,10 @@ def vector_topk_approx(queries: DataFrame, entities: DataFrame, k: int = 3, widt
 
 
 def cache_lookup_semantic(questions: DataFrame, cache: DataFrame, least: float = 0.95) -> DataFrame:
-    """The nearest cached answer of the same user, of at least this cosine; only for questions without history."""
-    asked = questions.where("NOT has_history AND embedding IS NOT NULL").select("question_id", "user_id", unit(F.col("embedding")).alias("q"))
-    held = cache.select("user_id", "answer", "created_at", unit(F.col("embedding")).alias("v"))
-    near = asked.join(held, "user_id").withColumn("score", dot(F.col("q"), F.col("v"))).where(F.col("score") >= least)
-    return near.groupBy("question_id").agg(F.max_by("answer", F.struct("score", "created_at", "answer")).alias("answer"), F.max("score").alias("score"))
+    """The nearest cached answer of the same user, of at least this cosine; only for questions without history. Of equals the latest, then the largest answer."""
+    asked = questions.where("NOT has_history").select(F.col("question_id").alias("query_id"), "user_id", "embedding")
+    found = nearest(asked, cache, 1, ["user_id", "created_at", "answer"], by="user_id", least=least, descending=("created_at", "answer"))
+    return found.select(F.col("query_id").alias("question_id"), "answer", "score")
 
 
 def cache_lookup_exact(questions: DataFrame, cache: DataFrame) -> DataFrame:

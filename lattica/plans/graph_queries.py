@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lattica.functions import text as tx
 from lattica.operators import graph as g
 from lattica.operators import paths as p
-from lattica.plans.base import GRAPH, graph, table, triples
+from lattica.plans.base import GRAPH, graph, stored_graph, table, triples
 
 
 def _files(df, col="source_files"):
@@ -35,7 +35,7 @@ def neighbours(s, d):
 
 
 def degrees(s, d):
-    return g.degree(*graph(s, d))
+    return g.degree(*stored_graph(s, d))
 
 
 def _requests(s, d):
@@ -48,18 +48,18 @@ REQ = "q AS (SELECT s_suppkey AS req_id, r_name AS user_id, s_name AS name FROM
 
 
 def expand(s, d):
-    return g.expand_node(_requests(s, d), *graph(s, d))
+    return g.expand_node(_requests(s, d), *stored_graph(s, d))
 
 
 def detail(s, d):
-    head, rels, files = g.node_detail(_requests(s, d).withColumn("name", F.upper("name")), *graph(s, d))
+    head, rels, files = g.node_detail(_requests(s, d).withColumn("name", F.upper("name")), *stored_graph(s, d))
     counts = rels.groupBy("req_id", F.col("node").alias("name")).agg(F.count("*").alias("relations"), F.sum(F.col("is_outgoing").cast("long")).alias("outgoing"), F.sum("weight").alias("weight"))
     return head.join(counts, ["req_id", "name"]).join(files.groupBy("req_id").agg(F.array_join(F.array_sort(F.collect_list("file")), ",").alias("files")), "req_id")
 
 
 def search(s, d):
     asked = table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("req_id"), F.col("r_name").alias("user_id"), F.concat(F.lit(" "), F.lit("#"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0"), F.lit(" ")).alias("q"))
-    return g.search_entities(asked, *graph(s, d)).select("req_id", "name", "type", "degree", F.col("rank").cast("long").alias("rank"))
+    return g.search_entities(asked, *stored_graph(s, d)).select("req_id", "name", "type", "degree", F.col("rank").cast("long").alias("rank"))
 
 
 def full(s, d):
@@ -71,24 +71,24 @@ def filtered(s, d):
 
 
 def hidden(s, d):
-    e, r = g.hide_types(*graph(s, d), ["Location", "Person"])
+    e, r = g.hide_types(*stored_graph(s, d), ["Location", "Person"])
     return e.groupBy("user_id", F.lit("entities").alias("kind")).agg(F.count("*").alias("n")).unionByName(r.groupBy("user_id", F.lit("relations").alias("kind")).agg(F.count("*").alias("n")))
 
 
 def deduped_entities(s, d):
-    return g.dedup_entities(*graph(s, d))[1]
+    return g.dedup_entities(*stored_graph(s, d))[1]
 
 
 def deduped_relations(s, d):
-    return _files(g.dedup_entities(*graph(s, d))[2])
+    return _files(g.dedup_entities(*stored_graph(s, d))[2])
 
 
 def dedup_mapping(s, d):
-    return g.dedup_entities(*graph(s, d))[0]
+    return g.dedup_entities(*stored_graph(s, d))[0]
 
 
 def dedup_report(s, d):
-    return g.dedup_summary(g.dedup_entities(*graph(s, d))[0])
+    return g.dedup_summary(g.dedup_entities(*stored_graph(s, d))[0])
 
 
 CANON = ", w AS (SELECT *, first_value(name) OVER (PARTITION BY user_id, lower(name) ORDER BY degree DESC, name) AS canonical FROM d)"
@@ -99,16 +99,16 @@ def _gone(s, d):
 
 
 def deleted(s, d):
-    e, r = g.delete_documents(*graph(s, d), _gone(s, d))
+    e, r = g.delete_documents(*stored_graph(s, d), _gone(s, d))
     return e.select("user_id", "name", F.lit(0).cast("long").alias("weight")).unionByName(r.groupBy("user_id", F.col("source").alias("name")).agg(F.sum("weight").alias("weight")))
 
 
 def shrunk(s, d):
-    return _files(g.delete_documents(*graph(s, d), _gone(s, d), shrink=True)[1])
+    return _files(g.delete_documents(*stored_graph(s, d), _gone(s, d), shrink=True)[1])
 
 
 def orphaned(s, d):
-    e, r = graph(s, d)
+    e, r = stored_graph(s, d)
     return g.orphans(e, r.where("type != 'LOCATED_IN'"))
 
 
@@ -145,36 +145,35 @@ def facts(s, d):
 
 
 def starters(s, d):
-    top = g.top_entities(*graph(s, d), k=3).groupBy("user_id").pivot("rank", [1, 2, 3]).agg(F.first("name"))
+    top = g.top_entities(*stored_graph(s, d), k=3).groupBy("user_id").pivot("rank", [1, 2, 3]).agg(F.first("name"))
     return top.select("user_id", F.array_join(tx.starter_questions(F.col("1"), F.col("2"), F.col("3")), "\n").alias("questions"))
 
 
 def _links(s, d):
-    """Links between pages by the number in their addresses; the tenant is the host."""
-    pages = table(s, d, "pages")
-    host = F.regexp_extract("url", r"^https?://([^/]+)", 1)
+    """Pages, and the links between them by address; one tenant, web."""
+    pages, web = table(s, d, "pages"), F.lit("web").alias("user_id")
     out = pages.select("url", F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1))).alias("href"))
-    return pages.select(F.lit("web").alias("user_id"), F.col("url").alias("id")).distinct(), out.select(F.lit("web").alias("user_id"), F.col("url").alias("source"), F.col("href").alias("target")), host
+    nodes = pages.select(web, F.col("url").alias("id")).distinct()
+    return nodes, out.select(web, F.col("url").alias("source"), F.col("href").alias("target")).join(nodes.select(F.col("id").alias("target")), "target", "left_semi")
 
 
-def _small(s, d):
-    """Nations, regions and parts of the graph, linked through suppliers with their case variants joined."""
-    e, r = graph(s, d)
-    links = r.where("type != 'LOCATED_IN' OR source LIKE 'Supplier%'").select("user_id", "source", "target")
-    return links.select("user_id", F.explode(F.array("source", "target")).alias("id")).distinct(), links
+def _directed(s, d):
+    """The names and links of the whole graph."""
+    e, r = stored_graph(s, d)
+    return e.select("user_id", F.col("name").alias("id")), r.select("user_id", "source", "target")
 
 
 def ranked(s, d):
-    nodes, links = _small(s, d)
+    nodes, links = _directed(s, d)
     return p.pagerank(nodes, links).select("user_id", "id", F.round("pagerank", 6).alias("pagerank"))
 
 
-SMALL = """, k AS (SELECT user_id, source, target FROM r WHERE type <> 'LOCATED_IN' OR source LIKE 'Supplier%'),
-v AS (SELECT DISTINCT user_id, id FROM (SELECT user_id, source AS id FROM k UNION ALL SELECT user_id, target FROM k))"""
+DIRECTED = """, k AS (SELECT user_id, source, target FROM r), v AS (SELECT user_id, name AS id FROM e)"""
 
 
-def _pagerank_sql(rounds: int = 20) -> str:
-    out = f"WITH {GRAPH}{SMALL}, o AS (SELECT user_id, source, count(*) AS n FROM k GROUP BY user_id, source), z AS (SELECT user_id, count(*) AS n FROM v GROUP BY user_id), p0 AS MATERIALIZED (SELECT v.user_id, id, 1.0 / z.n AS pr, o.n AS out, z.n FROM v JOIN z ON v.user_id = z.user_id LEFT JOIN o ON v.user_id = o.user_id AND id = source)"
+def _pagerank_sql(given: str, rounds: int = 20) -> str:
+    """The rounds unrolled, over links k and nodes v."""
+    out = f"WITH {given}, o AS (SELECT user_id, source, count(*) AS n FROM k GROUP BY user_id, source), z AS (SELECT user_id, count(*) AS n FROM v GROUP BY user_id), p0 AS MATERIALIZED (SELECT v.user_id, id, 1.0 / z.n AS pr, o.n AS out, z.n FROM v JOIN z ON v.user_id = z.user_id LEFT JOIN o ON v.user_id = o.user_id AND id = source)"
     for i in range(rounds):
         out += f""", s{i} AS (SELECT user_id, coalesce(sum(pr) FILTER (WHERE out IS NULL), 0) AS lost FROM p{i} GROUP BY user_id),
 g{i} AS (SELECT k.user_id, target, sum(pr / out) AS got FROM k JOIN p{i} ON k.user_id = p{i}.user_id AND k.source = p{i}.id GROUP BY k.user_id, target),
@@ -184,11 +183,11 @@ p{i + 1} AS MATERIALIZED (SELECT a.user_id, a.id, 0.85 * coalesce(got, 0) + 0.15
 
 
 def levels(s, d):
-    nodes, links = _small(s, d)
+    nodes, links = _directed(s, d)
     return p.hierarchy_levels(nodes, links).withColumn("level", F.col("level").cast("long"))
 
 
-LEVELS = f"""WITH RECURSIVE {GRAPH}{SMALL},
+LEVELS = f"""WITH RECURSIVE {GRAPH}{DIRECTED},
 root AS (SELECT v.user_id, v.id FROM v LEFT JOIN k ON v.user_id = k.user_id AND v.id = k.target WHERE k.target IS NULL),
 walk AS (
   SELECT user_id, id, 0 AS level FROM root
@@ -216,9 +215,12 @@ SELECT q.pair_id, length IS NOT NULL AS found, length FROM q LEFT JOIN f ON q.pa
 
 
 def page_rank_of_pages(s, d):
-    nodes, links, _ = _links(s, d)
-    known = links.join(nodes.select(F.col("id").alias("target")), "target", "left_semi")
-    return p.pagerank(nodes, known).select("id", F.round("pagerank", 6).alias("pagerank"))
+    return p.pagerank(*_links(s, d)).select("id", F.round("pagerank", 6).alias("pagerank"))
+
+
+PAGES = """h AS (SELECT url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages),
+k AS (SELECT 'web' AS user_id, url AS source, href AS target FROM h WHERE href IN (SELECT url FROM pages)),
+v AS (SELECT DISTINCT 'web' AS user_id, url AS id FROM pages)"""
 
 
 G = f"WITH {GRAPH} "
@@ -228,7 +230,7 @@ QUERIES = {
     "g1_upsert_existing": (reupsert, G + "SELECT r.user_id, source, target, r.type, weight, list_aggregate(source_files, 'string_agg', ',') AS source_files, e.type AS source_type FROM r JOIN e ON r.user_id = e.user_id AND r.source = e.name WHERE r.user_id || source IN (SELECT user_id || source FROM r)"),
     "j1_neighbours": (neighbours, G + "SELECT user_id, node, is_forward, count(*) AS n, CAST(sum(weight) AS BIGINT) AS weight FROM sym GROUP BY user_id, node, is_forward"),
     "a1_degree": (degrees, G + "SELECT * FROM d"),
-    "a2_graph_counts": (lambda s, d: g.graph_counts(*graph(s, d)), G + "SELECT user_id, (SELECT count(*) FROM e WHERE e.user_id = r.user_id) AS nodes, count(*) AS links FROM r GROUP BY user_id"),
+    "a2_graph_counts": (lambda s, d: g.graph_counts(*stored_graph(s, d)), G + "SELECT user_id, (SELECT count(*) FROM e WHERE e.user_id = r.user_id) AS nodes, count(*) AS links FROM r GROUP BY user_id"),
     "a3_type_distribution": (lambda s, d: g.type_distribution(graph(s, d)[0]), G + "SELECT user_id, type, count(*) AS n FROM e GROUP BY user_id, type"),
     "a4_top_relation_types": (lambda s, d: g.top_relation_types(graph(s, d)[1], 2), G + "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, type) AS rank FROM (SELECT user_id, type, count(*) AS n FROM r GROUP BY user_id, type)) WHERE rank <= 2"),
     "a5_doc_contributions": (lambda s, d: g.document_contributions(graph(s, d)[1]), G + "SELECT user_id, file, count(*) AS n FROM (SELECT user_id, unnest(source_files) AS file FROM r) GROUP BY user_id, file"),
@@ -246,9 +248,9 @@ l AS (SELECT user_id, file, string_agg(v, '|' ORDER BY rank) AS top_entities FRO
 SELECT c.user_id, c.file, relation_count, context, entity_count, top_entities FROM c JOIN n ON c.user_id = n.user_id AND c.file = n.file JOIN l ON c.user_id = l.user_id AND c.file = l.file""",
     ),
     "a10_node_sources": (lambda s, d: _files(g.node_sources(graph(s, d)[1]), "files"), G + "SELECT user_id, node AS name, list_aggregate(list_sort(list(DISTINCT file)), 'string_agg', ',') AS files FROM (SELECT user_id, node, unnest(source_files) AS file FROM sym) GROUP BY user_id, node"),
-    "l2_top_entities": (lambda s, d: g.top_entities(*graph(s, d)), G + "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY degree DESC, name) AS rank FROM d) WHERE rank <= 8"),
+    "l2_top_entities": (lambda s, d: g.top_entities(*stored_graph(s, d)), G + "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY degree DESC, name) AS rank FROM d) WHERE rank <= 8"),
     "g6_graph_stats": (
-        lambda s, d: g.graph_stats(*graph(s, d)),
+        lambda s, d: g.graph_stats(*stored_graph(s, d)),
         G
         + """SELECT user_id, 'node_count' AS metric, NULL AS key, count(*) AS value, 1 AS rank FROM e GROUP BY user_id
 UNION ALL SELECT user_id, 'link_count', NULL, count(*), 1 FROM r GROUP BY user_id
@@ -290,8 +292,8 @@ UNION ALL SELECT user_id, 'doc', file, n, row_number() OVER (PARTITION BY user_i
     "p10_untyped_entities": (untyped, G + "SELECT * FROM (SELECT user_id, name, row_number() OVER (PARTITION BY user_id ORDER BY name) AS rank FROM e WHERE type IN ('Organization', 'Entity')) WHERE rank <= 100"),
     "x16_x17_render_fact": (facts, G + "SELECT user_id, '[Source: ' || source_files[1] || '] ' || source || ' --[' || type || ']--> ' || target AS fact FROM r"),
     "x19_starter_questions": (starters, G + ", b AS (SELECT user_id, name, row_number() OVER (PARTITION BY user_id ORDER BY degree DESC, name) AS k FROM d) SELECT a.user_id, 'Tell me about ' || a.name || chr(10) || 'What is the relationship between ' || a.name || ' and ' || b.name || '?' || chr(10) || 'What role does ' || c.name || ' play in this knowledge base?' || chr(10) || 'What are the most important concepts here?' AS questions FROM b a JOIN b ON a.user_id = b.user_id AND b.k = 2 JOIN b c ON a.user_id = c.user_id AND c.k = 3 WHERE a.k = 1"),
-    "g8_pagerank": (ranked, _pagerank_sql()),
+    "g8_pagerank": (ranked, _pagerank_sql(f"{GRAPH}{DIRECTED}")),
     "g9_hierarchy_levels": (levels, LEVELS),
     "g7_shortest_path": (paths, PATHS),
-    "g8_pagerank_pages": (page_rank_of_pages, None),
+    "g8_pagerank_pages": (page_rank_of_pages, f"SELECT id, pagerank FROM ({_pagerank_sql(PAGES)})"),
 }

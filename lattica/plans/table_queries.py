@@ -8,8 +8,8 @@ from lattica.functions import text as tx
 from lattica.operators import retrieve as rt
 from lattica.operators import tables as tb
 from lattica.operators import vectors as vc
-from lattica.operators.graph import needs_embedding
-from lattica.plans.base import GRAPH, graph, table
+from lattica.operators.graph import both_ways, needs_embedding
+from lattica.plans.base import GRAPH, stored_graph, table
 
 
 def _events(s, d):
@@ -133,16 +133,25 @@ NAME = "'v' || lpad(CAST(b.vec_id AS VARCHAR), 8, '0')"
 
 
 def _questions(s, d):
-    """Questions about suppliers by exact name, parts of a name, and no name; every third one about some documents."""
+    """Questions about suppliers by exact name, parts of a name, and no name; every third one about some documents, every third one with vectors for its first and third term."""
     sup = table(s, d, "supplier").join(table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     key = F.col("s_suppkey")
     names = F.when(key % 4 == 3, F.array(F.lit("nobody"))).when(key % 4 == 2, F.array(F.concat(F.lit("the "), F.upper("s_name"), F.lit(" company")))).otherwise(F.array(F.upper("s_name"), F.lit("")))
     docs = F.when(key % 3 == 0, F.array(F.lit("ship_1995"), F.lit("supplier")))
-    return sup.select(key.alias("question_id"), F.col("r_name").alias("user_id"), names.alias("entities"), docs.alias("docs"))
+    vectors = table(s, d, "embeddings").select("vec_id", "embedding")
+    sup = sup.join(vectors.toDF("first", "e0"), F.when(key % 3 == 1, key) == F.col("first"), "left").join(vectors.toDF("third", "e2"), F.when(key % 3 == 1, key + 1) == F.col("third"), "left")
+    return sup.select(key.alias("question_id"), F.col("r_name").alias("user_id"), names.alias("entities"), docs.alias("docs"), F.when(key % 3 == 1, F.array("e0", F.lit(None), "e2")).alias("embeddings"))
+
+
+def _embedded(s, d):
+    """The stored graph; suppliers, in any case, have the vector of their number."""
+    e, r = stored_graph(s, d)
+    number = F.regexp_extract("name", r"^[Ss]upplier#0*(\d+)$", 1).try_cast("long")
+    return e.join(table(s, d, "embeddings").select(F.col("vec_id"), "embedding"), number == F.col("vec_id"), "left").drop("vec_id"), r
 
 
 def _rows(s, d):
-    return rt.retrieve(_questions(s, d), *graph(s, d))
+    return rt.retrieve(_questions(s, d), *_embedded(s, d))
 
 
 ROWS = """, q AS (
@@ -150,25 +159,35 @@ ROWS = """, q AS (
          CASE s_suppkey % 4 WHEN 3 THEN 'nobody' WHEN 2 THEN 'the ' || lower(s_name) || ' company' ELSE lower(s_name) END AS term
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 sd AS (SELECT *, len(list_filter(source_files, lambda f: contains(f, 'ship_1995') OR contains(f, 'supplier'))) > 0 AS chosen FROM sym),
+ev AS (SELECT e.user_id, name, embedding FROM e JOIN embeddings ON regexp_extract(name, '^[Ss]upplier#0*([0-9]+)$', 1) = CAST(vec_id AS VARCHAR)),
+qt AS (
+  SELECT question_id, user_id, picky, 0 AS term, embedding FROM q JOIN embeddings ON vec_id = question_id WHERE question_id % 3 = 1
+  UNION ALL SELECT question_id, user_id, picky, 2, embedding FROM q JOIN embeddings ON vec_id = question_id + 1 WHERE question_id % 3 = 1),
+nn AS (
+  SELECT question_id, term, qt.user_id, picky, name, qt.user_id = ev.user_id AS own,
+         row_number() OVER (PARTITION BY question_id, term ORDER BY round(list_cosine_similarity(CAST(qt.embedding AS DOUBLE[]), CAST(ev.embedding AS DOUBLE[])), 12) DESC, ev.user_id, name) AS k
+  FROM qt CROSS JOIN ev),
 starts AS (
-  SELECT 'A' AS step, question_id, q.user_id, picky, name AS start FROM q JOIN e ON q.user_id = e.user_id AND lower(name) = term
+  SELECT 'A' AS step, NULL AS term, question_id, q.user_id, picky, name AS start FROM q JOIN e ON q.user_id = e.user_id AND lower(name) = term
   UNION ALL
-  SELECT 'B', question_id, q.user_id, picky, name FROM q JOIN e ON q.user_id = e.user_id AND (contains(lower(name), term) OR contains(term, lower(name)))),
+  SELECT 'B', NULL, question_id, q.user_id, picky, name FROM q JOIN e ON q.user_id = e.user_id AND (contains(lower(name), term) OR contains(term, lower(name)))
+  UNION ALL
+  SELECT 'C', term, question_id, user_id, picky, name FROM nn WHERE k <= 3 AND own),
 one AS (
-  SELECT step, question_id, starts.user_id, picky, start, other AS m, type AS type1, is_forward AS forward1, weight AS weight1, source_files AS files1
+  SELECT step, term, question_id, starts.user_id, picky, start, other AS m, type AS type1, is_forward AS forward1, weight AS weight1, source_files AS files1
   FROM starts JOIN sd ON starts.user_id = sd.user_id AND start = node WHERE NOT picky OR chosen),
 gate AS (SELECT DISTINCT question_id FROM one WHERE step = 'A'),
 two AS (
   SELECT one.*, other AS k, sd.type AS type2, sd.is_forward AS forward2, sd.source_files AS files2,
-         row_number() OVER (PARTITION BY step, question_id ORDER BY weight1 DESC, start, m, type1, forward1, other NULLS LAST, sd.type NULLS LAST, sd.is_forward NULLS LAST) AS rank
+         row_number() OVER (PARTITION BY step, question_id, term ORDER BY weight1 DESC, start, m, type1, forward1, other NULLS LAST, sd.type NULLS LAST, sd.is_forward NULLS LAST) AS rank
   FROM one LEFT JOIN sd ON one.user_id = sd.user_id AND m = node AND other <> start AND other <> m AND (NOT picky OR chosen)
-  WHERE step = 'A' OR question_id NOT IN (SELECT question_id FROM gate)),
+  WHERE step <> 'B' OR question_id NOT IN (SELECT question_id FROM gate)),
 rows_ AS (SELECT two.*, a.degree AS s_deg, b.degree AS m_deg FROM two JOIN d a ON two.user_id = a.user_id AND start = a.name JOIN d b ON two.user_id = b.user_id AND m = b.name
-  WHERE rank <= CASE step WHEN 'A' THEN 50 ELSE 30 END)"""
+  WHERE rank <= CASE step WHEN 'B' THEN 30 ELSE 50 END)"""
 
 
 def retrieved(s, d):
-    return _rows(s, d).select("question_id", "step", F.col("rank").cast("long").alias("rank"), "start", "type1", "forward1", "weight1", "m", "type2", "forward2", "k", "s_deg", "m_deg")
+    return _rows(s, d).select("question_id", "step", "term", F.col("rank").cast("long").alias("rank"), "start", "type1", "forward1", "weight1", "m", "type2", "forward2", "k", "s_deg", "m_deg")
 
 
 def nodes(s, d):
@@ -184,35 +203,35 @@ def context(s, d):
 
 
 CONTEXT = """, f AS (
-  SELECT question_id, step, rank, 1 AS hop, '[Source: ' || files1[1] || '] ' || CASE WHEN forward1 THEN start ELSE m END || ' --[' || type1 || ']--> ' || CASE WHEN forward1 THEN m ELSE start END AS fact FROM rows_
-  UNION ALL SELECT question_id, step, rank, 2, '[Source: ' || files2[1] || '] ' || CASE WHEN forward2 THEN m ELSE k END || ' --[' || type2 || ']--> ' || CASE WHEN forward2 THEN k ELSE m END FROM rows_ WHERE k IS NOT NULL),
-u AS (SELECT question_id, hop, fact, min(step) AS step, min(rank) AS rank FROM f GROUP BY question_id, hop, fact),
-p AS (SELECT question_id, string_agg(fact, chr(10) ORDER BY step, rank, fact) FILTER (hop = 1) AS x, string_agg(fact, chr(10) ORDER BY step, rank, fact) FILTER (hop = 2) AS y FROM u GROUP BY question_id)
+  SELECT question_id, ROW(step, coalesce(term, -1), rank) AS pos, 1 AS hop, '[Source: ' || files1[1] || '] ' || CASE WHEN forward1 THEN start ELSE m END || ' --[' || type1 || ']--> ' || CASE WHEN forward1 THEN m ELSE start END AS fact FROM rows_
+  UNION ALL SELECT question_id, ROW(step, coalesce(term, -1), rank), 2, '[Source: ' || files2[1] || '] ' || CASE WHEN forward2 THEN m ELSE k END || ' --[' || type2 || ']--> ' || CASE WHEN forward2 THEN k ELSE m END FROM rows_ WHERE k IS NOT NULL),
+u AS (SELECT question_id, hop, fact, min(pos) AS pos FROM f GROUP BY question_id, hop, fact),
+p AS (SELECT question_id, string_agg(fact, chr(10) ORDER BY pos, fact) FILTER (hop = 1) AS x, string_agg(fact, chr(10) ORDER BY pos, fact) FILTER (hop = 2) AS y FROM u GROUP BY question_id)
 SELECT question_id, md5(concat_ws(chr(10), '## Direct Facts' || chr(10) || x || chr(10), '## Related Context' || chr(10) || y || chr(10))) AS context_md5 FROM p"""
 
 
 def answerable(s, d):
     q = _questions(s, d)
-    return rt.answerability(q, rt.retrieve(q, *graph(s, d)))
+    return rt.answerability(q, rt.retrieve(q, *_embedded(s, d)))
 
 
 def flagship(s, d):
     """Hybrid retrieval with context for every question."""
-    q, (e, r) = _questions(s, d), graph(s, d)
+    q, (e, r) = _questions(s, d), _embedded(s, d)
     rows = rt.retrieve(q, e, r)
     return rt.answerability(q, rows).join(rt.build_context(rows), "question_id", "left")
 
 
 def starts(s, d):
-    q, (e, _) = _questions(s, d), graph(s, d)
+    q, (e, _) = _questions(s, d), stored_graph(s, d)
     found = rt.match_exact(q, e).withColumn("step", F.lit("A")).unionByName(rt.match_substring(q, e).withColumn("step", F.lit("B")))
     return found.select("step", "question_id", "start")
 
 
 def second_hops(s, d):
     """All rows of two hops from exact names, the best 50 of each question."""
-    e, r = graph(s, d)
-    rows = rt.hops(rt.match_exact(_questions(s, d), e), r, 50)
+    e, r = stored_graph(s, d)
+    rows = rt.hops(rt.match_exact(_questions(s, d), e), both_ways(r), 50)
     return rows.groupBy("question_id").agg(F.count("*").alias("n"), F.count("k").alias("with_second"), F.sum("weight1").alias("weight"))
 
 
@@ -234,7 +253,7 @@ def registered(s, d):
 
 W = f"WITH {GRAPH}{ROWS} "
 QUERIES = {
-    "j3_j4_match_entities": (starts, f"WITH {GRAPH}{ROWS} SELECT step, question_id, start FROM starts"),
+    "j3_j4_match_entities": (starts, f"WITH {GRAPH}{ROWS} SELECT step, question_id, start FROM starts WHERE step <> 'C'"),
     "j2_w1_second_hop": (second_hops, W + "SELECT question_id, count(*) AS n, count(k) AS with_second, CAST(sum(weight1) AS BIGINT) AS weight FROM rows_ WHERE step = 'A' GROUP BY question_id"),
     "j8_needs_embedding": (unembedded, "SELECT vec_id % 5 AS user_id, 'v' || lpad(CAST(vec_id AS VARCHAR), 8, '0') AS name FROM embeddings WHERE vec_id % 3 <> 0 UNION SELECT n_nationkey % 5, n_name FROM nation"),
     "v6_cache_append": (appended, "SELECT vec_id % 5 AS user_id, 'Question ' || CAST(vec_id % 90 AS VARCHAR) AS question, 'a' || CAST(vec_id AS VARCHAR) AS answer FROM embeddings UNION ALL SELECT vec_id % 5, 'Q' || CAST(vec_id AS VARCHAR), 'a' || CAST(vec_id AS VARCHAR) FROM embeddings WHERE vec_id % 4 <> 0 AND vec_id % 3 <> 0"),
@@ -257,17 +276,26 @@ QUERIES = {
     "w5_history_window": (history, "WITH x AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) SELECT conv_id, md5(string_agg(CASE role WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END || substr(text, 1, 400), chr(10) ORDER BY turn)) AS history_md5 FROM x WHERE k <= 4 GROUP BY conv_id"),
     "w6_document_quota": (quota, "SELECT event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) > 5 AS over_quota FROM events"),
     "w7_sliding_rate": (rate, "SELECT event_id, n_recent, n_recent > 2 AS over_limit FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n_recent FROM events)"),
-    "st4_rate_limiter_batch": (admitted, None),
+    "st4_rate_limiter_batch": (
+        admitted,
+        """WITH RECURSIVE o AS (SELECT user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+w AS (
+  SELECT user_id, n, [us] AS last, true AS ok FROM o WHERE n = 1
+  UNION ALL
+  SELECT o.user_id, o.n, CASE WHEN len(last) < 2 THEN list_append(last, us) WHEN last[1] <= us - 21600000000 THEN [last[2], us] ELSE last END, len(last) < 2 OR last[1] <= us - 21600000000
+  FROM w JOIN o ON o.user_id = w.user_id AND o.n = w.n + 1)
+SELECT user_id, count(*) AS n, count(*) FILTER (ok) AS admitted FROM w GROUP BY user_id""",
+    ),
     "v1_v2_vector_topk": (topk, f"SELECT query_id, name, score FROM (SELECT a.vec_id AS query_id, {NAME} AS name, round({COS}, 6) AS score, a.vec_id % 5 = b.vec_id % 5 AS own, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id % 5, b.vec_id) AS k FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0) WHERE k <= 10 AND own"),
     "v2_vector_topk_tenant": (topk_tenant, f"SELECT query_id, name, score FROM (SELECT a.vec_id AS query_id, {NAME} AS name, round({COS}, 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id) AS k FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id % 5 = b.vec_id % 5) WHERE k <= 3"),
     "v3_vector_topk_approx": (topk_approx, None),
     "v4_cache_lookup_semantic": (cached, f"SELECT question_id, answer, score FROM (SELECT a.vec_id AS question_id, 'a' || CAST(b.vec_id AS VARCHAR) AS answer, round({COS}, 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id DESC) AS k FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id % 150 <> 0 AND (a.vec_id % 5 + a.vec_id // 50) % 5 = b.vec_id % 5 WHERE {COS} >= 0.3) WHERE k = 1"),
     "v5_cache_lookup_exact": (cached_exact, "SELECT a.vec_id AS question_id, 'a' || CAST(max(b.vec_id) AS VARCHAR) AS answer FROM embeddings a JOIN embeddings b ON a.vec_id % 5 = b.vec_id % 5 AND a.vec_id % 97 = b.vec_id % 90 GROUP BY a.vec_id"),
     "v7_chunk_topk": (topk_chunks, f"SELECT query_id, doc_id, chunk_idx, score FROM (SELECT a.vec_id AS query_id, b.vec_id % 40 AS doc_id, b.vec_id AS chunk_idx, round({COS}, 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id % 40, b.vec_id) AS k FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id % 5 = b.vec_id % 5) WHERE k <= 5"),
-    "g12_retrieve": (retrieved, W + "SELECT question_id, step, rank, start, type1, forward1, weight1, m, type2, forward2, k, s_deg, m_deg FROM rows_"),
-    "g14_subgraph_nodes": (nodes, W + "SELECT question_id, id, arg_min(degree, ROW(step, rank, role)) AS degree FROM (SELECT question_id, step, rank, start AS id, s_deg AS degree, 0 AS role FROM rows_ UNION ALL SELECT question_id, step, rank, m, m_deg, 1 FROM rows_ UNION ALL SELECT question_id, step, rank, k, 1, 2 FROM rows_ WHERE k IS NOT NULL) GROUP BY question_id, id"),
+    "g12_retrieve": (retrieved, W + "SELECT question_id, step, term, rank, start, type1, forward1, weight1, m, type2, forward2, k, s_deg, m_deg FROM rows_"),
+    "g14_subgraph_nodes": (nodes, W + "SELECT question_id, id, arg_min(degree, ROW(step, coalesce(term, -1), rank, role)) AS degree FROM (SELECT question_id, step, term, rank, start AS id, s_deg AS degree, 0 AS role FROM rows_ UNION ALL SELECT question_id, step, term, rank, m, m_deg, 1 FROM rows_ UNION ALL SELECT question_id, step, term, rank, k, 1, 2 FROM rows_ WHERE k IS NOT NULL) GROUP BY question_id, id"),
     "g12_links": (links, W + "SELECT DISTINCT question_id, CASE WHEN forward1 THEN start ELSE m END AS source, CASE WHEN forward1 THEN m ELSE start END AS target, type1 AS label FROM rows_ UNION SELECT question_id, CASE WHEN forward2 THEN m ELSE k END, CASE WHEN forward2 THEN k ELSE m END, type2 FROM rows_ WHERE k IS NOT NULL"),
-    "g12_matched": (lambda s, d: rt.matched(_rows(s, d)), W + "SELECT DISTINCT question_id, start AS id FROM rows_"),
+    "g12_matched": (lambda s, d: rt.matched(_rows(s, d)), W + "SELECT DISTINCT question_id, start AS id FROM rows_ WHERE step <> 'C'"),
     "g13_build_context": (context, W + CONTEXT),
     "g15_answerability": (answerable, W + f", n AS (SELECT question_id, count(DISTINCT id) AS n FROM (SELECT question_id, start AS id FROM rows_ UNION ALL SELECT question_id, m FROM rows_ UNION ALL SELECT question_id, k FROM rows_ WHERE k IS NOT NULL) GROUP BY question_id) SELECT q.question_id, coalesce(n, 0) AS n_nodes, CASE WHEN n IS NULL THEN '{rt.REFUSAL}' END AS refusal FROM q LEFT JOIN n ON q.question_id = n.question_id"),
 }

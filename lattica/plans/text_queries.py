@@ -15,7 +15,9 @@ def _docs(s, d):
 
 
 def normalise(s, d):
-    return _docs(s, d).select("doc_id", F.md5(tx.normalise_entity_name(F.col("text"))).alias("name_md5"))
+    """Texts behind curly quotes, long dashes and characters of no width."""
+    odd = F.lit("\u2018a\u2019 \u201cb\u201d \u2013\u2014 c\u200bd\u200ce\u200d ")
+    return _docs(s, d).select("doc_id", F.md5(tx.normalise_entity_name(F.concat(odd, F.col("text")))).alias("name_md5"))
 
 
 def cap(s, d):
@@ -145,6 +147,28 @@ WHERE NOT changed OR (source <> target AND nth = 1) GROUP BY doc_id, source, rel
 """
 
 
+def resolved(s, d):
+    """Aliases and case: the places are in capitals on second lines."""
+    rows = _named(s, d).withColumn("target", F.when(F.expr("(seq div 1000000) % 10 = 2"), F.upper("target")).otherwise(F.col("target")))
+    return ig.resolve_triples(rows).groupBy("doc_id", "source", "relation", "target").agg(F.count("*").alias("n"))
+
+
+RESOLVED = f"""
+WITH {ALIAS.replace("'Order ' ||", "CASE WHEN l_linenumber = 2 THEN 'ORDER ' ELSE 'Order ' END ||")},
+z AS (
+  SELECT n.doc_id, n.seq, coalesce(p.full_name, source) AS source, relation, coalesce(q.full_name, target) AS target,
+         n.doc_id IN (SELECT doc_id FROM a) AS changed
+  FROM n LEFT JOIN a p ON n.doc_id = p.doc_id AND n.source = p.name LEFT JOIN a q ON n.doc_id = q.doc_id AND n.target = q.name),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, relation, target ORDER BY seq) AS nth FROM z),
+r1 AS (SELECT * FROM k WHERE NOT changed OR (source <> target AND nth = 1)),
+x AS (SELECT doc_id, source AS name, seq * 2 AS ord FROM r1 UNION ALL SELECT doc_id, target, seq * 2 + 1 FROM r1),
+f AS (SELECT doc_id, lower(name) AS low, arg_min(name, ord) AS name FROM x GROUP BY doc_id, lower(name))
+SELECT r1.doc_id, u.name AS source, relation, v.name AS target, count(*) AS n
+FROM r1 JOIN f u ON r1.doc_id = u.doc_id AND lower(source) = u.low JOIN f v ON r1.doc_id = v.doc_id AND lower(target) = v.low
+WHERE u.name <> v.name GROUP BY r1.doc_id, u.name, relation, v.name
+"""
+
+
 def folded(s, d):
     rows = triples(s, d).withColumn("doc_id", F.col("user_id"))
     return ig.case_fold(rows).groupBy("doc_id", "source", "relation", "target").agg(F.count("*").alias("n"))
@@ -209,7 +233,7 @@ def edge_list(s, d):
 QUERIES = {
     "x12_lookup_template": (templates, "SELECT doc_id, CASE WHEN toxic = 1 THEN 'News' WHEN quality = 1 THEN 'Legal' ELSE 'General' END AS label, CASE WHEN toxic = 1 THEN 'Person,Event' WHEN quality = 1 THEN 'Party,Court' ELSE 'Entity' END AS entity_types FROM labels"),
     "s8_read_edge_list": (edge_list, "SELECT c_custkey, c_name AS source, 'Person' AS source_type, CASE WHEN c_custkey % 2 = 0 THEN 'LIVES_IN' ELSE 'MARRIED_TO' END AS relation, CASE WHEN c_custkey % 2 = 0 THEN n_name ELSE 'Spouse of ' || c_name END AS target, CASE WHEN c_custkey % 2 = 0 THEN 'Location' ELSE 'Person' END AS target_type FROM customer JOIN nation ON c_nationkey = n_nationkey"),
-    "x1_normalise_entity_name": (normalise, r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')) AS name_md5 FROM documents"),
+    "x1_normalise_entity_name": (normalise, r"""SELECT doc_id, md5(replace(replace(regexp_replace(regexp_replace('''a'' "b" -- cde ' || text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'), chr(8211), '-'), chr(8212), '-')) AS name_md5 FROM documents"""),
     "x2_cap_text": (cap, "SELECT doc_id, least(length(text), 20000) AS n, length(text) > 20000 AS truncated FROM documents"),
     "x3_chunk_text": (chunk, "SELECT doc_id, i AS chunk_idx, md5(substr(text, CAST(i * 1300 + 1 AS BIGINT), 1500)) AS content_md5 FROM (SELECT doc_id, text, unnest(generate_series(0, CASE WHEN length(text) <= 1500 THEN 0 ELSE CAST(ceil((length(text) - 1500) / 1300.0) AS BIGINT) END)) AS i FROM documents)"),
     "x4_reject_sparse_text": (sparse, r"SELECT doc_id, length(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) < 100 AS sparse FROM documents"),
@@ -223,6 +247,7 @@ QUERIES = {
     "x18_truncate_fields": (truncated, "SELECT doc_id, md5(substr(text, 1, 80)) AS title, md5(substr(text, 1, 400)) AS message, md5(substr(text, 1, 500)) AS sample FROM documents"),
     "j5_alias_candidates": (lambda s, d: aliases(s, d).withColumnRenamed("full", "full_name"), f"WITH {ALIAS} SELECT doc_id, name, full_name FROM a"),
     "g10_w8_alias_resolution": (alias_resolved, ALIAS_RESOLVED),
+    "g11_resolve_triples": (resolved, RESOLVED),
     "w3_case_fold_names": (folded, FOLDED),
     "w4_entity_registry": (registry, REGISTRY),
     "st3_pipeline_status": (status, STATUS),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lattica.operators.graph import upsert_entities, upsert_relations
+from lattica.operators.graph import upsert_relations
 
 
 def once(events: DataFrame, late: str = "1 hour", key: str = "event_id", time: str = "ts") -> DataFrame:
@@ -17,22 +17,34 @@ def once(events: DataFrame, late: str = "1 hour", key: str = "event_id", time: s
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
+def graph_deltas(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What triples add to a graph: for each name its first type that is not 'Entity', and where it came; weights and files of relations."""
+    ends = triples.select("user_id", F.explode(F.array(F.struct(F.col("source").alias("name"), F.col("source_type").alias("type"), F.struct("seq", F.lit(0).alias("side")).alias("at")), F.struct(F.col("target").alias("name"), F.col("target_type").alias("type"), F.struct("seq", F.lit(1).alias("side")).alias("at")))).alias("e")).select("user_id", "e.*")
+    at = F.when(F.col("type") != "Entity", F.col("at"))
+    return ends.groupBy("user_id", "name").agg(F.min_by("type", at).alias("type"), F.min(at).alias("at")), upsert_relations(triples)
+
+
 def ingest_stream(triples: DataFrame, path: str, checkpoint: str, late: str = "1 hour"):
-    """A query that adds up triples (with event_id, ts) as graph deltas under path, one folder for each batch.
+    """A query that adds up triples (with event_id, ts) as graph deltas under path, a folder of entities and one of relations for each batch.
 
-    ``streamed_graph`` folds the deltas. A batch that runs again overwrites its folder, so nothing counts twice.
+    ``streamed_graph`` folds the deltas. A batch that runs again overwrites its folders, so nothing counts twice.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.persist()
+        for delta, name in zip(graph_deltas(batch), ("entities", "relations"), strict=True):
+            delta.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        batch.unpersist()
 
     return once(triples, late).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 def streamed_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Entities and relations of all batches so far."""
-    triples = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
-    return upsert_entities(triples), upsert_relations(triples)
+    """Entities and relations of all batches so far: a row for each name or relation of a batch is folded, not each triple."""
+    e, r = (spark.read.parquet(f"{path}/{name}").drop("batch") for name in ("entities", "relations"))
+    entities = e.groupBy("user_id", "name").agg(F.coalesce(F.min_by("type", "at"), F.lit("Entity")).alias("type"))
+    files = F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_files"))))
+    return entities, r.groupBy("user_id", "source", "target", "type").agg(F.sum("weight").alias("weight"), files.alias("source_files"))
 
 
 def latest_status(changes: DataFrame) -> DataFrame:
@@ -40,18 +52,47 @@ def latest_status(changes: DataFrame) -> DataFrame:
     return changes.groupBy("user_id", "document_id").agg(F.max_by("status", F.struct("version", "kind", "status")).alias("status"), F.max("version").alias("version"))
 
 
+#: Batches of the status feed after which all changes so far are folded into one.
+FOLDED = 20
+
+
+def _changes(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """Number and path of each folder of changes."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in files.listStatus(place)] if files.exists(place) else []
+    return sorted((int(p.getName().split("=")[1]), p.toString()) for p in found if p.getName().startswith("changes="))
+
+
 def document_status_feed(changes: DataFrame, path: str, checkpoint: str):
-    """A query that keeps the state after each batch: the latest of the state before and the batch."""
+    """A query that writes, for each batch, the latest state of the documents that it changes; ``document_status`` folds them.
+
+    Every FOLDED batches the changes so far become one folder, and those before the last such folder are deleted, so
+    neither writing nor reading grows with the number of batches. A batch that runs again overwrites its folder.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.parquet(f"{path}/state={number - 1}").withColumn("kind", F.lit("")) if number else None
         rows = batch.select("user_id", "document_id", "version", "kind", "status")
-        latest_status(rows if old is None else rows.unionByName(old.select(rows.columns))).write.mode("overwrite").parquet(f"{path}/state={number}")
+        if number and number % FOLDED == 0:
+            old = [p for n, p in _changes(spark, path) if n < number]
+            if old:
+                rows = rows.unionByName(spark.read.parquet(*old))
+        rows.groupBy("user_id", "document_id").agg(F.max_by(F.struct(*rows.columns[2:]), F.struct("version", "kind", "status")).alias("row")).select("user_id", "document_id", "row.*").write.mode("overwrite").parquet(f"{path}/changes={number}")
+        if number and number % FOLDED == 0:
+            for n, p in _changes(spark, path):
+                if n < number - FOLDED:
+                    place = spark._jvm.org.apache.hadoop.fs.Path(p)
+                    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
     return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def document_status(spark: SparkSession, path: str) -> DataFrame:
+    """The state of each document so far, from the folders that a feed has written."""
+    return latest_status(spark.read.parquet(*[p for _, p in _changes(spark, path)]))
+
+
 def rate_limiter(events: DataFrame, limit: int, seconds: int = 3600, late: str = "1 hour") -> DataFrame:
     """(user_id, event_id, ts, admitted) of a stream: admitted if fewer than limit admitted events of the user lie in the seconds before.
 

@@ -65,14 +65,15 @@ def test_ingest_stream_equals_one_batch(spark, tmp_path):
     assert spark.table("live").first().triples == 15
 
 
-def test_status_feed(spark, tmp_path):
+def test_status_feed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "FOLDED", 1)
     schema = "user_id string, document_id string, version long, kind string, status string"
     parts = [[("u", "a", 1, "INSERT", "Processing"), ("u", "b", 1, "INSERT", "Processing")], [("u", "a", 3, "UPDATE", "Completed"), ("u", "a", 2, "UPDATE", "Failed")], [("u", "a", 1, "INSERT", "Processing")]]
     for k, part in enumerate(parts):
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in/k={k}"))
         stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
         jobs.document_status_feed(stream, str(tmp_path / "out"), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
-    got = spark.read.parquet(str(tmp_path / "out/state=2"))
+    got = jobs.document_status(spark, str(tmp_path / "out"))
     assert {r.document_id: r.status for r in got.collect()} == {"a": "Completed", "b": "Processing"}
 
 
@@ -92,7 +93,7 @@ def test_blocks_of_queries(spark, monkeypatch):
     e = spark.createDataFrame(rows, "user_id string, name string, embedding array<float>")
     q = e.selectExpr("name AS query_id", "user_id", "embedding")
     one = sorted(map(tuple, vc.vector_topk(q, e, 3).collect()))
-    monkeypatch.setattr(vc, "SENT_QUERIES", 5)
+    monkeypatch.setattr(vc, "BLOCK", 5)
     assert sorted(map(tuple, vc.vector_topk(q, e, 3).collect())) == one and len(one) == 90
 
 
@@ -114,6 +115,44 @@ def test_cache(spark):
     assert grown.count() == 5 and {r.answer for r in grown.where("created_at = 9").collect()} == {"x"}
 
 
+def test_nearest_against_brute_force(spark, monkeypatch):
+    import math
+    import random
+
+    r = random.Random(4)
+    vector = lambda: r.choice([None, [0.0, 0.0], [1.0, 2.0, 3.0]]) if r.random() < 0.1 else [float(r.randrange(-2, 3)), float(r.randrange(-2, 3))]
+    rows = [(r.choice("uv"), f"n{i:03}", vector()) for i in range(120)]
+    asked = [(i, r.choice("uvw"), vector()) for i in range(25)]
+    e = spark.createDataFrame(rows, "user_id string, name string, embedding array<float>").repartition(3)
+    q = spark.createDataFrame(asked, "query_id int, user_id string, embedding array<float>")
+
+    def brute(k, same):
+        out = []
+        for i, u, a in asked:
+            near = []
+            for v, n, b in rows:
+                if a and b and len(a) == len(b) and any(a) and any(b) and (not same or u == v):
+                    near.append((-round(sum(x * y for x, y in zip(a, b, strict=True)) / math.hypot(*a) / math.hypot(*b), 9), v, n))
+            out += [(i, v, n) for _, v, n in sorted(near)[:k] if u == v]
+        return sorted(out)
+
+    for block in (4096, 7):
+        monkeypatch.setattr(vc, "BLOCK", block)
+        for same in (False, True):
+            assert sorted((x.query_id, x.user_id, x["name"]) for x in vc.vector_topk(q, e, 4, prefilter=same).collect()) == brute(4, same)
+    assert vc.vector_topk(q.limit(0), e, 4).count() == 0 == vc.vector_topk(q, e.limit(0), 4).count()
+
+
+def test_vectors_of_terms(spark):
+    e = spark.createDataFrame([("u", "Ann", [1.0, 0.0]), ("u", "Bob", [0.0, 1.0]), ("v", "Eve", [1.0, 0.1]), ("u", "Cy", None)], "user_id string, name string, embedding array<float>")
+    r = spark.createDataFrame([("u", "Ann", "Cy", "R", 1, ["f"]), ("u", "Bob", "Cy", "R", 2, ["f"]), ("v", "Eve", "Cy", "R", 1, ["f"])], "user_id string, source string, target string, type string, weight long, source_files array<string>")
+    q = spark.createDataFrame([(1, "u", ["q1", "q2", "q3"], None, [[1.0, 0.0], None, [0.1, 1.0]]), (2, "u", ["Bob"], None, None)], "question_id int, user_id string, entities array<string>, docs array<string>, embeddings array<array<float>>")
+    rows = rt.retrieve(q, e, r, k_vector=1)
+    got = sorted((x.question_id, x.step, x.term, x["rank"], x.start, x.m, x.k) for x in rows.collect())
+    assert got == [(1, "C", 0, 1, "Ann", "Cy", "Bob"), (1, "C", 2, 1, "Bob", "Cy", "Ann"), (2, "A", None, 1, "Bob", "Cy", "Ann")]
+    assert {(x.question_id, x.id) for x in rt.matched(rows).collect()} == {(2, "Bob")}
+
+
 def test_retrieval_gate(spark):
     e = spark.createDataFrame([("u", n, "T") for n in ("Ann", "Anna", "Bob", "Cy")], "user_id string, name string, type string")
     edges = [("Ann", "Bob", ["f1"]), ("Bob", "Cy", ["f2"]), ("Anna", "Cy", ["f1"]), ("Ann", "Ann", ["f1"])]
@@ -149,6 +188,21 @@ def test_hooks(spark):
     assert typed["n2"] == "Person" and typed["n1"] is None
 
 
+def test_extraction_in_order(spark):
+    rows = [(d, c, f"{d}{c}", "T") for d in ("x", "y") for c in range(5)]
+    chunks = spark.createDataFrame(rows, "doc_id string, chunk_idx int, content string, label string").repartition(3)
+
+    def extractor(text, template, registry):
+        if text == "x2":
+            raise ValueError
+        names = [f"name {text}", "SHARED", "Shared", "7"]
+        return "```json" + json.dumps({"entities": [{"name": n, "type": template["label"]} for n in names], "seen": [e["name"] for e in registry]}) + "```"
+
+    got = {r.content: r.raw for r in hooks.extract_in_order(chunks, extractor, ["label"], most=2).collect()}
+    seen = {k: json.loads(v.strip("`")[4:])["seen"] for k, v in got.items() if v}
+    assert got["x2"] is None and seen["x0"] == seen["y0"] == [] and seen["x1"] == ["name x0", "SHARED"] and seen["x3"] == ["SHARED", "name x1"] and seen["y4"] == ["name y2", "name y3"]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.CSV").write_text("name,father,mother\nAnn,Bob,Eve\nBob,,\n")
     (tmp_path / "b.exe").write_text("x")
