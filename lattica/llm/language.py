@@ -19,6 +19,8 @@ DIMS = 8192
 #: Rows of each language, about, that the centroids are fitted on; all training rows count for the document frequencies.
 SAMPLE = 600
 CENTROIDS = 4
+#: Characters of a text whose trigrams are counted at once.
+BLOCK = 1 << 18
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 #: A text is rejected if its cosine is below that of this share of the language's texts that are as long, by
@@ -34,16 +36,28 @@ def _letters() -> np.ndarray:
     return np.array([i if chr(i).isalpha() else 32 for i in range(65536)], np.uint32)
 
 
+def _letters_only(text: str) -> np.ndarray:
+    """The code points of a text, blanks for all that are no letters."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = _letters()[np.minimum(points, 65535)]
+    far = np.flatnonzero(points > 65535)
+    if len(far):
+        known, place = np.unique(points[far], return_inverse=True)
+        out[far] = np.array([p if chr(p).isalpha() else 32 for p in known.tolist()], np.uint32)[place]
+    return out
+
+
 def counts(texts: list[str | None]) -> np.ndarray:
-    """A row for each text: how often each bucket's trigrams occur, over the whole text."""
+    """A row for each text: how often each bucket's trigrams occur, over the whole text, which is taken in blocks."""
     out = np.zeros((len(texts), DIMS), np.float32)
     for row, text in zip(out, texts, strict=True):
-        points = np.frombuffer(f"  {(text or '').lower()}  ".encode("utf-32-le", "surrogatepass"), np.uint32)
-        points = np.where(points < 65536, _letters()[np.minimum(points, 65535)], points)
-        a, b, c = points[:-2], points[1:-1], points[2:]
-        code = (a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77)) ^ (c * np.uint32(0xC2B2AE3D))
-        code = ((code ^ (code >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - DIMS.bit_length() + 1)
-        row += np.bincount(code[b != 32], minlength=DIMS)
+        text = f"  {(text or '').lower()}  "
+        for at in range(0, len(text) - 2, BLOCK):
+            points = _letters_only(text[at : at + BLOCK + 2])
+            a, b, c = points[:-2], points[1:-1], points[2:]
+            code = (a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77)) ^ (c * np.uint32(0xC2B2AE3D))
+            code = ((code ^ (code >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - DIMS.bit_length() + 1)
+            row += np.bincount(code[b != 32], minlength=DIMS)
     return out
 
 

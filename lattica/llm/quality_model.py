@@ -14,6 +14,8 @@ from lattica.llm.common import remainder, rows_of, slices, tidy
 #: Bytes of a stride; a filter sees two of them, a half chunk has HALF of them, and chunks overlap by a half.
 STRIDE, HALF = 4, 64
 EMBEDDING, FILTERS = 8, 24
+#: Half chunks of a long text that are scored at once.
+BLOCK = 4096
 #: Labelled rows, about, that the network is fitted on.
 SAMPLE = 3000
 TEXT_BYTES = 2 << 20
@@ -70,13 +72,31 @@ class Network:
         first = np.repeat(begins[:-1], chunks) + np.arange(chunks.sum()) - np.repeat(np.cumsum(chunks) - chunks, chunks)
         return first, np.minimum(first + 1, np.repeat(begins[1:] - 1, chunks))
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """A probability for each text."""
+    def logits(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The score of each chunk of each text, one text after another, and how many each has."""
         data, begins = self.layout(texts)
         m, _ = self.maxima(data, begins)
-        logits = np.maximum(m + self.weights["bias"], 0) @ self.weights["out"] + self.weights["shift"]
-        chunks = np.maximum(np.diff(begins) - 1, 1)
-        mean = np.add.reduceat(logits, np.cumsum(chunks) - chunks) / chunks
+        return np.maximum(m + self.weights["bias"], 0) @ self.weights["out"] + self.weights["shift"], np.maximum(np.diff(begins) - 1, 1)
+
+    def mean_of(self, text: bytes) -> float:
+        """The mean score of the chunks of a long text, which is taken in overlapping blocks of BLOCK half chunks."""
+        half, total, n, at = STRIDE * HALF, 0.0, 0, 0
+        while True:
+            last = (at + BLOCK + 2) * half >= len(text)
+            # of a block that is not the last one, the chunks at its end do not see what follows
+            own = self.logits([text[at * half : (at + BLOCK + 2) * half]])[0][: None if last else BLOCK]
+            total, n, at = total + float(own.sum(dtype=np.float64)), n + len(own), at + BLOCK
+            if last:
+                return total / n
+
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        """A probability for each text."""
+        mean = np.zeros(len(texts))
+        long = np.array([len(t) > BLOCK * STRIDE * HALF for t in texts], bool)
+        mean[long] = [self.mean_of(t) for t, is_long in zip(texts, long, strict=True) if is_long]
+        if not long.all():
+            logits, chunks = self.logits([t for t, is_long in zip(texts, long, strict=True) if not is_long])
+            mean[~long] = np.add.reduceat(logits, np.cumsum(chunks) - chunks) / chunks
         # a matrix product rounds by the other rows of its slice; the result must not depend on them
         return np.round(1 / (1 + np.exp(-np.clip(mean.astype(float), -30, 30))), 6)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +13,17 @@ from lattica.llm.common import hashed_words, rows_of, slices, tidy, windows
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
-#: Phrases of boilerplate lines.
-BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms of service", "terms of use", "subscribe to our newsletter", "sign up for our newsletter", "enable javascript", "click here to", "skip to content", "lorem ipsum")
+# Phrases of boilerplate lines, in lower case, by language.
+BOILERPLATE = {
+    "": ["©", "lorem ipsum"],
+    "en": ["all rights reserved", "cookie policy", "privacy policy", "terms of service", "terms of use", "subscribe to our newsletter", "sign up for our newsletter", "enable javascript", "click here to", "skip to content"],
+    "de": ["alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "newsletter abonnieren", "zum inhalt springen", "cookie-richtlinie"],
+    "fr": ["tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "mentions légales", "aller au contenu", "abonnez-vous à notre newsletter"],
+    "es": ["todos los derechos reservados", "política de privacidad", "política de cookies", "términos de uso", "saltar al contenido", "suscríbete a nuestro boletín"],
+}
+PHRASES = [p for some in BOILERPLATE.values() for p in some]
+#: Words up to which a line with an address of a page is a link alone, and how such addresses begin.
+LINK_WORDS, LINK = 8, re.compile(r"(?:^|[\x20\x09-\x0D])(?:https?://|www\.)")
 #: Separators between the entries of a navigation line.
 SEPARATORS = "|»›•·"
 #: Shares above which a line goes: separators to words, symbols or exclamation marks to words.
@@ -26,10 +36,11 @@ TEXT_BYTES = 2 << 20
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lost_words long, clean_text string"
 
 
-def line_fault(line: str, words: list[str]) -> str | None:
-    """The rule that a line breaks: navigation, boilerplate, punctuation or case; None for a good line.
+def line_fault(line: str, words: list) -> str | None:
+    """The rule that a line breaks: navigation, boilerplate, link, punctuation or case; None for a good line.
 
-    navigation: at least three separators, and one for every four words. boilerplate: a phrase of the list.
+    navigation: at least three separators, and one for every four words. boilerplate: a phrase of the lists.
+    link: a word that begins like the address of a page, in a line of at most LINK_WORDS words.
     punctuation: at least three symbols or doubled exclamation marks, and one for every two words.
     case: at least ten ASCII capitals, and more of them than small ASCII letters.
     """
@@ -37,8 +48,10 @@ def line_fault(line: str, words: list[str]) -> str | None:
     separators = sum(map(line.count, SEPARATORS))
     if separators >= 3 and separators > NAVIGATION * n:
         return "navigation"
-    if any(map(line.lower().__contains__, BOILERPLATE)):
+    if any(map(line.lower().__contains__, PHRASES)):
         return "boilerplate"
+    if n <= LINK_WORDS and LINK.search(line):
+        return "link"
     marks = sum(map(line.count, SYMBOLS)) + line.count("!!")
     if marks >= 3 and marks > NOISE * n:
         return "punctuation"
@@ -126,7 +139,8 @@ f AS (
 b AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY ln) > 1 AS again,
     (sep >= 3 AND sep > 0.25 * n)
-    OR regexp_matches(lower(line), 'all rights reserved|cookie policy|privacy policy|terms of service|terms of use|subscribe to our newsletter|sign up for our newsletter|enable javascript|click here to|skip to content|lorem ipsum')
+    OR regexp_matches(lower(line), '""" + "|".join(PHRASES).replace("'", "''") + r"""')
+    OR (n <= 8 AND regexp_matches(line, '(^|[\x20\x09-\x0D])(https?://|www\.)'))
     OR (marks >= 3 AND marks > 0.5 * n) OR (cap >= 10 AND cap > low) AS bad
   FROM f WHERE n > 0),
 a AS (SELECT doc_id, count(*) FILTER (again) AS n_dup_lines, coalesce(sum(n) FILTER (bad), 0) AS lost FROM b GROUP BY doc_id),

@@ -35,6 +35,8 @@ def test_line_rules(spark):
     assert qr.line_fault(menu, menu.split()) == "navigation"
     for line, fault in (("All Rights Reserved by us", "boilerplate"), ("a### b$$$ c%%%", "punctuation"), ("BUY!! NOW!! IT IS FREE!!", "punctuation"), ("THIS IS LOUD TEXT FOR YOU", "case"), ("A plain line of text.", None), ("A | B", None), ("Ä | Ö | Ü", None)):
         assert qr.line_fault(line, line.split()) == fault, line
+    for line, fault in (("© 2024 Müller", "boilerplate"), ("Alle Rechte vorbehalten.", "boilerplate"), ("TOUS DROITS RÉSERVÉS", "boilerplate"), ("see https://a.example/x now", "link"), ("www.a.example", "link"), ("a nowww.x thing", None), ("one two three four five six seven eight https://a.example", None)):
+        assert qr.line_fault(line, line.split()) == fault, line
     rows = [(1, prose), (2, f"{prose}\n{menu}"), (3, "\n".join(menu.replace("News", f"N{i}") for i in range(9)))]
     got = {x.doc_id: x for x in qr.assess(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].kept and got[1].clean_text == prose and got[1].n_lost_words == 0
@@ -104,3 +106,35 @@ def test_classifier_edges(spark):
     assert len(got) == 7 and all(0 <= r.score <= 1 for r in got)
     assert qm.score(docs.limit(0), net).count() == 0
     assert len({r.score for r in qm.score(docs, qm.fit(docs, labels.limit(0))).collect() if r.doc_id == 2}) == 1
+
+
+def naive_score(net, text):
+    """One chunk of 512 bytes after another, 256 bytes apart; a window of 8 bytes every 4."""
+    w = net.weights
+    half = qm.STRIDE * qm.HALF
+    n = len(text) // half + 1
+    data = text + bytes(n * half - len(text))
+    wide = qm.STRIDE * qm.EMBEDDING
+    respond = []
+    for at in range(0, len(data), qm.STRIDE):
+        own = w["bytes"][list(data[at : at + qm.STRIDE])].reshape(wide)
+        follows = data[at + qm.STRIDE : at + 2 * qm.STRIDE]
+        second = w["bytes"][list(follows)].reshape(wide) @ w["filters"][1] if follows else 0
+        respond.append(own @ w["filters"][0] + second)
+    respond = np.array(respond).reshape(n, qm.HALF, qm.FILTERS)
+    scores = []
+    for c in range(max(n - 1, 1)):
+        m = respond[c : c + 2].reshape(-1, qm.FILTERS).max(axis=0)
+        scores.append(float(np.maximum(m + w["bias"], 0) @ w["out"] + w["shift"][0]))
+    return 1 / (1 + np.exp(-np.mean(scores)))
+
+
+def test_score_against_brute_force(monkeypatch):
+    r = np.random.default_rng(3)
+    net = qm.Network()
+    texts = [bytes(r.integers(32, 127, n).astype(np.uint8)) for n in (0, 1, 7, 8, 255, 256, 257, 511, 512, 513, 2000, 2560, 5000)]
+    want = [naive_score(net, t) for t in texts]
+    assert np.allclose(net.score(texts), want, atol=2e-6)
+    for block in (1, 2, 3, 7):  # long texts in blocks
+        monkeypatch.setattr(qm, "BLOCK", block)
+        assert np.allclose(net.score(texts), want, atol=2e-6)
