@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattica.llm import decontaminate, jaccard, language, line_dedup, packing, passages, pieces, quality_model, quality_rules, surrogates
+from lattica.llm import decontaminate, fill_middle, jaccard, language, line_dedup, packing, passages, pieces, quality_model, quality_rules, surrogates
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_classifier": quality_model.op8_quality_classifier,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_fill_middle": fill_middle.op11_fill_middle,
 }
 
 SQL = {
@@ -22,4 +23,5 @@ SQL = {
     "op5_jaccard_join": jaccard.OP5_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
+    "op11_fill_middle": fill_middle.OP11_SQL,
 }
