@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattica.llm import decontaminate, fill_middle, jaccard, language, line_dedup, packing, passages, pieces, quality_model, quality_rules, surrogates
+from lattica.llm import decontaminate, fill_middle, jaccard, language, line_dedup, minhash, packing, passages, pieces, quality_model, quality_rules, spelling, surrogates
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_fill_middle": fill_middle.op11_fill_middle,
+    "op12_spelling": spelling.op12_spelling,
+    "op13_minhash": minhash.op13_minhash,
 }
 
 SQL = {
@@ -24,4 +26,6 @@ SQL = {
     "op7_quality_rules": quality_rules.OP7_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
     "op11_fill_middle": fill_middle.OP11_SQL,
+    "op12_spelling": spelling.OP12_SQL,
+    "op13_minhash": minhash.OP13_SQL,
 }
