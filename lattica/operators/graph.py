@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.text import trim
+from lattica.operators.ranks import numbered
 from lattica.operators.search import containing
 
 EDGE = ["user_id", "source", "target", "type"]
@@ -172,11 +173,14 @@ def node_detail(requests: DataFrame, entities: DataFrame, relations: DataFrame)
 
 
 def graph_stats(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """Long form (user_id, metric, key, value, rank): counts, types, top entities, relation types and documents."""
+    """Long form (user_id, metric, key, value, rank): counts, types, top entities, relation types and documents.
+
+    Lists with a limit are cut before the shuffle; a tenant's whole lists of types and documents are numbered by ranges.
+    """
     long = lambda df, metric, key, value, rank: df.select("user_id", F.lit(metric).alias("metric"), key.alias("key"), value.cast("long").alias("value"), rank.cast("long").alias("rank"))
     none, one = F.lit(None).cast("string"), F.lit(1)
     counts = graph_counts(entities, relations)
-    ranked = lambda df, key: best(df, ["user_id"], [F.desc("n"), F.asc(key)], 1 << 30)
+    ranked = lambda df, key: numbered(df, ["user_id"], [F.desc("n"), F.asc(key)])
     return (
         long(counts, "node_count", none, F.col("nodes"), one)
         .unionByName(long(counts, "link_count", none, F.col("links"), one))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.text import render_fact, trim
@@ -39,17 +39,33 @@ def _allowed(files: str):
 def hops(starts: DataFrame, sym: DataFrame, k: int, of: tuple[str, ...] = ("question_id",)) -> DataFrame:
     """First-hop relations of each start, each with its second hops or without one, the k best of a question, or of other keys, by weight.
 
-    sym holds the relations from both ends (``both_ways``). Every first hop gives a row, so only those among its question's k first ones by (weight, start, m, type,
-    direction), the leading columns of the order, can be kept: they alone are joined again.
+    sym holds the relations from both ends (``both_ways``). Rows are enumerated in rank order with an early stop. The first
+    hops come first in the order of rows, and each gives a row at least, so only a question's k first ones are kept.
+    Sizes, summed up in that order, tell how many of these fill its k rows, and how many second hops the last of them
+    still has to give; nothing else is joined. The second hops of a node are ranked once for all questions that meet it
+    (once for each selection of documents), and only the leading ones go on: a hub sends as many rows as a question
+    can show, and those of the relations back to the start, which are left out.
     """
     of = list(of)
     one = starts.join(sym.select("user_id", F.col("node").alias("start"), F.col("other").alias("m"), F.col("type").alias("type1"), F.col("is_forward").alias("forward1"), F.col("weight").alias("weight1"), F.col("source_files").alias("files1")), ["user_id", "start"]).where(_allowed("files1") & (trim(F.col("start")) != "") & (trim(F.col("m")) != ""))
     first = [F.desc("weight1"), F.asc("start"), F.asc("m"), F.asc("type1"), F.asc("forward1")]
-    one = best(one, of, first, k, "first").drop("first")
+    picked = F.when(F.size("docs") > 0, F.xxhash64(F.array_sort("docs"))).otherwise(F.lit(0)).alias("picked")
+    one = stored(best(one, of, first, k, "first").select("*", picked), "first-hops")
+    seen = ["picked", "user_id", "m"]
     two = sym.select("user_id", F.col("node").alias("m"), F.col("other").alias("k"), F.col("type").alias("type2"), F.col("is_forward").alias("forward2"), F.col("source_files").alias("files2"))
-    matched = one.join(two, ["user_id", "m"]).where((F.col("k") != F.col("start")) & (F.col("k") != F.col("m")) & _allowed("files2"))
-    keys = [*of, "user_id", "start", "m", "type1", "forward1"]
-    rows = one.join(matched.select(*keys, "k", "type2", "forward2", "files2"), keys, "left")
+    view = lambda rows: two.join(rows.groupBy(*seen).agg(F.first("docs").alias("docs")), ["user_id", "m"]).where((F.col("k") != F.col("m")) & _allowed("files2")).drop("docs")
+    sizes = view(one).groupBy(*seen).agg(F.count("*").alias("size"))
+    ends = one.where("start != m").groupBy(*seen, "start").agg(F.first("docs").alias("docs"))
+    back = ends.join(two.withColumnRenamed("k", "start"), ["user_id", "m", "start"]).where(_allowed("files2")).groupBy(*seen, "start").agg(F.count("*").alias("back"))
+    one = one.join(sizes, seen, "left").join(back, [*seen, "start"], "left").withColumn("back", F.coalesce("back", F.lit(0)))
+    given = F.greatest(F.coalesce("size", F.lit(0)) - F.col("back"), F.lit(1))
+    before = F.coalesce(F.sum(given).over(Window.partitionBy(*of).orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    one = stored(one.withColumn("wanted", k - before + F.col("back")).where(F.col("wanted") > F.col("back")).drop("size", "back", "first"), "first-hops")
+    widest = one.agg(F.max("wanted")).first()[0] or 0
+    leading = best(view(one), seen, [F.asc("k"), F.asc("type2"), F.asc("forward2")], widest, "place")
+    a, b = one.alias("a"), leading.alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in seen]
+    rows = a.join(b, [*same, F.col("b.k") != F.col("a.start"), F.col("b.place") <= F.col("a.wanted")], "left").select("a.*", *[f"b.{c}" for c in ("k", "type2", "forward2", "files2")]).drop("picked", "wanted")
     order = [F.desc("weight1"), *[F.asc_nulls_last(c) for c in ORDER]]
     return best(rows, of, order, k)
 

@@ -12,6 +12,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from lattica.functions.text import trim
 from lattica.operators.graph import best
+from lattica.operators.ranks import numbered, recent
 from lattica.operators.search import containing
 
 STATUSES = ["Processing", "Completed", "Failed"]
@@ -93,15 +94,21 @@ def history_window(messages: DataFrame, n: int = 12, most: int = 400) -> DataFra
 
 
 def document_quota(documents: DataFrame, most: int = 5) -> DataFrame:
-    """Adds over_quota: the user already had ``most`` documents."""
-    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("created_at", "id"))
-    return documents.withColumn("over_quota", nth > most)
+    """Adds over_quota: the user already had ``most`` documents.
+
+    The last document of each user that fits is found with a limit, which Spark applies before the shuffle; later
+    ones are over it. So no window holds all documents of a user.
+    """
+    order = F.struct("created_at", "id")
+    last = best(documents.select("user_id", "created_at", "id"), ["user_id"], [F.asc("created_at"), F.asc("id")], most).where(F.col("rank") == most).select(F.col("user_id").alias("_user"), order.alias("_last"))
+    joined = documents.join(last, documents["user_id"].eqNullSafe(last["_user"]), "left")
+    return joined.select(*[documents[c] for c in documents.columns], (F.col("_last").isNotNull() & (order > F.col("_last"))).alias("over_quota"))
 
 
 def sliding_rate(events: DataFrame, limit: int, interval: str = "1 hour") -> DataFrame:
-    """Adds n_recent, the user's events in the interval up to each event, and over_limit."""
-    span = F.count("*").over(Window.partitionBy("user_id").orderBy(F.unix_micros("ts")).rangeBetween(-_micros(interval), 0))
-    return events.withColumn("n_recent", span).withColumn("over_limit", F.col("n_recent") > limit)
+    """Adds n_recent, the user's events in the interval up to each event, and over_limit; a user's events are counted by slices of time (see ``recent``)."""
+    counted = recent(events, "user_id", F.unix_micros("ts"), _micros(interval), "n_recent")
+    return counted.withColumn("over_limit", F.col("n_recent") > limit)
 
 
 def _micros(interval: str) -> int:
@@ -137,8 +144,8 @@ def admit(events: DataFrame, limit: int, seconds: int = 3600) -> DataFrame:
 
 
 def list_documents(documents: DataFrame) -> DataFrame:
-    """Newest first within each user."""
-    return documents.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.asc("id"))))
+    """Newest first within each user; a user with many documents is numbered by ranges (see ``numbered``)."""
+    return numbered(documents, ["user_id"], [F.desc("created_at"), F.asc("id")], "place")
 
 
 def list_conversations(conversations: DataFrame, k: int = 50) -> DataFrame:

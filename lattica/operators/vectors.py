@@ -14,9 +14,10 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lattica.functions.text import clean_answer
 from lattica.operators.graph import best
+from lattica.sources.shared import stored
 
-#: Queries of one block, which is sent to the tasks that scan the rows; a larger stated set is searched block after block.
-BLOCK = 4096
+#: Queries sent to the tasks that scan the rows, or of one block of a larger stated set, and rows that meet such a block in a task.
+BLOCK, ROWS = 4096, 1 << 16
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -48,11 +49,68 @@ def _units(vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def matches(asked: tuple, batch: pa.RecordBatch, k: int, keys: list[str], by: str | None, least: float, descending: tuple[str, ...], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The k rows of a batch of highest cosine for each of the queries (ids, tenants, unit vectors by length), multiplied as matrices."""
+    ids, tenants, own = asked
+    order = pa.table({c: batch.column(c) for c in keys}).append_column("at", pa.array(np.arange(batch.num_rows))).sort_by([(c, "descending" if c in descending else "ascending") for c in keys]).column("at").to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    theirs = np.array(batch.column(by).to_pylist(), object) if by else None
+    picked: list[list[np.ndarray]] = [[], [], []]
+    for n, (at, x) in _units(batch.column("embedding")).items():
+        if n not in own:
+            continue
+        q_at, q = own[n]
+        for i in range(0, len(q_at), 256):
+            scores = np.round(q[i : i + 256] @ x.T, 12)
+            if by:
+                scores[tenants[q_at[i : i + 256]][:, None] != theirs[at][None]] = -np.inf
+                scores[:, np.equal(theirs[at], None)] = -np.inf
+            bound = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+            a, b = np.nonzero((scores >= np.maximum(bound, least)[:, None]) & (scores > -np.inf))
+            s = scores[a, b]
+            best_first = np.lexsort((rank[at[b]], -s, a))
+            a, b, s = a[best_first], b[best_first], s[best_first]
+            nth = np.arange(len(a)) - np.searchsorted(a, a)
+            for o, v in zip(picked, (q_at[i : i + 256][a], at[b], s), strict=True):
+                o.append(v[nth < k])
+    if picked[0]:
+        q_rows, r_rows, s = (np.concatenate(p) for p in picked)
+        part = batch.take(pa.array(r_rows))
+        columns = [ids.take(pa.array(q_rows)), pa.array(tenants[q_rows].tolist(), arrow.field("asked_by").type), *(part.column(c) for c in keys), pa.array(s)]
+        yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+
+def _flat(table: pa.Table) -> tuple:
+    """Queries as ``matches`` takes them."""
+    table = table.combine_chunks()
+    ids, tenants, vectors = (table.column(c).combine_chunks() if table.num_rows else pa.array([], table.schema.field(c).type) for c in ("query_id", "asked_by", "embedding"))
+    return ids, np.array(tenants.to_pylist(), object), _units(vectors)
+
+
+def in_blocks(asked: DataFrame, held: DataFrame, on: list[str], ids: Column, keys: list[Column], per_asked: int, per_held: int, run: Callable[[pa.Table, pa.Table], pa.Table], schema: StructType) -> DataFrame:
+    """``run`` on every block of queries with every block of rows that agree in ``on``, on the executors.
+
+    Blocks are dealt by hash, as many for each value of ``on`` as its rows and queries need, so a hot value is spread
+    over tasks; a row is sent once for each block of queries. Values without queries or without rows send nothing.
+    """
+    if not on:
+        asked, held, on = asked.withColumn("_all", F.lit(0)), held.withColumn("_all", F.lit(0)), ["_all"]
+    count = lambda df, each, name: df.groupBy(*on).agg(F.ceil(F.count("*") / each).cast("int").alias(name))
+    sizes = stored(count(asked, per_asked, "_qs").join(count(held, per_held, "_rs"), on), "sizes")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = asked.join(sizes, on).withColumns({"_q": F.pmod(F.xxhash64(ids), F.col("_qs")).cast("int"), "_r": every("_rs")}).drop("_qs", "_rs")
+    right = held.join(sizes, on).withColumn("_r", F.pmod(F.xxhash64(*keys), F.col("_rs")).cast("int")).withColumn("_q", every("_qs")).drop("_qs", "_rs")
+    block = [*on, "_q", "_r"]
+    return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(run, schema)
+
+
 def nearest(queries: DataFrame, rows: DataFrame, k: int, keys: list[str], by: str | None = None, least: float = -2.0, descending: tuple[str, ...] = ()) -> DataFrame:
     """The k rows of highest cosine of each query (query_id, user_id, embedding): query_id, asked_by, the keys of rows, score.
 
-    Rows are scanned in Arrow batches, each multiplied with a block of queries as a matrix; of a batch only the best k for
-    each query go on to the shuffle. With ``by``, a key that holds the tenant, a query sees its own tenant's rows only.
+    Up to BLOCK queries are sent to the tasks that scan the rows in Arrow batches; more are dealt into blocks that meet
+    blocks of rows on the executors. Either way a batch is multiplied as a matrix, and only its best k for each
+    query go on to the shuffle. With ``by``, a key that holds the tenant, a query sees its own tenant's rows only.
     Scores are rounded to 12 digits, so that equal vectors tie wherever they stand; ties go to the smaller keys, in
     their order, or the larger of those named descending. Null, zero and differently long vectors are not compared; scores below least are left out.
     """
@@ -61,49 +119,26 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, keys: list[str], by: st
     held = rows.where("embedding IS NOT NULL").select(*keys, F.col("embedding").cast("array<double>").alias("embedding"))
     schema = StructType([*asked.drop("embedding").schema.fields, *held.drop("embedding").schema.fields, StructField("score", DoubleType())])
     arrow = to_arrow_schema(schema)
+    most = BLOCK
+    if asked.limit(most + 1).count() <= most:
+        shared = spark.sparkContext.broadcast(asked.toArrow())
 
-    def scan(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, tenants, own = shared.value
-            own = _units(own)
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = _flat(shared.value)
             for batch in batches:
-                order = pa.table({c: batch.column(c) for c in keys}).append_column("at", pa.array(np.arange(batch.num_rows))).sort_by([(c, "descending" if c in descending else "ascending") for c in keys]).column("at").to_numpy()
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
-                theirs = np.array(batch.column(by).to_pylist(), object) if by else None
-                picked: list[list[np.ndarray]] = [[], [], []]
-                for n, (at, x) in _units(batch.column("embedding")).items():
-                    if n not in own:
-                        continue
-                    q_at, q = own[n]
-                    for i in range(0, len(q_at), 256):
-                        scores = np.round(q[i : i + 256] @ x.T, 12)
-                        if by:
-                            scores[tenants[q_at[i : i + 256]][:, None] != theirs[at][None]] = -np.inf
-                        bound = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
-                        a, b = np.nonzero((scores >= np.maximum(bound, least)[:, None]) & (scores > -np.inf))
-                        s = scores[a, b]
-                        best_first = np.lexsort((rank[at[b]], -s, a))
-                        a, b, s = a[best_first], b[best_first], s[best_first]
-                        nth = np.arange(len(a)) - np.searchsorted(a, a)
-                        for o, v in zip(picked, (q_at[i : i + 256][a], at[b], s), strict=True):
-                            o.append(v[nth < k])
-                if picked[0]:
-                    q_rows, r_rows, s = (np.concatenate(p) for p in picked)
-                    part = batch.take(pa.array(r_rows))
-                    columns = [ids.take(pa.array(q_rows)), pa.array(tenants[q_rows].tolist(), arrow.field("asked_by").type), *(part.column(c) for c in keys), pa.array(s)]
-                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
-
-        return run
-
-    blocks = -(-asked.count() // BLOCK) or 1
-    found = None
-    for b in range(blocks):
-        block = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow().combine_chunks()
-        flat = [block.column(c).combine_chunks() for c in ("query_id", "asked_by", "embedding")]
-        shared = spark.sparkContext.broadcast((flat[0], np.array(flat[1].to_pylist(), object), flat[2]))
-        part = held.mapInArrow(scan(shared), schema)
-        found = part if found is None else found.unionByName(part)
+                yield from matches(own, batch, k, keys, by, least, descending, arrow)
+
+        found = held.mapInArrow(scan, schema)
+    else:
+
+        def run(some: pa.Table, block: pa.Table) -> pa.Table:
+            own = _flat(some)
+            out = [m for batch in block.to_batches(max_chunksize=8192) for m in matches(own, batch, k, keys, by, least, descending, arrow)]
+            return pa.Table.from_batches(out, arrow)
+
+        if by:  # one name for the tenant on both sides
+            asked, held = asked.withColumn("_by", F.col("asked_by")), held.withColumn("_by", F.col(by))
+        found = in_blocks(asked, held, ["_by"] if by else [], F.col("query_id"), [F.col(c) for c in keys], most, ROWS, run, schema)
     return best(found, ["query_id"], [F.desc("score"), *[F.desc(c) if c in descending else F.asc(c) for c in keys]], k)
 
 
@@ -122,19 +157,6 @@ def chunk_topk(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     return nearest(queries, chunks, k, ["user_id", "doc_id", "chunk_idx"], by="user_id").drop("asked_by")
 
 
-def vector_topk_approx(queries: DataFrame, entities: DataFrame, k: int = 3, width: float = 0.6, tables: int = 24, radius: float = 1.3) -> DataFrame:
-    """``vector_topk`` with prefilter off, among candidates of a random-projection index, in exact order. Recall depends on width and tables."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    ready = lambda df, *cols: df.where("embedding IS NOT NULL").select(*cols, array_to_vector(unit(F.col("embedding"))).alias("v"))
-    asked, rows = ready(queries, "query_id", "user_id"), ready(entities, "user_id", "name")
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=7).fit(rows)
-    near = model.approxSimilarityJoin(asked, rows, radius, "distance")
-    flat = near.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetA.user_id").alias("asked_by"), F.col("datasetB.user_id").alias("user_id"), F.col("datasetB.name").alias("name"), (1 - F.col("distance") * F.col("distance") / 2).alias("score"))
-    return best(flat, ["query_id"], [F.desc("score"), F.asc("user_id"), F.asc("name")], k).where("user_id = asked_by").drop("asked_by")
-
-
 def cache_lookup_semantic(questions: DataFrame, cache: DataFrame, least: float = 0.95) -> DataFrame:
     """The nearest cached answer of the same user, of at least this cosine; only for questions without history. Of equals the latest, then the largest answer."""
     asked = questions.where("NOT has_history").select(F.col("question_id").alias("query_id"), "user_id", "embedding")

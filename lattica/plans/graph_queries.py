@@ -200,7 +200,16 @@ FROM v LEFT JOIN best ON v.user_id = best.user_id AND v.id = best.id"""
 def paths(s, d):
     """From each supplier's nation to the first part it supplies, within its region."""
     asked = table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("pair_id"), F.col("r_name").alias("user_id"), F.upper("n_name").alias("from"), F.when(F.col("n_nationkey") % 3 == 0, F.lit("hot plate")).when(F.col("n_nationkey") % 3 == 1, F.lower("n_name")).otherwise("nowhere").alias("to"))
-    return p.shortest_path(asked, graph(s, d)[1], max_hops=6)[0].withColumn("length", F.col("length").cast("long"))
+    return p.shortest_path(asked, graph(s, d)[1], max_hops=6)
+
+
+def path_lengths(s, d):
+    return paths(s, d)[0].withColumn("length", F.col("length").cast("long"))
+
+
+def path_links(s, d):
+    """The nodes of the paths, and the relation that leads to each, in its true direction."""
+    return paths(s, d)[1].withColumn("step", F.col("step").cast("long"))
 
 
 PATHS = f"""WITH RECURSIVE {GRAPH},
@@ -214,6 +223,23 @@ f AS (SELECT pair_id, min(hops) AS length FROM walk WHERE lower(pos) = b GROUP B
 SELECT q.pair_id, length IS NOT NULL AS found, length FROM q LEFT JOIN f ON q.pair_id = f.pair_id"""
 
 
+PATH_LINKS = (
+    PATHS.split("f AS (SELECT pair_id")[0]
+    + """dist AS (SELECT pair_id, user_id, b, pos, min(hops) AS hops FROM walk GROUP BY pair_id, user_id, b, pos),
+par AS (
+  SELECT d.pair_id, d.pos AS node, min(p.pos) AS parent
+  FROM dist d JOIN u ON d.user_id = u.user_id AND d.pos = u.n1 JOIN dist p ON d.pair_id = p.pair_id AND u.n2 = p.pos AND p.hops = d.hops - 1 GROUP BY d.pair_id, d.pos),
+goal AS (SELECT pair_id, user_id, min(hops) AS step, arg_min(pos, ROW(hops, pos)) AS node FROM dist WHERE lower(pos) = b GROUP BY pair_id, user_id),
+back AS (
+  SELECT * FROM goal
+  UNION ALL SELECT back.pair_id, user_id, step - 1, parent FROM back JOIN par ON back.pair_id = par.pair_id AND back.node = par.node WHERE step > 0),
+link AS (SELECT * FROM sym QUALIFY row_number() OVER (PARTITION BY user_id, node, other ORDER BY weight DESC, type, NOT is_forward) = 1)
+SELECT back.pair_id, step, back.node, CASE WHEN is_forward THEN link.node ELSE link.other END AS source, CASE WHEN is_forward THEN link.other ELSE link.node END AS target, type AS label, weight
+FROM back LEFT JOIN par ON step > 0 AND back.pair_id = par.pair_id AND back.node = par.node
+     LEFT JOIN link ON back.user_id = link.user_id AND par.parent = link.node AND back.node = link.other"""
+)
+
+
 def page_rank_of_pages(s, d):
     return p.pagerank(*_links(s, d)).select("id", F.round("pagerank", 6).alias("pagerank"))
 
@@ -224,6 +250,13 @@ v AS (SELECT DISTINCT 'web' AS user_id, url AS id FROM pages)"""
 
 
 G = f"WITH {GRAPH} "
+STATISTICS = """SELECT user_id, 'node_count' AS metric, NULL AS key, count(*) AS value, 1 AS rank FROM e GROUP BY user_id
+UNION ALL SELECT user_id, 'link_count', NULL, count(*), 1 FROM r GROUP BY user_id
+UNION ALL SELECT user_id, 'type', type, n, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, type) FROM (SELECT user_id, type, count(*) AS n FROM e GROUP BY user_id, type)
+UNION ALL SELECT * FROM (SELECT user_id, 'top_entity', name, degree, row_number() OVER (PARTITION BY user_id ORDER BY degree DESC, name) AS k FROM d) WHERE k <= 8
+UNION ALL SELECT user_id, 'relation_type', type, n, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, type) FROM (SELECT user_id, type, count(*) AS n FROM r GROUP BY user_id, type)
+UNION ALL SELECT user_id, 'doc', file, n, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, file) FROM (SELECT user_id, file, count(*) AS n FROM (SELECT user_id, unnest(source_files) AS file FROM r) GROUP BY user_id, file)"""
+
 QUERIES = {
     "g1_a9_upsert_entities": (entities, G + "SELECT * FROM e"),
     "g1_a8_upsert_relations": (relations, G + "SELECT user_id, source, target, type, weight, list_aggregate(source_files, 'string_agg', ',') AS source_files FROM r"),
@@ -252,12 +285,7 @@ SELECT c.user_id, c.file, relation_count, context, entity_count, top_entities FR
     "g6_graph_stats": (
         lambda s, d: g.graph_stats(*stored_graph(s, d)),
         G
-        + """SELECT user_id, 'node_count' AS metric, NULL AS key, count(*) AS value, 1 AS rank FROM e GROUP BY user_id
-UNION ALL SELECT user_id, 'link_count', NULL, count(*), 1 FROM r GROUP BY user_id
-UNION ALL SELECT user_id, 'type', type, n, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, type) FROM (SELECT user_id, type, count(*) AS n FROM e GROUP BY user_id, type)
-UNION ALL SELECT * FROM (SELECT user_id, 'top_entity', name, degree, row_number() OVER (PARTITION BY user_id ORDER BY degree DESC, name) AS k FROM d) WHERE k <= 8
-UNION ALL SELECT user_id, 'relation_type', type, n, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, type) FROM (SELECT user_id, type, count(*) AS n FROM r GROUP BY user_id, type)
-UNION ALL SELECT user_id, 'doc', file, n, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, file) FROM (SELECT user_id, file, count(*) AS n FROM (SELECT user_id, unnest(source_files) AS file FROM r) GROUP BY user_id, file)""",
+        + STATISTICS,
     ),
     "g4_expand_node": (
         expand,
@@ -294,6 +322,7 @@ UNION ALL SELECT user_id, 'doc', file, n, row_number() OVER (PARTITION BY user_i
     "x19_starter_questions": (starters, G + ", b AS (SELECT user_id, name, row_number() OVER (PARTITION BY user_id ORDER BY degree DESC, name) AS k FROM d) SELECT a.user_id, 'Tell me about ' || a.name || chr(10) || 'What is the relationship between ' || a.name || ' and ' || b.name || '?' || chr(10) || 'What role does ' || c.name || ' play in this knowledge base?' || chr(10) || 'What are the most important concepts here?' AS questions FROM b a JOIN b ON a.user_id = b.user_id AND b.k = 2 JOIN b c ON a.user_id = c.user_id AND c.k = 3 WHERE a.k = 1"),
     "g8_pagerank": (ranked, _pagerank_sql(f"{GRAPH}{DIRECTED}")),
     "g9_hierarchy_levels": (levels, LEVELS),
-    "g7_shortest_path": (paths, PATHS),
+    "g7_shortest_path": (path_lengths, PATHS),
+    "g7_path_links": (path_links, PATH_LINKS),
     "g8_pagerank_pages": (page_rank_of_pages, f"SELECT id, pagerank FROM ({_pagerank_sql(PAGES)})"),
 }

@@ -3,16 +3,25 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from lattica.functions import hooks
+from lattica.functions.baseline import answer
 from lattica.functions.text import parse_extraction
 from lattica.operators import graph as g
 from lattica.plans.base import GRAPH, graph, stored_graph, table, triples
 from lattica.sources import files as sf
-from lattica.sources.shared import new_path
+from lattica.plans.graph_queries import STATISTICS
+from lattica.plans.table_queries import ADMITTED
+from lattica.plans.text_queries import RESOLVED_ROWS, RESOLVING
+from lattica.sources.shared import new_path, stored
+from lattica.sources.store import GraphStore
 from lattica.streaming import jobs
+from lattica.streaming.documents import Ingestion, document_triples, ingest_documents
+from lattica.streaming.limiter import rate_limiter
+from lattica.streaming.statistics import live_statistics, statistics
 
 
 def landing(s, d):
@@ -129,6 +138,14 @@ def proposed(s, d):
     return hooks.propose_types(names, lambda some: {n: "Event" if len(n) % 3 else "Concept" for n in some if " " in n})
 
 
+def matched_upsert(s, d):
+    """The graph in a store of buckets, then the places of customers and nations again, in lower case and with a new relation."""
+    rows = triples(s, d)
+    more = rows.where("source_file IN ('customer', 'nation')").withColumns({"source_file": F.lit("again"), "seq": F.col("seq") + (1 << 50), "source": F.lower("source"), "target": F.lower("target"), "relation": F.when(F.col("relation") == "PART_OF", "BELONGS_TO").otherwise(F.col("relation"))})
+    store = GraphStore(s, new_path(s, "store")).upsert(rows).upsert(more, match="case_insensitive")
+    return store.relations.select("user_id", "source", "target", "type", "weight", F.array_join("source_files", ",").alias("source_files"))
+
+
 def _stream(s, df, name):
     """df, written in several files, as a stream of a file or two for each batch."""
     path = new_path(s, name)
@@ -153,12 +170,94 @@ def fed(s, d):
     return jobs.document_status(s, out)
 
 
+def _in_turn(s, df, n, start):
+    """df in n slices by ``slice``: each is written for a stream to read, which then runs, from its checkpoint, until it has read all."""
+    path, progress = new_path(s, "slices"), new_path(s, "progress")
+    for i in range(n):
+        df.where(F.col("slice") == i).drop("slice").repartition(2).write.mode("append").parquet(path)
+        start(s.readStream.schema(df.drop("slice").schema).parquet(path), progress, i)
+
+
+def limited(s, d):
+    """Events in four batches by time, then a heartbeat a month later, by which all are decided."""
+    e = table(s, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    first, last = e.agg(F.min("ts"), F.max("ts")).first()
+    width = (F.lit(last).cast("long") - F.lit(first).cast("long")) / 4 + 1
+    slices = e.withColumn("slice", F.floor((F.col("ts").cast("long") - F.lit(first).cast("long")) / width).cast("int"))
+    beat = s.range(1).select(F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("long").alias("event_id"), (F.lit(last) + F.expr("interval 30 days")).alias("ts"), F.lit(4).alias("slice"))
+    out = new_path(s, "admitted")
+
+    def start(stream, progress, _):
+        rate_limiter(stream, 2, 6 * 3600).writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+    _in_turn(s, slices.unionByName(beat), 5, start)
+    return s.read.parquet(out).groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("admitted").alias("admitted"))
+
+
 def live(s, d):
-    """Triples of each tenant so far, after the last batch."""
-    out = new_path(s, "live")
-    stats = jobs.live_stats(_stream(s, triples(s, d).select("user_id", "source"), "triples"))
-    stats.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).option("checkpointLocation", new_path(s, "progress")).trigger(availableNow=True).start().awaitTermination()
-    return s.read.parquet(out).select("user_id", "triples")
+    """The statistics after each of three batches of triples, with the batch in the tenant's name."""
+    rows = triples(s, d).withColumn("slice", (F.col("seq") % 3).cast("int"))
+    out, seen = new_path(s, "statistics"), []
+
+    def start(stream, progress, i):
+        live_statistics(stream, out, progress).trigger(availableNow=True).start().awaitTermination()
+        now = statistics(s, out).withColumn("user_id", F.concat("user_id", F.lit(f"/{i}")))
+        seen.append(stored(now, "statistics-now"))
+
+    _in_turn(s, rows, 3, start)
+    return reduce(lambda a, b: a.unionByName(b), seen)
+
+
+VERBS = ["is", "was", "with", "von"]
+
+
+def _told_by_rules(chunks):
+    return chunks.withColumn("raw", answer(F.col("content"), VERBS))
+
+
+def by_rules(s, d):
+    """Documents from text to resolved triples by the rules of the baseline extractor: no Python."""
+    found = document_triples(table(s, d, "documents").select("doc_id", "text"), _told_by_rules)
+    return found.groupBy("doc_id", "source", "relation", "target").agg(F.count("*").alias("n"))
+
+
+def ingested_documents(s, d):
+    """Documents of each source as uploads of a user, in three batches; all events of a batch come again in the next one, stamped two hours later."""
+    docs = table(s, d, "documents")
+    events = docs.select(F.concat(F.lit("doc-process-"), "doc_id").alias("event_id"), F.col("source").alias("user_id"), "doc_id", F.concat(F.lit("doc_"), "doc_id").alias("source_file"), F.timestamp_seconds(F.col("doc_id") + 86_400).alias("ts"), (F.col("doc_id") % 3).cast("int").alias("slice"))
+    late = events.withColumns({"slice": F.col("slice") + 1, "ts": F.col("ts") + F.expr("interval 2 hours")}).where("slice < 3")
+    out = new_path(s, "ingested")
+
+    def start(stream, progress, _):
+        ingest_documents(stream, docs, out, progress, _told_by_rules).trigger(availableNow=True).start().awaitTermination()
+
+    _in_turn(s, events.unionByName(late), 3, start)
+    _, relations = Ingestion(s, out).graph()
+    return relations.select("user_id", "source", "target", "type", "weight", F.size("source_files").cast("long").alias("n_files"))
+
+
+RULES = r"""
+ch AS (
+  SELECT doc_id, i AS chunk_idx, substr(t, CAST(i * 1300 + 1 AS BIGINT), 1500) AS content
+  FROM (SELECT doc_id, t, unnest(generate_series(0, CASE WHEN length(t) <= 1500 THEN 0 ELSE CAST(ceil((length(t) - 1500) / 1300.0) AS BIGINT) END)) AS i
+        FROM (SELECT doc_id, substr(text, 1, 20000) AS t FROM documents WHERE text IS NOT NULL))),
+se AS (SELECT doc_id, chunk_idx, s, i, list_transform(string_split(s, '|'), lambda c: trim(c, ' ')) AS cells
+  FROM (SELECT doc_id, chunk_idx, unnest(l) AS s, generate_subscripts(l, 1) AS i
+        FROM (SELECT doc_id, chunk_idx, list_filter(list_transform(regexp_split_to_array(content, '[.!?
+]+'), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM ch))),
+ru AS (SELECT *, regexp_extract_all(s, pat, 1) AS a, regexp_extract_all(s, pat, 2) AS r, regexp_extract_all(s, pat, 3) AS b
+  FROM (SELECT *, '(' || p || ') (is|was|with|von) (' || p || ')' AS pat FROM (SELECT *, '[A-Za-zÀ-ÿ''-]+(?: [A-Za-zÀ-ÿ''-]+){0,2}' AS p FROM se WHERE len(cells) <> 3))),
+fa AS (
+  SELECT doc_id, chunk_idx, 0 AS kind, i, 0 AS j, cells[1] AS source, cells[2] AS relation, cells[3] AS target FROM se WHERE len(cells) = 3
+  UNION ALL SELECT doc_id, chunk_idx, 1, i, unnest(generate_series(1, len(a))), unnest(a), unnest(r), unnest(b) FROM ru),
+cl AS (
+  SELECT doc_id, chunk_idx, kind, i, j, regexp_replace(regexp_replace(source, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS source,
+         replace(upper(regexp_replace(regexp_replace(relation, '^\s+|\s+$', '', 'g'), '\s+', '_', 'g')), 'ẞ', 'SS') AS relation,
+         regexp_replace(regexp_replace(target, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS target FROM fa),
+n AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_idx, kind, i, j) AS seq, source, relation, target FROM cl
+  WHERE length(source) >= 2 AND length(target) >= 2 AND length(relation) >= 2 AND source <> target
+    AND NOT regexp_full_match(source, '[0-9]+') AND NOT regexp_full_match(target, '[0-9]+'))"""
 
 
 G = f"WITH {GRAPH} "
@@ -174,6 +273,15 @@ QUERIES = {
     "s8_edge_list_files": (edge_files, "SELECT c_name AS source, 'Person' AS source_type, 'LIVES_IN' AS relation, n_name AS target, 'Location' AS target_type FROM customer JOIN nation ON c_nationkey = n_nationkey"),
     "s5_export_graph": (exported, G + BOTH),
     "s6_write_graph": (rewritten, G + "SELECT user_id, 'entities' AS kind, count(*) AS n FROM e WHERE user_id <> 'ASIA' OR type = 'Organization' GROUP BY user_id UNION ALL SELECT user_id, 'relations', count(*) FROM r WHERE user_id <> 'ASIA' OR type = 'SUPPLIES' GROUP BY user_id"),
+    "g1_upsert_case_insensitive": (
+        matched_upsert,
+        G
+        + """, a AS (SELECT user_id, lower(source) AS source, CASE relation WHEN 'PART_OF' THEN 'BELONGS_TO' ELSE relation END AS type, lower(target) AS target FROM t WHERE source_file IN ('customer', 'nation')),
+k AS (SELECT user_id, lower(name) AS low, min(name) AS least, bool_or(name = lower(name)) AS exact FROM e GROUP BY user_id, lower(name)),
+b AS (SELECT a.user_id, CASE WHEN x.exact THEN x.low ELSE x.least END AS source, CASE WHEN y.exact THEN y.low ELSE y.least END AS target, type FROM a JOIN k x ON a.user_id = x.user_id AND a.source = x.low JOIN k y ON a.user_id = y.user_id AND a.target = y.low),
+z AS (SELECT user_id, source, target, type, weight, source_files FROM r UNION ALL SELECT user_id, source, target, type, 1, ['again'] FROM b)
+SELECT user_id, source, target, type, CAST(sum(weight) AS BIGINT) AS weight, list_aggregate(list_sort(list_distinct(flatten(list(source_files)))), 'string_agg', ',') AS source_files FROM z GROUP BY user_id, source, target, type""",
+    ),
     "p7_skip_blank_nodes": (unblanked, G + f"SELECT user_id, 'entities' AS kind, type, count(*) AS n FROM e WHERE NOT {BLANK.format('name')} GROUP BY user_id, type UNION ALL SELECT user_id, 'relations', type, count(*) FROM r WHERE NOT {BLANK.format('source')} AND NOT {BLANK.format('target')} GROUP BY user_id, type"),
     "v8_h3_embed_in_batches": (embedded, G + "SELECT user_id, name, CAST(length(name) AS DOUBLE) AS x, CAST(unicode(name) AS DOUBLE) AS y FROM e"),
     "h1_classifier": (classified, "SELECT doc_id, CASE WHEN least(length(coalesce(text, '')), 500) % 2 = 1 THEN 'legal' ELSE 'general' END AS doc_class FROM documents"),
@@ -188,5 +296,11 @@ FROM c LEFT JOIN f ON c.conv_id = f.conv_id AND f.turn < c.turn GROUP BY c.conv_
     "h4_type_classifier": (proposed, "SELECT DISTINCT p_name AS name, CASE WHEN NOT contains(p_name, ' ') THEN NULL WHEN length(p_name) % 3 <> 0 THEN 'Event' ELSE 'Concept' END AS proposed FROM part"),
     "st1_ingest_stream": (ingested, G + BOTH),
     "st2_document_status_feed": (fed, "SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(event_id % 500 AS VARCHAR) AS document_id, arg_max(event_type, event_id) AS status, max(event_id) AS version FROM events GROUP BY user_id, event_id % 500"),
-    "st5_live_stats": (live, G + "SELECT user_id, count(*) AS triples FROM t GROUP BY user_id"),
+    "st1_ingest_documents": (
+        ingested_documents,
+        f"WITH {RULES}{RESOLVING}, zz AS ({RESOLVED_ROWS}) SELECT d.source AS user_id, zz.source, zz.target, relation AS type, count(*) AS weight, count(DISTINCT zz.doc_id) AS n_files FROM zz JOIN documents d ON zz.doc_id = d.doc_id GROUP BY d.source, zz.source, zz.target, relation",
+    ),
+    "baseline_extractor": (by_rules, f"WITH {RULES}{RESOLVING} SELECT doc_id, source, relation, target, count(*) AS n FROM ({RESOLVED_ROWS}) GROUP BY doc_id, source, relation, target"),
+    "st4_rate_limiter": (limited, ADMITTED),
+    "st5_live_stats": (live, "WITH " + GRAPH.replace("t AS (", "t0 AS (", 1).replace(",\nends AS (", ",\nt AS (SELECT user_id || '/' || CAST(i AS VARCHAR) AS user_id, * EXCLUDE (user_id, i) FROM t0 JOIN range(3) x(i) ON seq % 3 <= i),\nends AS (", 1) + STATISTICS),
 }

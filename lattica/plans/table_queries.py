@@ -9,7 +9,9 @@ from lattica.operators import retrieve as rt
 from lattica.operators import tables as tb
 from lattica.operators import vectors as vc
 from lattica.operators.graph import both_ways, needs_embedding
+from lattica.operators.vector_index import build_index, vector_topk_approx
 from lattica.plans.base import GRAPH, stored_graph, table
+from lattica.sources.shared import new_path
 
 
 def _events(s, d):
@@ -105,8 +107,24 @@ def topk_tenant(s, d):
     return vc.vector_topk(_asked(s, d), _vectors(s, d), k=3, prefilter=True).select("query_id", "name", F.round("score", 6).alias("score"))
 
 
+def _index(s, d):
+    """An index built of the rows with odd ids, to which the others are added."""
+    rows = _vectors(s, d)
+    index = build_index(rows.where("vec_id % 2 = 1"), new_path(s, "index"), ["user_id", "name"])
+    return index.add(rows.where("vec_id % 2 = 0"))
+
+
 def topk_approx(s, d):
-    return vc.vector_topk_approx(_asked(s, d), _vectors(s, d), k=10).select("query_id", "name", F.round("score", 5).alias("score"))
+    return vector_topk_approx(_asked(s, d), _index(s, d), k=10).select("query_id", "name", F.round("score", 5).alias("score"))
+
+
+def index_recall(s, d):
+    """How many true neighbours there are, and whether the index finds nine of ten."""
+    index, asked = _index(s, d), _asked(s, d)
+    found = index.search(asked, 10).select("query_id", "user_id", "name", F.lit(1).alias("found"))
+    exact = vc.nearest(asked, _vectors(s, d), 10, ["user_id", "name"])
+    both = exact.join(found, ["query_id", "user_id", "name"], "left")
+    return both.agg(F.count("*").alias("n_true"), (10 * F.count("found") >= 9 * F.count("*")).alias("reached"))
 
 
 def topk_chunks(s, d):
@@ -251,6 +269,14 @@ def registered(s, d):
     return tb.register_documents(rows).select("id", "filename", "status", F.col("created_at").isNotNull().alias("dated"))
 
 
+ADMITTED = """WITH RECURSIVE o AS (SELECT user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+w AS (
+  SELECT user_id, n, [us] AS last, true AS ok FROM o WHERE n = 1
+  UNION ALL
+  SELECT o.user_id, o.n, CASE WHEN len(last) < 2 THEN list_append(last, us) WHEN last[1] <= us - 21600000000 THEN [last[2], us] ELSE last END, len(last) < 2 OR last[1] <= us - 21600000000
+  FROM w JOIN o ON o.user_id = w.user_id AND o.n = w.n + 1)
+SELECT user_id, count(*) AS n, count(*) FILTER (ok) AS admitted FROM w GROUP BY user_id"""
+
 W = f"WITH {GRAPH}{ROWS} "
 QUERIES = {
     "j3_j4_match_entities": (starts, f"WITH {GRAPH}{ROWS} SELECT step, question_id, start FROM starts WHERE step <> 'C'"),
@@ -278,17 +304,12 @@ QUERIES = {
     "w7_sliding_rate": (rate, "SELECT event_id, n_recent, n_recent > 2 AS over_limit FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n_recent FROM events)"),
     "st4_rate_limiter_batch": (
         admitted,
-        """WITH RECURSIVE o AS (SELECT user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
-w AS (
-  SELECT user_id, n, [us] AS last, true AS ok FROM o WHERE n = 1
-  UNION ALL
-  SELECT o.user_id, o.n, CASE WHEN len(last) < 2 THEN list_append(last, us) WHEN last[1] <= us - 21600000000 THEN [last[2], us] ELSE last END, len(last) < 2 OR last[1] <= us - 21600000000
-  FROM w JOIN o ON o.user_id = w.user_id AND o.n = w.n + 1)
-SELECT user_id, count(*) AS n, count(*) FILTER (ok) AS admitted FROM w GROUP BY user_id""",
+        ADMITTED,
     ),
     "v1_v2_vector_topk": (topk, f"SELECT query_id, name, score FROM (SELECT a.vec_id AS query_id, {NAME} AS name, round({COS}, 6) AS score, a.vec_id % 5 = b.vec_id % 5 AS own, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id % 5, b.vec_id) AS k FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0) WHERE k <= 10 AND own"),
     "v2_vector_topk_tenant": (topk_tenant, f"SELECT query_id, name, score FROM (SELECT a.vec_id AS query_id, {NAME} AS name, round({COS}, 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id) AS k FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id % 5 = b.vec_id % 5) WHERE k <= 3"),
     "v3_vector_topk_approx": (topk_approx, None),
+    "v3_index_recall": (index_recall, "SELECT 10 * count(*) AS n_true, true AS reached FROM embeddings WHERE vec_id % 50 = 0"),
     "v4_cache_lookup_semantic": (cached, f"SELECT question_id, answer, score FROM (SELECT a.vec_id AS question_id, 'a' || CAST(b.vec_id AS VARCHAR) AS answer, round({COS}, 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id DESC) AS k FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id % 150 <> 0 AND (a.vec_id % 5 + a.vec_id // 50) % 5 = b.vec_id % 5 WHERE {COS} >= 0.3) WHERE k = 1"),
     "v5_cache_lookup_exact": (cached_exact, "SELECT a.vec_id AS question_id, 'a' || CAST(max(b.vec_id) AS VARCHAR) AS answer FROM embeddings a JOIN embeddings b ON a.vec_id % 5 = b.vec_id % 5 AND a.vec_id % 97 = b.vec_id % 90 GROUP BY a.vec_id"),
     "v7_chunk_topk": (topk_chunks, f"SELECT query_id, doc_id, chunk_idx, score FROM (SELECT a.vec_id AS query_id, b.vec_id % 40 AS doc_id, b.vec_id AS chunk_idx, round({COS}, 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id % 40, b.vec_id) AS k FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id % 5 = b.vec_id % 5) WHERE k <= 5"),

@@ -122,12 +122,7 @@ def alias_resolved(s, d):
     return ig.alias_resolution(_named(s, d)).groupBy("doc_id", "source", "relation", "target").agg(F.count("*").alias("n"))
 
 
-ALIAS = """
-n AS (
-  SELECT l_suppkey % 100 AS doc_id, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq, 'SOLD_IN' AS relation,
-         CASE l_orderkey % 3 WHEN 0 THEN list_extract(string_split(p_name, ' '), -1) WHEN 1 THEN p_name ELSE 'fine ' || p_name END AS source,
-         'Order ' || CAST(l_orderkey % 11 AS VARCHAR) AS target
-  FROM lineitem JOIN part ON l_partkey = p_partkey),
+MET = """,
 m AS (
   SELECT doc_id, name, min(ord) AS ord, string_split(lower(name), ' ') AS w
   FROM (SELECT doc_id, source AS name, seq * 2 AS ord FROM n UNION ALL SELECT doc_id, target, seq * 2 + 1 FROM n) GROUP BY doc_id, name),
@@ -135,6 +130,16 @@ a AS (
   SELECT x.doc_id, x.name, arg_min(y.name, ROW(-len(y.w), y.ord)) AS full_name
   FROM m x JOIN m y ON x.doc_id = y.doc_id AND len(y.w) > len(x.w) AND list_has_all(y.w, x.w) GROUP BY x.doc_id, x.name)"""
 
+ALIAS = (
+    """
+n AS (
+  SELECT l_suppkey % 100 AS doc_id, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq, 'SOLD_IN' AS relation,
+         CASE l_orderkey % 3 WHEN 0 THEN list_extract(string_split(p_name, ' '), -1) WHEN 1 THEN p_name ELSE 'fine ' || p_name END AS source,
+         'Order ' || CAST(l_orderkey % 11 AS VARCHAR) AS target
+  FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+    + MET
+)
+
 ALIAS_RESOLVED = f"""
 WITH {ALIAS},
 z AS (
@@ -153,8 +158,8 @@ def resolved(s, d):
     return ig.resolve_triples(rows).groupBy("doc_id", "source", "relation", "target").agg(F.count("*").alias("n"))
 
 
-RESOLVED = f"""
-WITH {ALIAS.replace("'Order ' ||", "CASE WHEN l_linenumber = 2 THEN 'ORDER ' ELSE 'Order ' END ||")},
+#: From triples n (doc_id, seq, source, relation, target) on: aliases and case resolved.
+STEPS = """,
 z AS (
   SELECT n.doc_id, n.seq, coalesce(p.full_name, source) AS source, relation, coalesce(q.full_name, target) AS target,
          n.doc_id IN (SELECT doc_id FROM a) AS changed
@@ -162,10 +167,14 @@ z AS (
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, relation, target ORDER BY seq) AS nth FROM z),
 r1 AS (SELECT * FROM k WHERE NOT changed OR (source <> target AND nth = 1)),
 x AS (SELECT doc_id, source AS name, seq * 2 AS ord FROM r1 UNION ALL SELECT doc_id, target, seq * 2 + 1 FROM r1),
-f AS (SELECT doc_id, lower(name) AS low, arg_min(name, ord) AS name FROM x GROUP BY doc_id, lower(name))
-SELECT r1.doc_id, u.name AS source, relation, v.name AS target, count(*) AS n
+f AS (SELECT doc_id, lower(name) AS low, arg_min(name, ord) AS name FROM x GROUP BY doc_id, lower(name))"""
+RESOLVING = MET + STEPS
+RESOLVED_ROWS = """SELECT r1.doc_id, u.name AS source, relation, v.name AS target
 FROM r1 JOIN f u ON r1.doc_id = u.doc_id AND lower(source) = u.low JOIN f v ON r1.doc_id = v.doc_id AND lower(target) = v.low
-WHERE u.name <> v.name GROUP BY r1.doc_id, u.name, relation, v.name
+WHERE u.name <> v.name"""
+RESOLVED = f"""
+WITH {ALIAS.replace("'Order ' ||", "CASE WHEN l_linenumber = 2 THEN 'ORDER ' ELSE 'Order ' END ||")}{STEPS}
+SELECT doc_id, source, relation, target, count(*) AS n FROM ({RESOLVED_ROWS}) GROUP BY doc_id, source, relation, target
 """
 
 

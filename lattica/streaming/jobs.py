@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lattica.operators.graph import upsert_relations
 
@@ -91,35 +87,3 @@ def document_status_feed(changes: DataFrame, path: str, checkpoint: str):
 def document_status(spark: SparkSession, path: str) -> DataFrame:
     """The state of each document so far, from the folders that a feed has written."""
     return latest_status(spark.read.parquet(*[p for _, p in _changes(spark, path)]))
-
-
-def rate_limiter(events: DataFrame, limit: int, seconds: int = 3600, late: str = "1 hour") -> DataFrame:
-    """(user_id, event_id, ts, admitted) of a stream: admitted if fewer than limit admitted events of the user lie in the seconds before.
-
-    The state of a user is the times of the last ``limit`` admitted events; it goes when no event can need it.
-    """
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        admitted = []
-        for ts in rows["ts"]:
-            at = ts.timestamp()
-            last = [x for x in last if x > at - seconds]
-            admitted.append(len(last) < limit)
-            if admitted[-1]:
-                last.append(at)
-        state.update((last,))
-        state.setTimeoutTimestamp(int(max(rows["ts"].max().timestamp() * 1000, state.getCurrentWatermarkMs() + 1) + seconds * 1000))
-        yield rows[["user_id", "event_id", "ts"]].assign(admitted=admitted)
-
-    schema = "user_id long, event_id long, ts timestamp, admitted boolean"
-    return events.select("user_id", "event_id", "ts").withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(run, schema, "last array<double>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def live_stats(triples: DataFrame) -> DataFrame:
-    """Triples and distinct-name estimates of each tenant, for update or complete mode."""
-    return triples.groupBy("user_id").agg(F.count("*").alias("triples"), F.approx_count_distinct("source").alias("sources"))

@@ -1,3 +1,5 @@
+import random
+
 from lattica.operators import paths as p
 from lattica.sources import shared
 
@@ -21,6 +23,51 @@ def test_shortest_path(spark):
     assert {r.pair_id: r.found for r in p.shortest_path(df, relations(spark), max_hops=1)[0].collect()}[1] is False
 
 
+def test_paths_and_links_against_brute_force(spark):
+    r = random.Random(6)
+    names = ["a", "A", "b", "c", "d", "e", "f", "g", "h", "i", "hub"]
+    edges = {(r.choice("uv"), r.choice(names), r.choice(names), r.choice("RST")) for _ in range(34)} | {("u", "hub", f"n{i}", "R") for i in range(30)} | {("u", "n3", "far", "R"), ("u", "far", "end", "S")}
+    rows = [(*e, r.choice([1, 2, 3]), ["f"]) for e in sorted(edges)]
+    pairs = [(i, r.choice("uv"), r.choice([*names, "FAR", "END"]), r.choice([*names, "end", "none"])) for i in range(40)] + [(99, "u", None, "a")]
+    near = {}
+    for u, s, t, *_ in rows:
+        near.setdefault((u, s), set()).add(t)
+        near.setdefault((u, t), set()).add(s)
+
+    def brute(user, start, end, most):
+        """The nodes of the shortest path with the smallest names from the end backwards."""
+        level = {n: 0 for u, n in near if u == user and start and n.lower() == start.lower()}
+        ring = sorted(level)
+        for hop in range(1, most + 1):
+            ring = sorted({m for n in ring for m in near[user, n]} - set(level))
+            level |= dict.fromkeys(ring, hop)
+        ends = sorted((level[n], n) for n in level if n.lower() == end.lower())
+        if not ends:
+            return None
+        path = [ends[0][1]]
+        while level[path[0]]:
+            path.insert(0, min(m for m in near[user, path[0]] if level.get(m) == level[path[0]] - 1))
+        return path
+
+    df = spark.createDataFrame(pairs, "pair_id int, user_id string, `from` string, `to` string")
+    for most in (4,):
+        summary, steps = p.shortest_path(df, spark.createDataFrame(rows, R), max_hops=most)
+        want = {i: brute(u, a, b, most) for i, u, a, b in pairs}
+        assert {x.pair_id: x.length for x in summary.collect()} == {i: None if w is None else len(w) - 1 for i, w in want.items()}
+        found = {}
+        for x in steps.orderBy("pair_id", "step").collect():
+            found.setdefault(x.pair_id, []).append(x)
+        user = {i: u for i, u, _, _ in pairs}
+        assert {i: [x.node for x in f] for i, f in found.items()} == {i: w for i, w in want.items() if w}
+        for i, f in found.items():
+            assert f[0].source is None and f[0].label is None
+            for before, x in zip(f, f[1:]):
+                links = [(-w, t, s != before.node, s, e) for u, s, e, t, w, _ in rows if u == user[i] and {s, e} == {before.node, x.node}]
+                weight, label, _, source, target = min(links)
+                assert (x.weight, x.label, x.source, x.target) == (-weight, label, source, target)
+    assert p.shortest_path(df.limit(0), spark.createDataFrame(rows, R))[1].count() == 0
+
+
 def brute_pagerank(nodes, links, rounds=20, d=0.85):
     n, out = len(nodes), {v: sum(s == v for s, _ in links) for v in nodes}
     pr = dict.fromkeys(nodes, 1 / n)
