@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import components, dealt, discard, groups, hashed_words, lists, mix, only, rows_of, shingles, slices, store, tidy
-from lattica.llm.jaccard import parts_of
+from lattica.llm.jaccard import bitmap, parts_of
 
 WIDTH = 4
 #: Minima of a band, and low bits kept of each minimum.
@@ -20,8 +20,10 @@ ROWS, BITS = 4, 2
 #: Chance that a pair at the threshold shares no band, and that its low bits fall below the estimate asked for.
 MISSED = 1e-9
 TEXT_BYTES = 2 << 20
-#: Members of one group compared with all others at once.
-BLOCK = 128
+#: Members of one group compared with all others at once, and pairs of wide bitmaps.
+BLOCK, PAIRS = 128, 4096
+#: Words of 64 bits in the smallest and the largest wide bitmap.
+LEAST_WIDE, MOST_WIDE = 32, 1024
 
 
 def bands_of(percent: int) -> int:
@@ -116,23 +118,55 @@ def _matching(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Recor
         yield batch.select(["a", "b"]).filter(pa.array(apart(x, y) <= most))
 
 
-def _firsts(*keys: np.ndarray) -> np.ndarray:
-    """Where the first of the rows that agree in the first two keys is, in the order of all of them."""
-    order = np.lexsort(keys[::-1])
-    a, b = keys[0][order], keys[1][order]
-    new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return order[new]
+def wide_bitmap(tokens: np.ndarray) -> np.ndarray:
+    """A bitmap of 8 to 16 bits for each token, within bounds; a power of two, so that it can be folded."""
+    return bitmap(tokens, min(max(LEAST_WIDE, 1 << (len(tokens) // 8).bit_length()), MOST_WIDE))
+
+
+def folded(wide: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Wide bitmaps of at least so many bytes folded to that size, those of fewer left empty, and their bits."""
+    out = np.zeros((len(wide), size // 8), np.uint64)
+    for i, w in enumerate(wide):
+        if len(w) >= size:
+            out[i] = np.bitwise_or.reduce(np.frombuffer(w, np.uint64).reshape(-1, size // 8))
+    return out, np.bitwise_count(out).sum(axis=1, dtype=np.int64)
+
+
+class Wide:
+    """Which pairs of a group's members may reach the percentage: common tokens leave common bits, but for those that fall together."""
+
+    def __init__(self, wide: list[bytes], n: np.ndarray, percent: int):
+        self.wide, self.n, self.percent = wide, n, percent
+        self.sizes = np.array([len(w) for w in wide])
+        self.of_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def may_reach(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), bool)
+        size = np.minimum(self.sizes[a], self.sizes[b])
+        need = -(-self.percent * (self.n[a] + self.n[b]) // (100 + self.percent))
+        for s in np.unique(size).tolist():
+            if s not in self.of_size:
+                self.of_size[s] = folded(self.wide, s)
+            bits, ones = self.of_size[s]
+            at = np.flatnonzero(size == s)
+            for i in range(0, len(at), PAIRS):
+                some = at[i : i + PAIRS]
+                x, y = a[some], b[some]
+                common = np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype=np.int64)
+                out[some] = common >= need[some] + np.maximum(ones[x] - self.n[x], ones[y] - self.n[y])
+        return out
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], percent: int, most: int, each: str) -> Iterator[pa.RecordBatch]:
-    """Pairs of a band's members in different components whose sizes fit and whose estimates reach: all, or the nearest of each node and component, or of two components."""
+    """Pairs of a band's members in different components whose sizes fit, whose estimates reach and whose wide bitmaps allow it: all, or of each two components the nearest."""
     for group in groups(batches, "list", "part"):
         node, label, n = (group.column(c).to_numpy() for c in ("node", "label", "n"))
         order = np.lexsort((node, n))
         node, label, n = node[order], label[order], n[order]
         bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint8).reshape(len(node), -1)[order]
         bits = bits.view(np.uint32) if bits.shape[1] % (4 * BITS) == 0 else bits
+        raw = group.column("wide").to_pylist()
+        wide = Wide([raw[i] for i in order.tolist()], n, percent)
         ends = np.searchsorted(n, n * 100 // percent, side="right")
         for i in range(0, len(node), BLOCK):
             stop = int(ends[min(i + BLOCK, len(node)) - 1])
@@ -140,19 +174,33 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int, most: int, each
             at, other = np.nonzero((far <= most) & (label[i : i + BLOCK, None] != label[None, i:stop]))
             keep = (other > at) & (other + i < ends[at + i])
             at, other = at[keep], other[keep]
+            keep = wide.may_reach(at + i, other + i)
+            at, other = at[keep], other[keep]
             far = far[at, other]
             a, b = node[at + i], node[other + i]
-            la, lb = label[at + i], label[other + i]
             if each == "components":
-                pick = _firsts(np.minimum(la, lb), np.maximum(la, lb), far, a, b)
-                a, b, far = a[pick], b[pick], far[pick]
-            elif each == "nodes":
-                one, two = _firsts(a, lb, far, b), _firsts(b, la, far, a)
-                a, b, far = np.concatenate([a[one], b[two]]), np.concatenate([b[one], a[two]]), np.concatenate([far[one], far[two]])
+                la, lb = label[at + i], label[other + i]
+                low, high = np.minimum(la, lb), np.maximum(la, lb)
+                pick = np.lexsort((b, a, far, high, low))
+                new = np.ones(len(pick), bool)
+                new[1:] = (low[pick][1:] != low[pick][:-1]) | (high[pick][1:] != high[pick][:-1])
+                a, b, far = a[pick[new]], b[pick[new]], far[pick[new]]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(far)], ["a", "b", "far"])
 
 
+def widened(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, wide), the wide bitmaps of the ids of a stored table (doc_id); docs as ``rows_of`` gives them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, most=TEXT_BYTES):
+            sets = _sets(part)
+            full = [i for i, s in enumerate(sets) if len(s)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(full, pa.int64())), pa.array([wide_bitmap(sets[i]).tobytes() for i in full], pa.binary())], ["node", "wide"])
+
+    return only(docs, ids).mapInArrow(tidy(run), "node long, wide binary")
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose whole sets reach the percentage; docs as ``rows_of`` gives them, pairs stored."""
 
@@ -183,8 +231,9 @@ def minhash_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id
     2. In each band, the smallest node is a candidate for each other member. The low two bits of each minimum, packed in
        planes, estimate the similarity by a count of differing bits, corrected for chance; what falls short of the
        threshold by six deviations is left out, and whole sets decide.
-    3. Bands that still hold two components give their other pairs: first the nearest of two components, then
-       of each node and component, then all that are left. Bands of over 2048 nodes are dealt to several tasks.
+    3. Bands that still hold two components give their other pairs: first the nearest of two components, then all that
+       are left. Before a pair goes on, wide bitmaps of whole sets bound what it can share, so that groups of texts somewhat
+       alike, which fall short of the threshold, send few. Bands of over 2048 nodes are dealt to several tasks.
 
     A text without words, or null, links with nothing. A row with a null id links with nothing, has a null component
     and is kept. Rows that repeat an id are one document of several texts: each has its own n_shingles, and links
@@ -221,26 +270,25 @@ def minhash_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id
 
     # 3. what two components of a band are left to compare
     held_rows = rows.select("list", "members", "node")
-    for each in ("components", "nodes", "all"):
+    for each in ("components", "all"):
         held = held_rows.join(labels, "node", "left").select("list", "members", "node", F.coalesce("label", "node").alias("label"))
         mixed = store(held.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("list"), "mixed")
         held = store(held.join(mixed, "list"), "held")
-        split = parts_of(held).join(signs, "node").select("list", "part", "node", "label", "n", "bits")
+        ids = store(held.select(F.col("node").alias("doc_id")).distinct(), "ids")
+        wide = store(signs.join(widened(docs, ids), "node"), "wide")
+        split = parts_of(held).join(wide, "node").select("list", "part", "node", "label", "n", "bits", "wide")
         pairs = dealt(split, "list", "part").mapInArrow(tidy(lambda b, each=each: _candidates(b, percent, most, each)), "a long, b long, far long")
-        if each == "all":
-            pairs = pairs.select("a", "b")
-        else:
+        if each == "components":
             named = held.select("node", "label").distinct()
             pairs = pairs.join(named.toDF("a", "la"), "a").join(named.toDF("b", "lb"), "b")
-            keys = [F.least("la", "lb"), F.greatest("la", "lb")] if each == "components" else ["a", "lb"]
-            pairs = pairs.groupBy(*keys).agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b")
+            pairs = pairs.groupBy(F.least("la", "lb"), F.greatest("la", "lb")).agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b")
         pairs = store(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.union(pairs)
         links = confirmed(docs, pairs, percent)
         if not links.isEmpty():
             before, labels = labels, store(components(labels.toDF("a", "b").union(links)), "labels")
             discard(before)
-        discard(mixed, held, links)
+        discard(mixed, held, ids, wide, links)
     discard(rows)
 
     found = nodes.select("h1", "h2", "node", "last").join(labels, "node", "left").where("label IS NOT NULL OR node < last").select("h1", "h2", F.coalesce("label", "node").alias("component"))

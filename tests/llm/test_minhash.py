@@ -97,3 +97,22 @@ def test_estimates_and_bounds():
         assert abs((estimates.mean() * 0.75 + 0.25) - by_hand) < 1e-9
         reach = minhash.apart(bits[::2], bits[1::2]) <= minhash.most_apart(80, slots)
         assert reach.all() if share >= 0.8 else not reach.any() if share <= 0.2 else True
+
+
+def test_wide_bitmaps_lose_no_pair(monkeypatch):
+    """Pairs at the threshold pass whatever widths they have; most pairs well below it do not."""
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(minhash, "MOST_WIDE", 64)
+    sets = []
+    for n in (3, 40, 250, 300, 600, 3000):
+        base = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        sets.append(base)
+        for share in (0.5, 0.7, 0.8, 0.81, 0.9, 0.99):
+            common = base[: max(round(n * 2 * share / (1 + share)), 1)]
+            sets.append(np.unique(np.concatenate([common, rng.integers(0, 1 << 64, n - len(common), dtype=np.uint64)])))
+    n = np.array([len(s) for s in sets])
+    wide = minhash.Wide([minhash.wide_bitmap(s).tobytes() for s in sets], n, 80)
+    a, b = np.triu_indices(len(sets), 1)
+    passed = wide.may_reach(a, b)
+    similar = np.array([jaccard.similar(sets[i], sets[j], 80) for i, j in zip(a, b, strict=True)])
+    assert passed[similar].all() and similar.sum() > 15 and passed[~similar].mean() < 0.1
