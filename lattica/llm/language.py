@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -22,7 +21,6 @@ CENTROIDS = 4
 #: Characters of a text whose trigrams are counted at once.
 BLOCK = 1 << 18
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 #: A text is rejected if its cosine is below that of this share of the language's texts that are as long, by
 #: the centroids of the other half of them; a length with fewer than ENOUGH texts takes the floor of a shorter one.
 QUANTILE, ENOUGH = 0.005, 30
@@ -122,7 +120,7 @@ class Model:
         near = vectors(texts, self.idf) @ self.centroids.T
         best = np.argmax(near, axis=1)
         score = np.clip(near[np.arange(len(texts)), best], 0, 1).astype(float)
-        known = np.array([bool(t and LETTER.search(t)) for t in texts], bool)
+        known = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts], bool)  # as ``_letters`` has it: no digits, fractions or Roman numerals
         return [self.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, score, 0.0), ~known | (score < self.floors[best, length_class(texts)])
 
 

@@ -61,7 +61,7 @@ def test_vectors_and_nearest_against_brute_force(monkeypatch):
     import numpy as np
 
     r = random.Random(2)
-    texts = [None, "", "1 !", "é", "ab", "😀 𝐀b ab", *("".join(r.choice("abcé ß.𝐀😀") for _ in range(r.randrange(80))) for _ in range(40))]
+    texts = [None, "", "1 !", "½ ②", "Ⅷ", "é", "ab", "😀 𝐀b ab", *("".join(r.choice("abcé ß.𝐀😀") for _ in range(r.randrange(80))) for _ in range(40))]
     idf = np.array([r.uniform(1, 5) for _ in range(language.DIMS)], np.float32)
     monkeypatch.setattr(language, "BLOCK", 7)
     got = language.vectors(texts, idf)
