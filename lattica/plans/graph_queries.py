@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from lattica.functions import text as tx
 from lattica.operators import graph as g
 from lattica.operators import paths as p
+from lattica.operators.text_index import TextIndex
 from lattica.plans.base import GRAPH, graph, stored_graph, table, triples
+from lattica.sources.shared import new_path
 
 
 def _files(df, col="source_files"):
@@ -249,6 +251,14 @@ k AS (SELECT 'web' AS user_id, url AS source, href AS target FROM h WHERE href I
 v AS (SELECT DISTINCT 'web' AS user_id, url AS id FROM pages)"""
 
 
+def indexed(s, d):
+    """Names of suppliers in a stored index, those of other entities added, and parts of nations' numbers looked up."""
+    names = graph(s, d)[0].select("user_id", F.lower("name").alias("text"), (F.col("type") == "Organization").alias("first"))
+    index = TextIndex(s, new_path(s, "text-index")).add(names.where("first")).add(names.where("NOT first"))
+    nation = table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return index.search(nation.select(F.col("r_name").alias("user_id"), F.concat(F.lit("r#0000000"), F.col("n_nationkey") % 10).alias("needle")))
+
+
 G = f"WITH {GRAPH} "
 STATISTICS = """SELECT user_id, 'node_count' AS metric, NULL AS key, count(*) AS value, 1 AS rank FROM e GROUP BY user_id
 UNION ALL SELECT user_id, 'link_count', NULL, count(*), 1 FROM r GROUP BY user_id
@@ -299,6 +309,7 @@ SELECT c.user_id, c.file, relation_count, context, entity_count, top_entities FR
         search,
         G + ", q AS (SELECT n_nationkey AS req_id, r_name AS user_id, '#' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS q FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT * FROM (SELECT req_id, name, type, degree, row_number() OVER (PARTITION BY req_id ORDER BY degree DESC, name) AS rank FROM q JOIN d ON q.user_id = d.user_id AND contains(lower(name), lower(q))) WHERE rank <= 20",
     ),
+    "l1_j4_text_index": (indexed, G + ", q AS (SELECT DISTINCT r_name AS user_id, 'r#0000000' || CAST(n_nationkey % 10 AS VARCHAR) AS needle FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT DISTINCT q.user_id, needle, lower(name) AS text FROM q JOIN e ON q.user_id = e.user_id AND contains(lower(name), needle)"),
     "l3_full_graph": (full, G + "SELECT user_id, source, target, type, weight, list_aggregate(source_files, 'string_agg', ',') AS source_files, rank, count(*) OVER (PARTITION BY user_id) >= 500 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY source, target, type) AS rank FROM r) WHERE rank <= 500"),
     "p2_doc_filter": (filtered, G + "SELECT user_id, type, count(*) AS n, CAST(sum(weight) AS BIGINT) AS weight FROM r WHERE len(list_filter(source_files, lambda x: contains(x, '1995') OR contains(x, 'nation'))) > 0 GROUP BY user_id, type"),
     "p3_hide_types": (hidden, G + ", h AS (SELECT * FROM e WHERE type NOT IN ('Location', 'Person')) SELECT user_id, 'entities' AS kind, count(*) AS n FROM h GROUP BY user_id UNION ALL SELECT r.user_id, 'relations', count(*) FROM r JOIN h a ON r.user_id = a.user_id AND source = a.name JOIN h b ON r.user_id = b.user_id AND target = b.name GROUP BY r.user_id"),
