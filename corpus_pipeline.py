@@ -14,7 +14,7 @@ from lattica.llm.pieces import digests, production_model
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents that it rejects go."""
+    """Language ID: documents that it rejects go, null texts and texts without a letter among them; each row is judged by itself."""
     return identify(docs, trained(docs)).where("NOT rejected").select("row.*")
 
 
@@ -28,15 +28,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: the smallest doc_id of each component stays; rows without an id stay.
 
-    Of rows that repeat an id, all whose text is in a component that this id leads stay.
+    Rows that repeat an id are judged by their own texts: each stays if its id leads the component that its text is in.
+    Rows equal in id and text stay or go together. Texts without words, or null, are alike to nothing and stay.
     """
     found = near_duplicates(docs)
-    leaders = store(found.where("doc_id = component_id").select("doc_id").distinct(), "leaders")
-    return docs.join(leaders, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    leaders = store(found.where("doc_id = component_id").select(F.col("doc_id").alias("leader_id"), F.col("copy").alias("leader_copy")).distinct(), "leaders")
+    leads = (F.col("row.doc_id") == F.col("leader_id")) & (F.xxhash64(F.col("row.text").cast("binary")) == F.col("leader_copy"))
+    rows = docs.where("doc_id IS NOT NULL").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(leaders, leads, "left_semi").select("row.*").unionByName(docs.where("doc_id IS NULL"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: contaminated documents go."""
+    """Benchmark decontamination: contaminated documents go, with all rows that repeat their ids; null texts and rows without an id stay."""
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slop=0)
     bad = store(found.where("contaminated AND doc_id IS NOT NULL").select("doc_id").distinct(), "contaminated")
     return docs.join(bad, "doc_id", "left_anti").select(docs.columns)

@@ -167,11 +167,11 @@ def _each_set(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
 
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Node, size and smallest token of each document."""
+    """Node, size and smallest token of each document, and the digest that came with its text."""
     for part, sets in _each_set(batches):
         nodes = [node_of(s) if len(s) else None for s in sets]
         first = [int(s[:1].view(np.int64)[0]) if len(s) else None for s in sets]
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.int64())], ["doc_id", "node", "n", "first"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.int64()), part.column("copy")], ["doc_id", "node", "n", "first", "copy"])
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, bits: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
@@ -376,16 +376,17 @@ def parts_of(held: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of each row of docs.
+    """doc_id, n_shingles, component_id and copy (xxhash64 of the text) of each row of docs.
 
     Two documents link if their sets of 5-word shingles (a shorter text is one shingle) have a Jaccard similarity of
     percent or more; component_id is the smallest doc_id that links lead to. Every link counts; shingles are compared
     by 64-bit hashes. A text without words, or null, links with nothing and is its own component. A row with a null
-    id links with nothing and has a null component. Rows that repeat an id are judged by their own texts.
+    id links with nothing and has a null component. Rows that repeat an id are judged by their own texts, which copy
+    tells apart.
     """
     spark = docs.sparkSession
     docs = rows_of(docs, id_col, text_col)
-    described = store(docs.mapInArrow(tidy(describe), "doc_id long, node long, n long, first long"), "described")
+    described = store(docs.withColumn("copy", F.xxhash64("text")).mapInArrow(tidy(describe), "doc_id long, node long, n long, first long, copy long"), "described")
     known = described.where("node IS NOT NULL AND doc_id IS NOT NULL")
     owners = store(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("first").alias("first")), "owners")
     named = owners.select("node", "doc_id")
@@ -461,12 +462,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     found = store(labels.join(smallest, "label").select("node", "component"), "found")
     discard(owners, labels, member)
     frequent.unpersist()
-    return described.join(found, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    return described.join(found, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), "copy")
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Set size and component of every document."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("copy")
 
 
 OP5_SQL = r"""

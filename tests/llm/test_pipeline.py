@@ -54,3 +54,12 @@ def test_stages_with_odd_rows(spark):
         assert out.where("doc_id = 3").count() == 2
         assert stage(spark, odd.limit(0), path).count() == 0
     assert cp.tokens(spark, odd, path).count() == 6 and cp.tokens(spark, odd.limit(0), path).count() == 0
+
+
+def test_repeated_ids_are_judged_by_their_own_texts(spark):
+    a, b = "one text of more than five words here", "another text of more than five words there"
+    rows = [(1, a), (2, a), (2, b), (3, b), (3, None), (4, None), (5, b.upper()), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS copy", "2 AS leader_id", "3 AS leader_copy")
+    got = cp.duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, a), (2, b), (3, None), (4, None), (None, a)], key=str)
