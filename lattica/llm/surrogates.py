@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from lattica.llm.common import store
 
 # Words that introduce a person, and some given names, by gender.
-MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Κύριος"]
-FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña", "Κυρία"]
+MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Κύριος", "MR", "HERR", "SEÑOR"]
+FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña", "Κυρία", "MRS", "FRAU", "SEÑORA"]
 OPEN_TITLES = ["Dr", "Prof"]
+# Small words before a surname, and those that may follow them.
+PARTICLES, ARTICLES = ["de", "del", "da", "do", "dos", "das", "di", "della", "du", "van", "von", "zu", "ter", "ten", "bin", "ibn", "al", "af"], ["la", "las", "los", "der", "den", "dem", "het"]
 # Labels before a colon that announce a person.
 LABELS = ["Name", "Author", "Contact", "Signed", "Kontakt", "Ansprechpartner", "Autor", "Auteur", "Nom", "Nombre", "Contacto", "Имя", "Автор", "Όνομα"]
 MALE_NAMES = ["James", "John", "Robert", "Michael", "William", "David", "Richard", "Thomas", "Daniel", "Matthew", "Hans", "Peter", "Klaus", "Jürgen", "Pierre", "Jean", "Louis", "Carlos", "José", "Juan", "Miguel", "Иван", "Сергей", "Дмитрий", "Γιώργος", "Νίκος"]
@@ -25,17 +27,21 @@ ENDINGS = {"latin": {"m": ["n", "s", "rd", "lf"], "f": ["lia", "na", "ria", "tta
 #: A name, with what follows a hyphen or an apostrophe but for a lone letter, as in Smith's; and initials between names.
 NAME = r"\p{Lu}(?:\p{L}|['’](?=\p{L}{2}))++(?:-\p{Lu}(?:\p{L}|['’](?=\p{L}{2}))++){0,4}+"
 INITIALS = r"(?:(?:\p{Lu}\.){1,3}[  ]){0,2}"
+PARTICLE = rf"(?:(?:{'|'.join(PARTICLES)})[  ](?:(?:{'|'.join(ARTICLES)})[  ])?)?"
+#: A further name of a person, and how many may follow.
+MORE, MOST = rf"(?:[  ]{INITIALS}{PARTICLE}{NAME})", 3
 TITLES = "|".join(MALE_TITLES + FEMALE_TITLES + OPEN_TITLES)
 GIVEN = "|".join(MALE_NAMES + FEMALE_NAMES)
 #: The letters that a title or a listed name begins with: a cheap test that comes first.
 INITIAL = "[" + "".join(sorted({n[0] for n in MALE_TITLES + FEMALE_TITLES + OPEN_TITLES + MALE_NAMES + FEMALE_NAMES})) + "]"
-PERSON = rf"(?={INITIAL})(?<![\p{{L}}\p{{N}}])(?:(?:{TITLES})\.?[  ](?:{NAME}[  ])?{INITIALS}{NAME}|(?:{GIVEN})[  ]{INITIALS}{NAME})|(?=\p{{Lu}})(?<=(?:{'|'.join(LABELS)}): ){NAME}[  ]{INITIALS}{NAME}"
+PERSON = rf"(?={INITIAL})(?<![\p{{L}}\p{{N}}])(?:(?:{TITLES})\.?[  ](?:(?:{'|'.join(OPEN_TITLES)})\.?[  ]){{0,2}}{INITIALS}{PARTICLE}{NAME}{MORE}{{0,{MOST}}}|(?:{GIVEN}){MORE}{{1,{MOST}}})|(?=\p{{Lu}})(?<=(?:{'|'.join(LABELS)}): ){NAME}{MORE}{{1,{MOST}}}"
 EMAIL = r"(?=[A-Za-z0-9._%+-])(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 KEY = r"(?=[A-Za-z0-9])(?<![A-Za-z0-9])(?=[A-Za-z_-]*+[0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|xox[bp])[-_][A-Za-z0-9_-]{16,})(?![A-Za-z0-9])"
 IP = r"(?=[0-9])(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
 IPV6 = r"(?=[0-9A-Fa-f])(?<![\w:.])[0-9A-Fa-f]{4}(?:(?::[0-9A-Fa-f]{1,4}){7}+|(?::[0-9A-Fa-f]{1,4}){0,5}+::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}+)?)(?![\w:])"
 IBAN = r"(?=[A-Z])(?<![A-Za-z0-9])(?=[A-Z]{2}\d{2}(?:[A-Z ]*+\d){6})[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-SSN = r"(?=[0-9])(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
+BARE_SSN = r"\d{9}"
+SSN = rf"(?=[0-9])(?:(?<![\w-])\d{{3}}-\d{{2}}-\d{{4}}|(?<=\b(?:SSN|ssn)[: ]{{1,2}}){BARE_SSN})(?![\w-])"
 CARD = r"(?=[0-9])(?<![\w-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])"
 PHONE = r"(?=[0-9+(])(?<![\w+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w-])|\+\d{8,14}(?!\w))"
 KINDS = {"email": EMAIL, "key": KEY, "iban": IBAN, "ip": IP, "ipv6": IPV6, "ssn": SSN, "card": CARD, "phone": PHONE, "person": PERSON}
@@ -131,7 +137,7 @@ def _drawn(entities: DataFrame, key: str) -> DataFrame:
 
 
 def _kind(mention: Column) -> Column:
-    return reduce(lambda w, k: w.when(mention.rlike(f"^(?:{KINDS[k]})$"), k), list(KINDS)[1:-1], F.when(mention.rlike(f"^(?:{EMAIL})$"), "email")).otherwise("person")
+    return reduce(lambda w, k: w.when(mention.rlike(f"^(?:{KINDS[k]})$"), k), list(KINDS)[1:-1], F.when(mention.rlike(f"^(?:{EMAIL})$"), "email").when(mention.rlike(f"^{BARE_SSN}$"), "ssn")).otherwise("person")
 
 
 def _units(mention: Column) -> Column:
@@ -141,12 +147,18 @@ def _units(mention: Column) -> Column:
     digits = F.regexp_replace(mention, "[^0-9]", "")
     canon = F.when(kind.isin("email", "ipv6"), F.lower(mention)).when(kind == "iban", F.regexp_replace(mention, " ", "")).when(kind.isin("card", "phone", "ssn"), digits).otherwise(mention)
     words = F.split(mention, "[  ]")
-    title = F.regexp_replace(words[0], r"\.$", "")
-    gender = F.when(title.isin(MALE_TITLES + MALE_NAMES), "m").when(title.isin(FEMALE_TITLES + FEMALE_NAMES), "f").when(F.get(words, F.lit(1)).isin(MALE_NAMES), "m").when(F.get(words, F.lit(1)).isin(FEMALE_NAMES), "f").otherwise("x")
-    titled = title.isin(MALE_TITLES + FEMALE_TITLES + OPEN_TITLES)
+    undotted = lambda i: F.regexp_replace(F.coalesce(F.get(words, F.lit(i)), F.lit("")), r"\.$", "")
+    titled = undotted(0).isin(MALE_TITLES + FEMALE_TITLES + OPEN_TITLES)
+    open_title = lambda i: titled & undotted(i).isin(OPEN_TITLES)
+    n_titles = F.when(open_title(1) & open_title(2), 3).when(open_title(1), 2).when(titled, 1).otherwise(0)
+    gender = F.when(undotted(0).isin(MALE_TITLES), "m").when(undotted(0).isin(FEMALE_TITLES), "f")
+    given = F.get(words, n_titles)
+    gender = gender.when(given.isin(MALE_NAMES), "m").when(given.isin(FEMALE_NAMES), "f").otherwise("x")
 
     def part(word: Column, i: Column) -> Column:
-        role = F.when((titled & (i == 0)) | word.rlike(r"^(\p{Lu}\.)+$"), "title").when(i == F.size(words) - 1, "surname").otherwise(F.concat(F.lit("given_"), gender))
+        kept = (i < n_titles) | word.rlike(rf"^(?:(\p{{Lu}}\.)+|{'|'.join(PARTICLES + ARTICLES)})$")
+        first = (i == n_titles) | word.isin(MALE_NAMES + FEMALE_NAMES)
+        role = F.when(kept, "title").when(first & (i < F.size(words) - 1), F.concat(F.lit("given_"), gender)).otherwise("surname")
         return unit(role, F.lower(word), word)
 
     return F.when(kind == "person", F.transform(words, part)).otherwise(F.array(unit(kind, canon, mention)))
@@ -191,8 +203,9 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     """One row for each row of docs: a struct column ``row`` (the input row), ``clean`` (the text with surrogates) and ``n_entities``.
 
     E-mail addresses, telephone numbers, payment cards and IBANs (valid check digits stay valid), social security
-    numbers, IP addresses of both kinds, access keys and persons (a title or a listed given name, then a name; two names
-    after a label as in "Author: ") are found by patterns. An
+    numbers, IP addresses of both kinds, access keys and persons (titles or a listed given name, then a name; two names
+    after a label as in "Author: "; in each case up to MOST further names that follow, with particles as in "van der",
+    which stay) are found by patterns. The first name and listed ones are given names, the others surnames. An
     entity, in whatever format it is written, has one surrogate in the whole corpus, drawn with the key; a given
     name keeps its gender and script. A name alone, with a capital, is replaced too in a text that has it in a full
     mention (not counted in n_entities), and gets what it gets there; initials between names stay. Texts without an entity

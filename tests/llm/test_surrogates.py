@@ -115,3 +115,19 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
 def test_native(spark):
     plan = sg.op3_surrogates(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_names_of_several_parts(spark):
+    texts = ["Mr. José García López", "Ms. Anna Maria Lopez Ruiz", "Mr. Jean de la Fontaine", "Herr Dr. Klaus Weber", "MR. JOHN SMITH", "Contact: Ludwig van Beethoven", "Frau Prof. Dr. Anna von der Heide", "SSN 123456789", "ssn: 123456789"]
+    names = {"José", "García", "López", "Anna", "Maria", "Lopez", "Ruiz", "Jean", "Fontaine", "Klaus", "Weber", "JOHN", "SMITH", "Ludwig", "Beethoven", "Heide", "123456789"}
+    got = {d: t for d, t, _ in clean(spark, [(d, f"We saw {t}, and {t} left.") for d, t in enumerate(texts)] + [(90, "Herr Weber and Mrs Smith; 123-45-6789, 123456789."), (91, "the plane de la fontaine, SSN")])}
+    for d, text in enumerate(texts):
+        assert not names & set(re.findall(r"\w+", got[d])), got[d]
+        first, second = re.fullmatch(r"We saw (.+), and (.+) left\.", got[d]).groups()
+        assert first == second and len(first.split()) == len(text.split())
+    assert re.fullmatch(r"We saw Mr\. \w+ de la \w+, and .*", got[2]) and re.fullmatch(r"We saw Herr Dr\. \w+ \w+, and .*", got[3])
+    assert re.fullmatch(r"We saw MR\. [A-Z]+ [A-Z]+, and .*", got[4]) and re.fullmatch(r"We saw Contact: \w+ van \w+, and .*", got[5]) and re.fullmatch(r"We saw Frau Prof\. Dr\. \w+ von der \w+, and .*", got[6])
+    weber, smith = re.match(r"Herr (\w+) and Mrs (\w+);", got[90]).groups()
+    assert f" {weber}, and" in got[3] and f" {smith.upper()}, and" in got[4]
+    number = re.search(r"SSN (\d{9}),", got[7]).group(1)
+    assert number in got[8] and f"{number[:3]}-{number[3:5]}-{number[5:]}, 123456789." in got[90] and got[91] == "the plane de la fontaine, SSN"
