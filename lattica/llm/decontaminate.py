@@ -58,7 +58,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             row = [part.column("doc_id").to_pylist(), part.column("copy").to_pylist(), n_words, coded.dictionary.to_pylist(), counts.tobytes(), postings.tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
-    return store(rows_of(docs, id_col, text_col).withColumn("copy", F.xxhash64("text")).mapInArrow(tidy(build), INDEX), "postings")
+    return store(rows_of(docs, id_col, text_col).withColumn("copy", F.xxhash64("text")).mapInArrow(tidy(build), INDEX), "postings", large_rows=True)
 
 
 class Segment:

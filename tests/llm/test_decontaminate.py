@@ -1,8 +1,12 @@
+import glob
 import hashlib
 import random
 import re
 
+import pyarrow.parquet as pq
+
 from lattica.llm import decontaminate as dc
+from lattica.sources.shared import LARGE_ROWS
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 lower = lambda t: re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
@@ -107,3 +111,20 @@ def test_against_brute_force(spark):
     assert any(x[4] for x in want)
     digest = {r.doc_id: (r.n_items, r.items_sha256) for r in dc.op1_decontamination(spark, path).collect()}
     assert digest == {x[0]: (len(x[3]), hashlib.sha256(",".join(x[3]).encode()).hexdigest()) for x in want}
+
+
+def test_blocks_of_the_stored_index_are_bounded(spark):
+    """Rows of the index are MBs; Parquet by itself would hold a hundred of them before it ends a block, and a reader a whole block."""
+    rng = random.Random(3)
+    rows = [(n, " ".join(f"{rng.randrange(1 << 20):x}" for _ in range(250_000))) for n in range(12)]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    try:
+        index = dc.build_index(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    finally:
+        spark.conf.set(key, before)
+    files = [pq.ParquetFile(f) for f in glob.glob(f"{index.stored_at}/*.parquet")]
+    blocks = [f.metadata.row_group(i) for f in files for i in range(f.metadata.num_row_groups)]
+    assert sum(b.num_rows for b in blocks) == len(rows)
+    assert max(b.total_byte_size for b in blocks) < 3 * LARGE_ROWS["parquet.block.size"]
