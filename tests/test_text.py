@@ -1,6 +1,11 @@
+import json
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from lattica.functions import text as tx
+from lattica.functions.baseline import answer
 from lattica.operators import ingest as ig
 
 
@@ -81,3 +86,24 @@ def test_types_come_from_the_registry(spark):
     assert got == {1: ("New", "First"), 2: ("Old", "Given"), 0: ("Entity", "First")}
     small = {r.chunk_idx: (r.source_type, r.target_type) for r in ig.resolve_types(t, entities, most=1).collect()}
     assert small[1] == ("New", "First") and small[2] == ("Entity", "Given")
+
+
+def test_rules_of_the_baseline_are_tried_once(spark):
+    """The places of a rule are those of one plain pattern read from the left, found in one pass over a sentence that has a verb."""
+    word = "[A-Za-zÀ-ÿ'-]+"
+    phrase = f"{word}(?: {word}){{0,2}}"
+    verbs = ["is", "was", "with", "a.b"]
+    rule = re.compile(f"({phrase}) ({'|'.join(map(re.escape, verbs))}) ({phrase})")
+    r = random.Random(6)
+    words = ["is", "was", "with", "a.b", "axb", "x", "Éa", "d'or", "so-so", "7", "a1b", "is7", "7is", "Tom", "|", "", "this", "é,è"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(14))) for _ in range(600)]
+    texts += ["A | is | B", "A is B | C", "one two three four is five six seven eight is nine", "is is is is is", "x1y is z", "9a is b"]
+    # a full stop ends a sentence, so the verb with one is never found
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", answer(F.col("t"), verbs).alias("raw"))
+    for x in rows.collect():
+        want = []
+        parts = [p.strip(" ") for p in re.split(r"[.!?\r\n]+", texts[x.i])]
+        want += [tuple(c.strip(" ") for c in p.split("|")) for p in parts if p and p.count("|") == 2]
+        want += [m for p in parts if p and p.count("|") != 2 for m in rule.findall(p)]
+        assert [(f["source"], f["relation"], f["target"]) for f in json.loads(x.raw)["relations"]] == want, texts[x.i]
+    assert rows._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == 2
